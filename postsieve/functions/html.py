@@ -15,16 +15,23 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship_by_value
 from .text import as_column, strip
 
 ship_by_value(__name__)
 
-NODE = (
-    "pos INT, end_pos INT, depth INT, parent_pos INT, tag STRING, classes ARRAY<STRING>, href STRING, text STRING"
+NODE = T.StructType(
+    [T.StructField(name, T.IntegerType()) for name in ("pos", "end_pos", "depth", "parent_pos")]
+    + [
+        T.StructField("tag", T.StringType()),
+        T.StructField("classes", T.ArrayType(T.StringType())),
+        T.StructField("href", T.StringType()),
+        T.StructField("text", T.StringType()),
+    ]
 )
-NODES = f"ARRAY<STRUCT<{NODE}>>"
+NODES = T.ArrayType(NODE)
 TEXT = "#text"
 
 # Elements that never hold content, and elements whose text is not visible.

@@ -8,9 +8,11 @@ are shuffled, by message and url and then by url.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from ..functions.html import (
@@ -28,7 +30,9 @@ from ..shipping import ship_by_value
 
 ship_by_value(__name__)
 
-PARTS = "ARRAY<STRUCT<mime STRING, data STRING>>"
+PARTS = T.ArrayType(
+    T.StructType([T.StructField("mime", T.StringType()), T.StructField("data", T.StringType())])
+)
 CANDIDATE = "struct<title:string,company:string,url:string>"
 
 
@@ -90,7 +94,7 @@ def anchors(nodes: Column) -> Column:
     )
 
 
-def block_texts(nodes: Column, blocks: Column) -> Column:
+def block_texts(nodes: Column, blocks: Column, tags: Sequence[str] = tuple(fixed.COMPANY_TAGS)) -> Column:
     """J5. For each block, the first two distinct texts of length 2 to 99 among its elements.
 
     Two are enough to find the first that differs from a given title, and a block that encloses many
@@ -98,7 +102,7 @@ def block_texts(nodes: Column, blocks: Column) -> Column:
     """
 
     def texts(block: Column) -> Column:
-        inside = F.filter(subtree(nodes, F.get(nodes, block)), lambda n: n.tag.isin(*fixed.COMPANY_TAGS))
+        inside = F.filter(subtree(nodes, F.get(nodes, block)), lambda n: n.tag.isin(*tags))
         read = F.transform(inside, lambda n: element_text(nodes, n, ""))
         return F.slice(F.array_distinct(F.filter(read, lambda t: F.length(t).between(2, 99))), 1, 2)
 
@@ -127,23 +131,37 @@ def loose_anchors(found: Column) -> Column:
     )
 
 
-def line_postings(lines: Column) -> Column:
-    """Strategy 2, W4, F13: a line with a posting url; the two lines before are title and company.
+def with_preceding(lines: Column) -> Column:
+    """W4. Each line with the two lines before it, stripped; empty where there is none.
 
-    The preceding lines are read from the array, so no window and no shuffle is needed.
+    The lines are read from the array of their own body, so no window and no shuffle is needed.
     """
 
     def before(i: Column, n: int) -> Column:
         return F.when(i >= n, strip(F.get(lines, i - n))).otherwise("")
 
-    candidates = F.transform(
+    return F.transform(
         lines,
         lambda line, i: F.struct(
-            before(i, 1).alias("title"),
-            before(i, 2).alias("company"),
-            F.when(
-                p.contains_any(line, fixed.LINE_URL_MARKERS), without_query(url_in_line(strip(line)))
-            ).otherwise("").alias("url"),
+            strip(line).alias("line"), before(i, 1).alias("title"), before(i, 2).alias("company")
+        ),
+    )
+
+
+def preceding_lines(messages: DataFrame, key: str, body: str) -> DataFrame:
+    """W4 as a table: one row per line of a body."""
+    lines = messages.select(key, F.split(body, "\n").alias("lines"))
+    rows = lines.select(key, F.posexplode(with_preceding(F.col("lines"))).alias("pos", "w"))
+    return rows.select(key, F.col("pos").cast("long").alias("pos"), "w.*")
+
+
+def line_postings(lines: Column) -> Column:
+    """Strategy 2, F13: a line with a posting url; the two lines before are title and company."""
+    marked = F.filter(with_preceding(lines), lambda w: p.contains_any(w.line, fixed.LINE_URL_MARKERS))
+    candidates = F.transform(
+        marked,
+        lambda w: F.struct(
+            w.title.alias("title"), w.company.alias("company"), without_query(url_in_line(w.line)).alias("url")
         ),
     )
     return F.filter(candidates, lambda c: (c.url != "") & p.line_title_ok(c.title))

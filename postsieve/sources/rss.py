@@ -10,13 +10,15 @@ from ..functions.text import company_and_title, strip, strip_tags, text, truncat
 from ..operators.predicates import has_required
 from .landed import position, posting
 
+_KEEP_SPACES = {"ignoreSurroundingSpaces": "false"}
+
 
 def rss_postings(landed: DataFrame, source: str = fixed.RSS, chars: int = fixed.FEED_CHARS) -> DataFrame:
     """S4. Items titled ``Company: Title``; no domain test. All feeds are one batch."""
     items = landed.select(
         "batch_seq",
         "payload_seq",
-        F.posexplode(F.from_xml("payload", schemas.RSS_PAYLOAD).channel.item).alias("index", "j"),
+        F.posexplode(F.from_xml("payload", schemas.RSS_PAYLOAD, _KEEP_SPACES).channel.item).alias("index", "j"),
     )
     j = F.col("j")
     split = items.select("batch_seq", "payload_seq", "index", "j", company_and_title(j.title).alias("t"))
