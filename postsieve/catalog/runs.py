@@ -15,7 +15,7 @@ from ..operators.ranking import bounded_store, digest, split_by_score
 from ..operators.report import admission_stats, run_metadata
 from ..operators.scoring import apply_responses
 from ..plans.daily import Settings, admitted_rows, fetched_rows, pooled_rows, run_day
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, stage
 from ..sinks import tables
 from .base import (
     FIRST_LINE_SQL,
@@ -181,10 +181,11 @@ DAY_SQL = f"WITH {_POOLED_SQL}, {_LEDGER_SQL}, {_SCORED_SQL}"
                score, lane_rows FROM k WHERE rank <= 10""",
 )
 def daily_run(spark, sf):
-    """The flagship: fetch, policy, url dedup, ids, ledger, responses, digest in one lazy plan."""
+    """The flagship: fetch, policy, url dedup, ids, ledger, responses, digest. Three tables are staged on
+    the way: rows that passed their policy, admitted rows, scored rows."""
     pooled = pooled_rows(fetched_rows(day_feeds(spark, sf), RUN, SETTINGS), SETTINGS)
-    admitted = admitted_rows(pooled, day_ledger(spark, sf), RUN, SETTINGS)
-    kept, _ = split_by_score(apply_responses(admitted, day_responses(admitted)))
+    admitted = stage(admitted_rows(pooled, day_ledger(spark, sf), RUN, SETTINGS))
+    kept, _ = split_by_score(stage(apply_responses(admitted, day_responses(admitted))))
     return digest(kept).select("category", "rank", "title", "url", "company", "dots", "score", "lane_rows")
 
 
@@ -192,7 +193,7 @@ def daily_run(spark, sf):
 def admitted_rows_query(spark, sf):
     """The scored rows of the day, before the threshold."""
     pooled = pooled_rows(fetched_rows(day_feeds(spark, sf), RUN, SETTINGS), SETTINGS)
-    admitted = admitted_rows(pooled, day_ledger(spark, sf), RUN, SETTINGS)
+    admitted = stage(admitted_rows(pooled, day_ledger(spark, sf), RUN, SETTINGS))
     scored = apply_responses(admitted, day_responses(admitted))
     return scored.select("id", "title", "company", "url", "batch_seq", "pos", "score", "category")
 

@@ -1,17 +1,14 @@
 """Substring terms and regular expressions.
 
-A text tested against many literals is bound once (``exists(array(text), ...)``) and then checked by a
-short-circuit chain of ``contains``. Written as a plain OR the optimizer inlines ``lower(text)`` into
-every branch, and one alternation pattern tries each literal at each character; both measured 2.5 to 4
-times slower on the document texts.
+A text tested against many literals is bound once (``exists(array(text), ...)``) and then checked with
+``contains``, literal by literal until one hits. Written as a plain OR the optimizer inlines
+``lower(text)`` into every branch, and one alternation pattern tries each literal at each character; both
+measured 2.5 to 4 times slower on the document texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_, or_
-
 from pyspark.sql import Column, functions as F
 
 from .text import as_column, text
@@ -25,18 +22,21 @@ def contains_any(c: Column | str, terms: Sequence[str]) -> Column:
     terms = list(dict.fromkeys(terms))
     if not terms:
         return F.lit(False)
-    return F.exists(
-        F.array(text(c)), lambda bound: reduce(or_, [F.contains(bound, F.lit(term)) for term in terms])
-    )
-
-
-def contains_all(c: Column | str, terms: Sequence[str]) -> Column:
-    return reduce(and_, [F.contains(text(c), F.lit(term)) for term in terms], F.lit(True))
+    literals = F.lit(terms)
+    return F.exists(F.array(text(c)), lambda bound: F.exists(literals, lambda term: F.contains(bound, term)))
 
 
 def pattern(alternatives: Sequence[str], word_bounded: bool = False) -> str:
-    """One case-insensitive, Unicode-aware alternation."""
-    joined = "|".join(alternatives).replace(r"\s", _SPACE_CLASS)
+    """One case-insensitive, Unicode-aware alternation.
+
+    A word bound that starts every alternative is tested once per position instead of once per
+    alternative.
+    """
+    if all(a.startswith(r"\b") for a in alternatives):
+        joined = r"\b(?:" + "|".join(a[2:] for a in alternatives) + ")"
+    else:
+        joined = "|".join(alternatives)
+    joined = joined.replace(r"\s", _SPACE_CLASS)
     return rf"(?iU)\b({joined})\b" if word_bounded else f"(?iU){joined}"
 
 

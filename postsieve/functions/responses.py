@@ -13,6 +13,25 @@ def json_in_text(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(text(c), r"(?s)\{.*\}", 0), F.lit(""))
 
 
+_END = "end of text"
+
+
+def strict_json(c: Column | str) -> Column:
+    """The text as a variant; null unless the whole text is one JSON value.
+
+    ``try_parse_json`` stops after the first value and ignores what follows. Here the value has to be
+    the first of two elements, the second of which is a mark.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), as_column(c), F.lit(f', "{_END}"]')))
+    bound = F.transform(
+        F.array(pair),
+        lambda v: F.when(
+            F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant")
+        ),
+    )
+    return F.get(bound, F.lit(0))
+
+
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
@@ -68,7 +87,7 @@ def parsed_response(
     Anything that cannot be read gives the default score and lane with the fallback method. A truthy
     reason that has no prefix (a number, say) counts as unreadable for scores of 4 and more.
     """
-    parsed = F.try_parse_json(json_in_text(as_column(c)))
+    parsed = strict_json(json_in_text(c))
     fields = F.transform(
         F.array(parsed),
         lambda v: F.struct(

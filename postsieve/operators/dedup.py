@@ -26,8 +26,9 @@ def keep_lowest(
     aggregation that combines before its shuffle, and the rows meet it in a join which deals out hot
     keys. ``df`` is read twice: stage it first where it is expensive.
     """
-    keyed = df.where(F.col(key).isNotNull())
-    lowest = keyed.groupBy(key).agg(F.min(rank).alias(rank), F.count("*").alias("_rows"))
+    lowest = df.groupBy(key).agg(F.min(rank).alias(rank), F.count("*").alias("_rows"))
+    # Both readers of this aggregation keep both of its columns, so its one shuffle serves both.
+    lowest = lowest.where(F.col(key).isNotNull() & F.col(rank).isNotNull() & (F.col("_rows") > 0))
     hot = hot_keys(lowest, [key], hot_rows, count=F.col("_rows"))
     return spread_join(
         df, lowest.drop("_rows"), [key, rank], "left_semi", spread_by, hot, hot_on=[key]

@@ -59,19 +59,13 @@ def by_terms(
     wanted = terms.select(F.col(term).alias("_gram")).where(F.length("_gram") > 0).distinct()
     sizes = [r[0] for r in wanted.select(F.length("_gram")).distinct().collect()]
     value = F.coalesce(F.col(text), F.lit(""))
-    grams = [
-        rows.where(F.length(value) >= n).select(
-            key,
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length(value) - (n - 1)), lambda i, n=n: F.substring(value, i, F.lit(n))
-                    )
-                )
-            ).alias("_gram"),
-        )
-        for n in sizes
-    ]
+
+    def grams_of(size: int) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.length(value) - (size - 1))
+        pieces = F.array_distinct(F.transform(starts, lambda at: F.substring(value, at, F.lit(size))))
+        return rows.where(F.length(value) >= size).select(key, F.explode(pieces).alias("_gram"))
+
+    grams = [grams_of(size) for size in sizes]
     all_grams = grams[0]
     for more in grams[1:]:
         all_grams = all_grams.unionByName(more)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
@@ -56,10 +57,13 @@ def policy_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
     """The policies as rows. They come from the caller's code, so their number is known here."""
     if len(policies) > MAX_POLICIES:
         raise ValueError(f"{len(policies)} policies; the table is broadcast and limited to {MAX_POLICIES}")
-    return spark.createDataFrame(
-        [(x.source, x.need_clean, x.need_signal, x.need_senior_title) for x in policies],
-        "policy_source STRING, need_clean BOOLEAN, need_signal BOOLEAN, need_senior_title BOOLEAN",
-    )
+    columns = {
+        "policy_source": pa.array([x.source for x in policies], pa.string()),
+        "need_clean": pa.array([x.need_clean for x in policies], pa.bool_()),
+        "need_signal": pa.array([x.need_signal for x in policies], pa.bool_()),
+        "need_senior_title": pa.array([x.need_senior_title for x in policies], pa.bool_()),
+    }
+    return spark.createDataFrame(pa.table(columns))
 
 
 def residency_flag(terms: Terms = DEFAULT_TERMS, description: str = "description") -> Column:
@@ -80,10 +84,9 @@ def passes(terms: Terms = DEFAULT_TERMS, title: str = "title", description: str
 def with_policy(rows: DataFrame, policies: Sequence[Policy], source: str = "kind") -> DataFrame:
     """J6. Joins the policy of the source; a source without one needs nothing extra."""
     table = F.broadcast(policy_table(rows.sparkSession, policies))
-    joined = rows.join(table, F.col(source) == F.col("policy_source"), "left").drop("policy_source")
-    for need in ("need_clean", "need_signal", "need_senior_title"):
-        joined = joined.withColumn(need, F.coalesce(need, F.lit(False)))
-    return joined
+    joined = rows.join(table, F.col(source) == F.col("policy_source"), "left")
+    needs = [F.coalesce(n, F.lit(False)).alias(n) for n in ("need_clean", "need_signal", "need_senior_title")]
+    return joined.select(*[rows[c] for c in rows.columns], *needs)
 
 
 def apply_policy(

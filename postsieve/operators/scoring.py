@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
-from ..functions.responses import fallback_outcome, json_in_text, parsed_response
+from ..functions.responses import fallback_outcome, json_in_text, parsed_response, strict_json
 from ..functions.text import strip, text, truncate
 from ..schemas import EVALUATION
 from ..shipping import ship_by_value
@@ -131,7 +131,7 @@ def evaluations(requests: DataFrame, responses: DataFrame, key: str = "request_i
     told = one_response_per_id(responses, key).withColumnRenamed("text", "_text")
     found = json_in_text("_text")
     answer = F.from_json(found, EVALUATION)
-    readable = F.try_parse_json(found).isNotNull()
+    readable = strict_json(found).isNotNull()
     error = (
         F.when(F.col("status").isNotNull(), F.col("status"))
         .when(F.col("_text").isNull(), F.lit("No response"))

@@ -20,6 +20,7 @@ from ..operators.ranking import bounded_store, digest, split_by_score, union_sou
 from ..operators.report import admission_stats, funnel, run_metadata
 from ..operators.scoring import apply_responses, score_requests, score_with
 from ..schemas import POSTING_FIELDS, SCORED
+from ..session import stage
 from ..sinks import tables
 
 
@@ -53,8 +54,12 @@ def fetched_rows(
 
 
 def pooled_rows(fetched: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """F19 then W1: what the run has before the ledger."""
-    return first_batch_wins(apply_policy(fetched, settings.policies, settings.terms))
+    """F19 then W1: what the run has before the ledger.
+
+    The rows that passed are staged, because the url dedup reads them twice: urls and batches first,
+    whole rows second.
+    """
+    return first_batch_wins(stage(apply_policy(fetched, settings.policies, settings.terms)))
 
 
 def admitted_rows(
@@ -85,8 +90,8 @@ def run_day(
     Scoring comes from ``responses``, a function from the requests table to a table of response
     texts, or from ``scorer``, a function run on the executors; with neither all rows get the
     fallback. Each costly step is written before the next one reads it: the fetched rows, because
-    the policy, the url dedup and the funnel all read them, and the scored rows, because the scorer
-    must not be asked twice.
+    the policy and the funnel both read them, and the scored rows, because the scorer must not be
+    asked twice.
     """
     staged = tables.write_run(fetched, root, "fetched", run_ts)
     pooled = tables.write_run(

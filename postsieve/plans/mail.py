@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.urls import external_id
 from ..operators.joins import enrich
+from ..session import stage
 from ..sources.mail import mail_postings
 
 
 def with_details(postings: DataFrame, details: DataFrame) -> DataFrame:
-    """J1 by the external id in the url; empty on a miss."""
-    keyed = postings.withColumn("external_id", external_id("url"))
+    """J1 by the external id in the url; empty on a miss. The join reads its rows more than once, so
+    they are staged: the messages behind them are parsed once."""
+    keyed = stage(postings).withColumn("external_id", external_id("url"))
     return enrich(keyed, details).select(postings.columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table in the shared checkpoint folder and reads it back.
+
+    For rows that are costly to make and read more than once. Unlike a checkpoint of rows the table
+    is columnar, so a reader that needs two columns scans two columns.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)

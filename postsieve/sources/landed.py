@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ..functions.responses import strict_json
 from ..schemas import LANDED
 
 
 def read_landed_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw files under ``source=<s>/batch_seq=<n>/payload_seq=<m>/``; the names become columns, so a
     filter on them prunes the listing."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.col("source").cast("string").alias("source"),
         F.col("batch_seq").cast("int").alias("batch_seq"),
@@ -40,7 +41,7 @@ def json_payload(schema: str) -> Column:
 
 def rejected_payloads(landed: DataFrame) -> DataFrame:
     """JSON responses that cannot be read at all. They are set apart; no other row is lost with them."""
-    return landed.where(F.try_parse_json("payload").isNull())
+    return landed.where(strict_json("payload").isNull())
 
 
 def posting(source: str, **fields: Column) -> list[Column]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.responses import strict_json
+
 MISSING = "Missing title or company"
 INVALID = "Invalid JSON"
 FIELDS = ["title", "company", "description", "salary", "url"]
@@ -14,7 +16,7 @@ def evaluation_inputs(landed: DataFrame, key: str = "request_id", payload: str =
 
     The body is parsed once and bound; other members are ignored.
     """
-    body = landed.withColumn("_v", F.try_parse_json(payload))
+    body = landed.withColumn("_v", strict_json(payload))
 
     def member(name: str) -> Column:
         return F.try_variant_get("_v", f"$.{name}", "string").alias(name)
