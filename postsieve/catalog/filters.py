@@ -12,7 +12,7 @@ from ..functions.text import lower_tags
 from ..functions.urls import domain_ok
 from ..operators import predicates as p
 from ..operators.joins import by_terms
-from ..operators.policy import Policy, Terms, apply_policy, passes, residency_flag, with_policy
+from ..operators.policy import Policy, Terms, apply_policy, judged
 from ..operators.ranking import split_by_score
 from ..operators.report import funnel
 from .base import (
@@ -236,8 +236,8 @@ def policy_matrix(spark, sf):
         FROM documents GROUP BY source""",
 )
 def source_funnel(spark, sf):
-    rows = with_policy(titled(spark, sf), POLICIES, "source")
-    return funnel(rows, passes(TERMS), residency_flag(TERMS))
+    rows = titled(spark, sf).select("*", *[F.lit("").alias(c) for c in ("company", "url", "salary", "posted")])
+    return funnel(judged(rows, POLICIES, TERMS, "source"))
 
 
 _TERM_SQL = "substr(b.text, 1, 12)"

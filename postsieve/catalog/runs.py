@@ -14,7 +14,7 @@ from ..operators.predicates import has_required
 from ..operators.ranking import bounded_store, digest, split_by_score
 from ..operators.report import admission_stats, run_metadata
 from ..operators.scoring import apply_responses
-from ..plans.daily import Settings, admitted_rows, fetched_rows, pooled_rows, run_day
+from ..plans.daily import Settings, admitted_rows, fetched_rows, judged_rows, pooled_rows, run_day
 from ..session import checkpoint_dir, stage
 from ..sinks import tables
 from .base import (
@@ -172,6 +172,11 @@ _SCORED_SQL = f"""
 DAY_SQL = f"WITH {_POOLED_SQL}, {_LEDGER_SQL}, {_SCORED_SQL}"
 
 
+def _day_admitted(spark, sf):
+    verdicts = stage(judged_rows(fetched_rows(day_feeds(spark, sf), RUN, SETTINGS), SETTINGS))
+    return stage(admitted_rows(verdicts, pooled_rows(verdicts), day_ledger(spark, sf), RUN, SETTINGS))
+
+
 @query(
     "daily_run",
     f"""{DAY_SQL},
@@ -182,9 +187,8 @@ DAY_SQL = f"WITH {_POOLED_SQL}, {_LEDGER_SQL}, {_SCORED_SQL}"
 )
 def daily_run(spark, sf):
     """The flagship: fetch, policy, url dedup, ids, ledger, responses, digest. Three tables are staged on
-    the way: rows that passed their policy, admitted rows, scored rows."""
-    pooled = pooled_rows(fetched_rows(day_feeds(spark, sf), RUN, SETTINGS), SETTINGS)
-    admitted = stage(admitted_rows(pooled, day_ledger(spark, sf), RUN, SETTINGS))
+    the way: judged rows, admitted rows, scored rows."""
+    admitted = _day_admitted(spark, sf)
     kept, _ = split_by_score(stage(apply_responses(admitted, day_responses(admitted))))
     return digest(kept).select("category", "rank", "title", "url", "company", "dots", "score", "lane_rows")
 
@@ -192,8 +196,7 @@ def daily_run(spark, sf):
 @query("admitted_rows", f"{DAY_SQL} SELECT id, title, company, url, batch_seq, pos, score, category FROM s")
 def admitted_rows_query(spark, sf):
     """The scored rows of the day, before the threshold."""
-    pooled = pooled_rows(fetched_rows(day_feeds(spark, sf), RUN, SETTINGS), SETTINGS)
-    admitted = stage(admitted_rows(pooled, day_ledger(spark, sf), RUN, SETTINGS))
+    admitted = _day_admitted(spark, sf)
     scored = apply_responses(admitted, day_responses(admitted))
     return scored.select("id", "title", "company", "url", "batch_seq", "pos", "score", "category")
 

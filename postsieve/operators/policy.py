@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
+from ..functions.text import text
 from . import predicates as p
 
 MAX_POLICIES = 10_000
@@ -70,17 +71,24 @@ def residency_flag(terms: Terms = DEFAULT_TERMS, description: str = "description
     return p.residency_only(description, terms.restricting, terms.opening, terms.restricting_words)
 
 
-def passes(terms: Terms = DEFAULT_TERMS, title: str = "title", description: str = "description") -> Column:
-    """The policy test of a row that carries its policy columns; cheap tests come first."""
+def passes_titles_and_signals(
+    terms: Terms = DEFAULT_TERMS, title: str = "title", description: str = "description"
+) -> Column:
+    """The policy test of a row that carries its policy columns, but for the residency test; cheap tests
+    come first."""
     return (
         p.title_ok(title, terms.excluded_titles)
         & (~F.col("need_senior_title") | p.senior_title(title, terms.senior_titles))
         & (~F.col("need_clean") | p.remote_clean(title, description, terms.on_site))
         & (~F.col("need_signal") | p.remote_signal(title, description, terms.remote))
-        & ~residency_flag(terms, description)
     )
 
 
+def passes(terms: Terms = DEFAULT_TERMS, title: str = "title", description: str = "description") -> Column:
+    """The whole policy test."""
+    return passes_titles_and_signals(terms, title, description) & ~residency_flag(terms, description)
+
+
 def with_policy(rows: DataFrame, policies: Sequence[Policy], source: str = "kind") -> DataFrame:
     """J6. Joins the policy of the source; a source without one needs nothing extra."""
     table = F.broadcast(policy_table(rows.sparkSession, policies))
@@ -97,3 +105,25 @@ def apply_policy(
 ) -> DataFrame:
     """F19. Rows that pass the policy of their source."""
     return with_policy(rows, policies, source).where(passes(terms)).select(rows.columns)
+
+
+def judged(
+    rows: DataFrame,
+    policies: Sequence[Policy] = tuple(POLICIES),
+    terms: Terms = DEFAULT_TERMS,
+    source: str = "kind",
+) -> DataFrame:
+    """F19 with its verdicts kept as columns ``kept``, ``restricted`` and ``enriched``.
+
+    Every predicate runs once per row, for the funnel and the filter alike. Rows that fail keep their
+    place and their verdicts but none of their text, so a table of them stays small.
+    """
+    verdicts = with_policy(rows, policies, source).withColumns(
+        {"restricted": residency_flag(terms), "enriched": text("description") != ""}
+    )
+    verdicts = verdicts.withColumn("kept", passes_titles_and_signals(terms) & ~F.col("restricted"))
+    texts = ["title", "company", "url", "description", "salary", "posted"]
+    place = [c for c in rows.columns if c not in texts]
+    return verdicts.select(
+        *[F.when(F.col("kept"), F.col(c)).alias(c) for c in texts], *place, "kept", "restricted", "enriched"
+    )

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import text
 from .predicates import score_kept
 
 
-def funnel(
-    fetched: DataFrame, kept: Column, restricted: Column, by: str = "source", description: str = "description"
-) -> DataFrame:
-    """A1. Rows fetched, kept, dropped by residency (of all fetched rows) and enriched, per source."""
-    return fetched.groupBy(by).agg(
+def funnel(judged: DataFrame, by: str = "source") -> DataFrame:
+    """A1. Rows fetched, kept, dropped by residency (of all fetched rows) and enriched, per source.
+
+    ``judged`` carries the verdicts of the policy; only those columns are read.
+    """
+    return judged.groupBy(by).agg(
         F.count("*").alias("fetched"),
-        F.count_if(kept).alias("kept"),
-        F.count_if(restricted).alias("residency_dropped"),
-        F.count_if(text(description) != "").alias("enriched"),
+        F.count_if("kept").alias("kept"),
+        F.count_if("restricted").alias("residency_dropped"),
+        F.count_if("enriched").alias("enriched"),
     )
 
 

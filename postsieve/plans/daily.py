@@ -14,13 +14,12 @@ from ..functions.stamps import instant
 from ..functions.text import content_id
 from ..operators import ledger as ledgers
 from ..operators.dedup import first_batch_wins
-from ..operators.policy import DEFAULT_TERMS, POLICIES, Policy, Terms, apply_policy, passes, residency_flag, with_policy
+from ..operators.policy import DEFAULT_TERMS, POLICIES, Policy, Terms, judged
 from ..operators.predicates import gate_open
 from ..operators.ranking import bounded_store, digest, split_by_score, union_sources
 from ..operators.report import admission_stats, funnel, run_metadata
 from ..operators.scoring import apply_responses, score_requests, score_with
-from ..schemas import POSTING_FIELDS, SCORED
-from ..session import stage
+from ..schemas import ORDER, POSTING_FIELDS, SCORED
 from ..sinks import tables
 
 
@@ -53,27 +52,32 @@ def fetched_rows(
     return union_sources([make().withColumn("kind", F.lit(kind)) for kind, make in open_feeds.items()])
 
 
-def pooled_rows(fetched: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """F19 then W1: what the run has before the ledger.
+def judged_rows(fetched: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """F19 with its verdicts. Costly to make and read several times: to be staged."""
+    return judged(fetched, settings.policies, settings.terms)
 
-    The rows that passed are staged, because the url dedup reads them twice: urls and batches first,
-    whole rows second.
+
+def pooled_rows(verdicts: DataFrame) -> DataFrame:
+    """W1 over the rows that passed: what the run has before the ledger, as ``id, url, batch_seq, pos``.
+
+    Only the texts the id is made of are read; the descriptions stay where they are.
     """
-    return first_batch_wins(stage(apply_policy(fetched, settings.policies, settings.terms)))
+    slim = verdicts.where("kept").select(content_id("title", "company").alias("id"), "url", *ORDER)
+    return first_batch_wins(slim)
 
 
 def admitted_rows(
-    pooled: DataFrame, ledger: DataFrame, run_ts: dt.datetime, settings: Settings = Settings()
+    verdicts: DataFrame, pooled: DataFrame, ledger: DataFrame, run_ts: dt.datetime, settings: Settings = Settings()
 ) -> DataFrame:
-    """Rows new to the ledger, stamped."""
-    with_id = pooled.withColumn("id", content_id("title", "company"))
-    return ledgers.admit(with_id, ledger, run_ts, settings.lifetime_days)
+    """Rows new to the ledger, stamped.
 
-
-def source_funnel(fetched: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A1 over all fetched rows."""
-    rows = with_policy(fetched, settings.policies)
-    return funnel(rows, passes(settings.terms), residency_flag(settings.terms))
+    First row per id and ledger are settled on slim rows. The whole rows are fetched last, by
+    ``(batch_seq, pos)``, which identifies a row of a run: the wide table is shuffled at most once and
+    never sorted, and only for rows that a filter on the admitted keys lets through.
+    """
+    admitted = ledgers.admit(pooled.drop("url"), ledger, run_ts, settings.lifetime_days)
+    whole = verdicts.where("kept").select(*POSTING_FIELDS, *ORDER)
+    return whole.join(admitted.select("id", "added", *ORDER), ORDER).select(*POSTING_FIELDS, *ORDER, "id", "added")
 
 
 def run_day(
@@ -89,16 +93,14 @@ def run_day(
 
     Scoring comes from ``responses``, a function from the requests table to a table of response
     texts, or from ``scorer``, a function run on the executors; with neither all rows get the
-    fallback. Each costly step is written before the next one reads it: the fetched rows, because
-    the policy and the funnel both read them, and the scored rows, because the scorer must not be
-    asked twice.
+    fallback. Each costly step is written before the next one reads it: the judged rows, because the
+    funnel, the url dedup and the final fetch read them, and the scored rows, because the scorer must
+    not be asked twice.
     """
-    staged = tables.write_run(fetched, root, "fetched", run_ts)
-    pooled = tables.write_run(
-        pooled_rows(staged, settings).select(*POSTING_FIELDS, "batch_seq", "pos"), root, "pooled", run_ts
-    )
+    verdicts = tables.write_run(judged_rows(fetched, settings), root, "judged", run_ts)
+    pooled = tables.write_run(pooled_rows(verdicts), root, "pooled", run_ts)
     ledger = tables.read_ledger(spark, root, run_ts)
-    admitted = tables.write_run(admitted_rows(pooled, ledger, run_ts, settings), root, "admitted", run_ts)
+    admitted = tables.write_run(admitted_rows(verdicts, pooled, ledger, run_ts, settings), root, "admitted", run_ts)
     if scorer is not None:
         scored = score_with(admitted, scorer, **settings.request)
     else:
@@ -113,7 +115,7 @@ def run_day(
     tables.write_ledger(ledgers.ledger_entries(admitted, run_ts), root, run_ts)
     metadata = tables.write_metadata(run_metadata(kept, store, instant(run_ts)), root, run_ts)
     return {
-        "fetched": staged,
+        "judged": verdicts,
         "pooled": pooled,
         "admitted": admitted,
         "kept": kept,
@@ -121,6 +123,6 @@ def run_day(
         "digest": shown,
         "metadata": metadata,
         "store": tables.read_store(spark, root, run_ts, settings.store_rows),
-        "funnel": source_funnel(staged, settings),
+        "funnel": funnel(verdicts),
         "admission": admission_stats(pooled, scored, settings.threshold),
     }

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from ..functions.stamps import instant, run_id, utc
-from ..schemas import LEDGER, POSTING, RUN_METADATA, SCORED
+from ..schemas import LEDGER, RUN_METADATA, SCORED
 from ..sources.state import read_or_empty
 
 RUN_PARTITIONS = [T.StructField("run_date", T.DateType()), T.StructField("run_id", T.StringType())]
@@ -84,7 +84,3 @@ def write_metadata(metadata: DataFrame, root: str, run_ts: dt.datetime) -> DataF
 def write_digest(digest: DataFrame, root: str, run_ts: dt.datetime) -> DataFrame:
     """K4. At most ten rows per lane, in the order they are shown."""
     return write_run(digest.orderBy("category", "rank"), root, "digest", run_ts)
-
-
-def read_pooled(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
-    return spark.read.schema(POSTING).parquet(run_folder(root, "pooled", run_ts))

@@ -8,7 +8,7 @@ from postsieve.operators.dedup import first_batch_wins, first_row_per_key, first
 from postsieve.operators.joins import enrich
 from postsieve.operators.ledger import not_in_ledger
 from postsieve.operators.ranking import bounded_store, digest, top_per_lane
-from postsieve.plans.daily import pooled_rows
+from postsieve.plans.daily import judged_rows, pooled_rows
 
 SCHEMA = "url string, batch_seq int, pos long"
 
@@ -64,7 +64,7 @@ def test_row_that_fails_its_filter_does_not_register_its_url(spark):
             ("Junior Lead", "", "u", "", "mail", 1, 0), ("Lead", "", "u", "", "cards", 2, 0), ("Lead", "", "u", "", "cards", 3, 0),
         ],
     )
-    assert [(r.batch_seq, r.title) for r in pooled_rows(rows).collect()] == [(2, "Lead")]
+    assert [(r.batch_seq, r.url) for r in pooled_rows(judged_rows(rows)).collect()] == [(2, "u")]
 
 
 def test_first_row_per_key_has_a_group_limit_before_its_shuffle(spark):

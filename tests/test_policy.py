@@ -9,8 +9,8 @@ from postsieve import fixed_values as fixed
 from postsieve.functions.text import lower_tags
 from postsieve.operators import predicates as p
 from postsieve.operators.joins import by_terms
-from postsieve.operators.policy import Policy, apply_policy
-from postsieve.plans.daily import Settings, source_funnel
+from postsieve.operators.policy import Policy, apply_policy, judged
+from postsieve.operators.report import funnel
 
 
 def test_title_terms_are_substrings(spark):
@@ -139,7 +139,7 @@ def test_funnel_counts_residency_over_all_fetched_rows(spark):
             ("Lead", "", "u3", "", "mail", 1, 2), ("Lead", "", "u4", "fine", "mail", 1, 3),
         ],
     )
-    row = source_funnel(rows, Settings()).collect()[0]
+    row = funnel(judged(rows)).collect()[0]
     assert (row.fetched, row.kept, row.residency_dropped, row.enriched) == (4, 2, 2, 3)
 
 
@@ -151,3 +151,9 @@ def test_term_join_both_ways(spark, how, inline):
     hits = {1, 3}
     got = {r.k for r in by_terms(rows, terms, "t", "k", how, max_inline=inline).collect()}
     assert got == (hits if how == "left_semi" else {1, 2, 3, 4, 5} - hits)
+
+
+def test_judged_rows_keep_place_and_verdict_but_not_the_text(spark):
+    rows = posting_rows(spark, [("Junior", "C", "u1", "d", "mail", 1, 0), ("Lead", "C", "u2", "US only", "mail", 1, 1), ("Lead", "C", "u3", "d", "mail", 1, 2)])
+    got = [(r.pos, r.title, r.description, r.kept, r.restricted) for r in judged(rows).orderBy("pos").collect()]
+    assert got == [(0, None, None, False, False), (1, None, None, False, True), (2, "Lead", "d", True, False)]
