@@ -65,7 +65,7 @@ def first_row_per_url_query(spark, sf):
 @query(
     "shortest_per_key",
     """SELECT lang, source, doc_id, n_chars, pos FROM (
-         SELECT lang, source, doc_id, length(text) AS n_chars, min(doc_id) OVER (PARTITION BY lang, source) AS pos,
+         SELECT lang, source, doc_id, CAST(length(text) AS INT) AS n_chars, min(doc_id) OVER (PARTITION BY lang, source) AS pos,
                 row_number() OVER (PARTITION BY lang, source ORDER BY length(text), doc_id) AS r FROM documents) WHERE r = 1""",
 )
 def shortest_per_key_query(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.html import TEXT, element_text, elements, enclosing, html_nodes, nodes_of
 from ..functions.urls import netloc
 from ..sources.cards import card_postings, detail_pages
-from ..sources.mail import block_texts, nearby_text
+from ..sources.mail import with_nearby_text
 from .base import HEADING_SQL, heading, netloc_sql, query, strip_sql, table
 from .feeds import _DECODED
 
@@ -46,18 +46,13 @@ def nearest_ancestor(spark, sf):
     nodes = F.col("nodes")
     found = F.transform(
         elements(nodes, "a"),
-        lambda a: F.struct(element_text(nodes, a).alias("title"), enclosing(nodes, a, ["nav", "div"]).alias("block")),
+        lambda a: F.struct(
+            element_text(nodes, a).alias("title"), a.href.alias("href"), enclosing(nodes, a, ["nav", "div"]).alias("block")
+        ),
     )
     rows = parsed.withColumn("found", found)
-    blocks = F.array_distinct(F.filter(F.transform("found", lambda a: a.block), lambda b: b >= 0))
-    near = rows.withColumn("texts", block_texts(nodes, blocks, ["li"]))
-    companies = F.transform(
-        "found",
-        lambda a: F.struct(a.title.alias("title"), nearby_text(F.col("texts"), a.block, a.title).alias("company")),
-    )
-    return near.select("page_id", F.posexplode(companies).alias("i", "c")).select(
-        "page_id", (F.col("i") + 1).cast("long").alias("nth"), "c.*"
-    )
+    near = rows.select("page_id", F.posexplode(with_nearby_text(nodes, F.col("found"), ["li"])).alias("i", "c"))
+    return near.select("page_id", (F.col("i") + 1).cast("long").alias("nth"), "c.title", "c.company")
 
 
 @query(

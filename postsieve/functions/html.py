@@ -181,11 +181,14 @@ def first_element(nodes: Column, tag: str, token: str | None = None) -> Column:
 
 def joined_text(nodes: Column, separator: str = " ", stripped: bool = True) -> Column:
     """The text nodes of an array, joined; stripped pieces that are empty are left out."""
-    pieces = F.transform(F.filter(nodes, lambda n: n.tag == TEXT), lambda n: strip(n.text) if stripped else n.text)
-    return F.array_join(F.filter(pieces, lambda p: p != ""), separator) if stripped else F.array_join(pieces, separator)
+    texts = F.filter(nodes, lambda n: n.tag == TEXT)
+    if not stripped:
+        return F.array_join(F.transform(texts, lambda n: n.text), separator)
+    return F.array_join(F.filter(F.transform(texts, lambda n: strip(n.text)), lambda p: p != ""), separator)
 
 
 def element_text(nodes: Column, element: Column, separator: str = " ", stripped: bool = True) -> Column:
+    """Text of an element. ``element`` is a bound variable: it is read three times."""
     return joined_text(subtree(nodes, element), separator, stripped)
 
 
@@ -200,5 +203,9 @@ def enclosing(nodes: Column, element: Column, tags: Sequence[str]) -> Column:
         return F.when((at < 0) | node.tag.isin(*tags), at).otherwise(node.parent_pos)
 
     steps = F.when(element.depth > 0, F.sequence(F.lit(1), element.depth)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(steps, element.parent_pos, climb)
-    return F.when((last >= 0) & F.get(nodes, last).tag.isin(*tags), last).otherwise(F.lit(-1))
+    return F.aggregate(
+        steps,
+        element.parent_pos,
+        climb,
+        lambda last: F.when((last >= 0) & F.get(nodes, last).tag.isin(*tags), last).otherwise(F.lit(-1)),
+    )

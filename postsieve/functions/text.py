@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
@@ -19,6 +21,15 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used.
+
+    Inside array functions the same subexpression is evaluated as often as it is written; a lambda
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     """Null and missing count as the empty string."""
     return F.coalesce(as_column(c), F.lit(""))
@@ -90,9 +101,14 @@ def score_bar(score: Column | str, dots: int = fixed.SCORE_DOTS) -> Column:
 def base64url_text(c: Column | str) -> Column:
     """P16. Null where the padding is wrong; foreign characters are ignored, invalid UTF-8 is replaced."""
     clean = F.regexp_replace(F.translate(as_column(c), "-_", "+/"), "[^A-Za-z0-9+/=]", "")
-    body = F.substring_index(clean, "=", 1)
-    pads = F.length(F.regexp_extract(clean, "^[^=]*(=*)", 1))
-    rest = F.length(body) % 4
-    padded = (rest == 0) | ((rest == 2) & (pads >= 2)) | ((rest == 3) & (pads >= 1))
-    full = F.concat(body, F.repeat(F.lit("="), (F.lit(4) - rest) % 4))
-    return F.when(padded, F.make_valid_utf8(F.try_to_binary(full, F.lit("base64")).cast("string")))
+
+    def decoded(body: Column, pads: Column) -> Column:
+        rest = F.length(body) % 4
+        padded = (rest == 0) | ((rest == 2) & (pads >= 2)) | ((rest == 3) & (pads >= 1))
+        full = F.concat(body, F.repeat(F.lit("="), (F.lit(4) - rest) % 4))
+        return F.when(padded, F.make_valid_utf8(F.try_to_binary(full, F.lit("base64")).cast("string")))
+
+    split = F.struct(
+        F.substring_index(clean, "=", 1).alias("body"), F.length(F.regexp_extract(clean, "^[^=]*(=*)", 1)).alias("pads")
+    )
+    return bind(split, lambda part: decoded(part.body, part.pads))

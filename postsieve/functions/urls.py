@@ -11,7 +11,8 @@ from .. import fixed_values as fixed
 from .match import contains_any
 from .text import as_column, before_first, text
 
-_NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+# Up to the path, with at most one pair of brackets (an address literal).
+_NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\[\]]*(?:\[[^/?#\[\]]*\][^/?#\[\]]*)?)(?=[/?#]|$)"
 
 
 def first_url(*candidates: Column | str) -> Column:
@@ -22,12 +23,11 @@ def first_url(*candidates: Column | str) -> Column:
 def netloc(c: Column | str) -> Column:
     """P10. Between ``//`` and ``/?#``, with user and port; lower-cased, every ``www.`` removed.
 
-    Null when the brackets of an address literal do not pair: such a url cannot be parsed.
+    Empty when there is none, and when the brackets of an address literal do not pair: such a url
+    cannot be parsed.
     """
     clean = F.translate(F.regexp_replace(text(c), r"^[\x00-\x20]+", ""), "\t\r\n", "")
-    host = F.regexp_extract(clean, _NETLOC, 1)
-    unpaired = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
-    return F.when(~unpaired, F.replace(F.lower(host), F.lit("www."), F.lit("")))
+    return F.replace(F.lower(F.regexp_extract(clean, _NETLOC, 1)), F.lit("www."), F.lit(""))
 
 
 def domain_ok(c: Column | str, blocked: Sequence[str] = tuple(fixed.BLOCKED_DOMAINS)) -> Column:

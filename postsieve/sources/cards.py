@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions.html import element_text, elements, first_element, joined_text, nodes_of, subtree
-from ..functions.text import strip, truncate
+from ..functions.text import bind, strip, truncate
 from ..functions.urls import without_query
 from ..operators.predicates import has_required
 from .landed import position, posting
@@ -19,17 +19,22 @@ def card_postings(landed: DataFrame, source: str = fixed.CARDS) -> DataFrame:
     pages = landed.select("batch_seq", "payload_seq", nodes_of("payload").alias("nodes"))
     nodes = F.col("nodes")
 
-    def card(element: Column) -> Column:
-        inside = subtree(nodes, element)
-        title = first_element(inside, "h3", fixed.CARD_TITLE_CLASS)
-        company = first_element(inside, "h4", fixed.CARD_COMPANY_CLASS)
-        link = first_element(inside, "a", fixed.CARD_LINK_CLASS)
+    def own_text(inside: Column, tag: str, token: str) -> Column:
+        return bind(
+            first_element(inside, tag, token),
+            lambda found: strip(element_text(nodes, found, "", stripped=False)),
+        )
+
+    def fields(inside: Column) -> Column:
         return F.struct(
-            strip(element_text(nodes, title, "", stripped=False)).alias("title"),
-            strip(element_text(nodes, company, "", stripped=False)).alias("company"),
-            without_query(link.href).alias("url"),
+            own_text(inside, "h3", fixed.CARD_TITLE_CLASS).alias("title"),
+            own_text(inside, "h4", fixed.CARD_COMPANY_CLASS).alias("company"),
+            without_query(first_element(inside, "a", fixed.CARD_LINK_CLASS).href).alias("url"),
         )
 
+    def card(element: Column) -> Column:
+        return bind(subtree(nodes, element), fields)
+
     cards = F.transform(elements(nodes, "div", fixed.CARD_CLASS), card)
     rows = pages.select("batch_seq", "payload_seq", F.posexplode(cards).alias("index", "j"))
     j = F.col("j")
@@ -47,9 +52,10 @@ def detail_text(
 ) -> Column:
     """S6. Text of the first container that exists, else of the whole page."""
     found = F.coalesce(*[first_element(nodes, tag, token) for tag, token in containers])
-    return truncate(
-        F.when(found.isNotNull(), element_text(nodes, found)).otherwise(joined_text(nodes)), chars
+    picked = bind(
+        found, lambda node: F.when(node.isNotNull(), element_text(nodes, node)).otherwise(joined_text(nodes))
     )
+    return truncate(picked, chars)
 
 
 def detail_pages(pages: DataFrame, key: str = "external_id", html: str = "payload") -> DataFrame:

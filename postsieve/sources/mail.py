@@ -22,7 +22,7 @@ from ..functions.html import (
     nodes_of,
     subtree,
 )
-from ..functions.text import as_column, base64url_text, strip, text
+from ..functions.text import as_column, base64url_text, bind, strip
 from ..functions.urls import canonical_url, url_in_line, without_query
 from ..operators import predicates as p
 from ..operators.dedup import first_row_per_url, shortest_per_key
@@ -109,6 +109,20 @@ def block_texts(nodes: Column, blocks: Column, tags: Sequence[str] = tuple(fixed
     return F.map_from_entries(F.transform(blocks, lambda b: F.struct(b, texts(b))))
 
 
+def with_nearby_text(nodes: Column, found: Column, tags: Sequence[str] = tuple(fixed.COMPANY_TAGS)) -> Column:
+    """J5. Anchors (``title, href, block``) with the text nearby as ``company``."""
+    blocks = F.array_distinct(F.filter(F.transform(found, lambda a: a.block), lambda b: b >= 0))
+    return bind(
+        block_texts(nodes, blocks, tags),
+        lambda texts: F.transform(
+            found,
+            lambda a: F.struct(
+                a.title.alias("title"), nearby_text(texts, a.block, a.title).alias("company"), a.href.alias("href")
+            ),
+        ),
+    )
+
+
 def nearby_text(texts_by_block: Column, block: Column, title: Column) -> Column:
     """J5. First text of the enclosing block that is not the title, empty when there is none."""
     other = F.filter(F.try_element_at(texts_by_block, block), lambda t: t != title)
@@ -178,15 +192,10 @@ def mail_candidates(messages: DataFrame) -> DataFrame:
     picked = found.withColumn("direct", posting_anchors(F.col("found"))).withColumn(
         "loose", loose_anchors(F.col("found"))
     )
-    blocks = F.array_distinct(F.filter(F.transform("direct", lambda a: a.block), lambda b: b >= 0))
-    near = picked.withColumn("texts", block_texts(F.col("nodes"), blocks))
+    near = picked.withColumn("direct", with_nearby_text(F.col("nodes"), F.col("direct")))
     direct = F.transform(
         "direct",
-        lambda a: F.struct(
-            a.title.alias("title"),
-            nearby_text(F.col("texts"), a.block, a.title).alias("company"),
-            canonical_url(a.href).alias("url"),
-        ),
+        lambda a: F.struct(a.title.alias("title"), a.company.alias("company"), canonical_url(a.href).alias("url")),
     )
     rows = near.withColumn("lines", F.split("body", "\n")).select(
         "msg_id",

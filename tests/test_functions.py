@@ -79,7 +79,8 @@ def test_netloc_and_domains(spark):
         "http://mytalent.com": ("mytalent.com", False),
         "//a.b/c": ("a.b", True),
         "talent.com/x": ("", True),
-        "http://[::1/x": (None, True),
+        "http://[::1/x": ("", True),
+        "http://[::1]:80/x": ("[::1]:80", True),
         " \thttps://x.org#f": ("x.org", True),
         None: ("", True),
     }
