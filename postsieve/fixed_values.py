@@ -25,6 +25,7 @@ STORE_ROWS = 300
 DIGEST_ROWS = 10
 KEEP_SCORE = 3
 GATE_DAYS = 3
+RECENCY_DAYS = {"mail": 2, "cards": 1, "search_api": 3, "paged_search": 3}
 ID_TITLE_CHARS = 30
 ID_COMPANY_CHARS = 20
 ID_CHARS = 12

@@ -22,19 +22,14 @@ def enrich(
     spread_by: Sequence[str] = tuple(ORDER),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """J1. Detail text by id, empty on a miss. ``details`` has one row per id.
+    """J1. Detail text by id, empty on a miss or without an id. ``details`` has one row per id.
 
-    Rows without an id have nothing to look up: they stay out of the shuffle join, where they would
-    all meet in one task.
+    The rows are read twice, for the hot ids and for the join: stage them first where they are costly.
     """
-    found = rows.where(F.col(key).isNotNull())
-    joined = spread_join(
-        found, details.select(key, F.col(value).alias("_detail")), [key], "left", spread_by,
-        hot_keys(found, [key], hot_rows),
-    )
-    bare = rows.where(F.col(key).isNull()).withColumn("_detail", F.lit(None).cast("string"))
+    found = details.select(key, F.col(value).alias("_detail"))
+    joined = spread_join(rows, found, [key], "left", spread_by, hot_keys(rows.where(F.col(key).isNotNull()), [key], hot_rows))
     columns = [c for c in rows.columns if c != into]
-    return joined.unionByName(bare).select(*columns, F.coalesce("_detail", F.lit("")).alias(into))
+    return joined.select(*columns, F.coalesce("_detail", F.lit("")).alias(into))
 
 
 def by_terms(
@@ -48,9 +43,10 @@ def by_terms(
 ) -> DataFrame:
     """J4. Rows with none (``left_anti``) or any (``left_semi``) of the listed terms in their text.
 
-    A list within the checked bound becomes one expression. A longer one is never broadcast: the
-    distinct substrings of each text, in the lengths that occur in the list, are joined with the terms
-    on equality, and the rows with a hit are told apart by their unique ``key``.
+    A list within the checked bound becomes one expression. A longer one is joined on equality with the
+    substrings of each text in the lengths that occur in the list; rows with a hit are told apart by
+    their unique ``key``. No pair of row and term is formed unless it hits, and a substring that repeats
+    within a text counts once.
     """
     head = terms.select(term).where(F.length(term) > 0).distinct().limit(max_inline + 1).collect()
     if len(head) <= max_inline:
@@ -58,16 +54,9 @@ def by_terms(
         return rows.where(~hit if how == "left_anti" else hit)
     wanted = terms.select(F.col(term).alias("_gram")).where(F.length("_gram") > 0).distinct()
     sizes = [r[0] for r in wanted.select(F.length("_gram")).distinct().collect()]
-    value = F.coalesce(F.col(text), F.lit(""))
-
-    def grams_of(size: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.length(value) - (size - 1))
-        pieces = F.array_distinct(F.transform(starts, lambda at: F.substring(value, at, F.lit(size))))
-        return rows.where(F.length(value) >= size).select(key, F.explode(pieces).alias("_gram"))
-
-    grams = [grams_of(size) for size in sizes]
-    all_grams = grams[0]
-    for more in grams[1:]:
-        all_grams = all_grams.unionByName(more)
-    hits = all_grams.join(wanted, "_gram", "left_semi").select(key).distinct()
+    texts = rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.explode(F.lit(sizes)).alias("_size"))
+    starts = F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1)
+    pieces = F.transform(starts, lambda at: F.substring(F.col("_text"), at, F.col("_size")))
+    grams = texts.where(F.length("_text") >= F.col("_size")).select(key, F.explode(F.array_distinct(pieces)).alias("_gram"))
+    hits = grams.join(wanted, "_gram", "left_semi").select(key).distinct()
     return rows.join(hits, key, how)

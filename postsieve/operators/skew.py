@@ -4,12 +4,15 @@ The hot keys are found by a counting pass with map-side combine, which shuffles
 task. At most ``MAX_HOT_KEYS`` 64-bit hashes are broadcast (80 kB), whatever the size of the data; keys
 outside that list hold less than 1/``MAX_HOT_KEYS`` of all rows each and take the ordinary shuffle
 join. Rows of a hot key are dealt to ``slices`` tasks by a hash of their own columns, so a repeated
-task deals them out the same way, and the matching row of the other side is repeated per slice.
+task deals them out the same way, and the matching row of the other side is repeated per slice. Rows
+with a null key match nothing and are dealt out as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,8 +66,12 @@ def spread_join(
     def flagged(df: DataFrame) -> DataFrame:
         return df.withColumn(_HASH, hashed).join(flags, _HASH, "left")
 
+    unmatched = reduce(or_, [F.col(c).isNull() for c in on])
     dealt = flagged(left).withColumn(
-        _SLICE, F.when(F.col(_HOT), F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")).otherwise(F.lit(0))
+        _SLICE,
+        F.when(
+            F.coalesce(F.col(_HOT), F.lit(False)) | unmatched, F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")
+        ).otherwise(F.lit(0)),
     )
     repeated = flagged(right).withColumn(
         _SLICE,
