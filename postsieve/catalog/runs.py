@@ -11,10 +11,10 @@ from ..functions.text import content_id, strip, strip_tags, truncate
 from ..functions.urls import domain_ok, netloc
 from ..operators.policy import Policy
 from ..operators.predicates import has_required
-from ..operators.ranking import bounded_store, digest, split_by_score
+from ..operators.ranking import bounded_store, digest, split_by_score, union_sources
 from ..operators.report import admission_stats, run_metadata
 from ..operators.scoring import apply_responses
-from ..plans.daily import Settings, admitted_rows, fetched_rows, judged_rows, pooled_rows, run_day
+from ..plans.daily import Settings, admitted_rows, judged_rows, pooled_rows, run_day
 from ..session import checkpoint_dir, stage
 from ..sinks import tables
 from .base import (
@@ -104,11 +104,14 @@ def _posting_columns(title, company, url, description, source, batch, pos):
     ]
 
 
-def _document_rows(spark, sf, kind: int):
+def _document_rows(spark, sf):
+    """Documents as postings of five feeds, by their source number."""
     number = F.substring("source", 4, 9).cast("int")
     url = F.concat(F.lit("https://www."), F.substring(F.md5("text"), 1, 3), F.lit(".example.com/j"))
-    rows = table(spark, sf, "documents").where(number % len(KINDS) == kind)
-    rows = rows.select(*_posting_columns(strip(first_line()), F.col("source"), url, F.col("text"), F.col("source"), number, F.col("doc_id")))
+    rows = table(spark, sf, "documents").select(
+        *_posting_columns(strip(first_line()), F.col("source"), url, F.col("text"), F.col("source"), number, F.col("doc_id")),
+        F.get(F.lit(KINDS), number % len(KINDS)).alias("kind"),
+    )
     return rows.where(has_required("title", "url") & domain_ok("url", BLOCKED))
 
 
@@ -117,14 +120,14 @@ def _page_rows(spark, sf):
     rows = table(spark, sf, "pages").select(
         *_posting_columns(
             strip(heading()), netloc("url"), url, truncate(strip_tags("html"), 1200), F.lit("pages"), F.lit(24), F.col("page_id")
-        )
+        ),
+        F.lit("rss").alias("kind"),
     )
     return rows.where(has_required("title", "url") & domain_ok("url", BLOCKED))
 
 
-def day_feeds(spark, sf):
-    feeds = {kind: (lambda n=n: _document_rows(spark, sf, n)) for n, kind in enumerate(KINDS)}
-    return {**feeds, "rss": lambda: _page_rows(spark, sf)}
+def day_rows(spark, sf):
+    return union_sources([_document_rows(spark, sf), _page_rows(spark, sf)])
 
 
 def day_ledger(spark, sf):
@@ -173,7 +176,7 @@ DAY_SQL = f"WITH {_POOLED_SQL}, {_LEDGER_SQL}, {_SCORED_SQL}"
 
 
 def _day_admitted(spark, sf):
-    verdicts = stage(judged_rows(fetched_rows(day_feeds(spark, sf), RUN, SETTINGS), SETTINGS))
+    verdicts = stage(judged_rows(day_rows(spark, sf), SETTINGS))
     return stage(admitted_rows(verdicts, pooled_rows(verdicts), day_ledger(spark, sf), RUN, SETTINGS))
 
 
@@ -231,10 +234,8 @@ def stored_runs(spark, sf):
 
     The second day brings the pages and, again, the mail of the first day."""
     root = f"{checkpoint_dir(spark)}/runs/{uuid.uuid4()}"
-    feeds = day_feeds(spark, sf)
-    for day, kinds in enumerate([KINDS, ["mail", "rss"]]):
-        stamp = RUN + dt.timedelta(days=day)
-        rows = fetched_rows({k: feeds[k] for k in kinds}, stamp, SETTINGS)
-        run_day(spark, root, rows, stamp, responses=day_responses, settings=SETTINGS)
+    days = [_document_rows(spark, sf), day_rows(spark, sf).where(F.col("kind").isin("mail", "rss"))]
+    for day, rows in enumerate(days):
+        run_day(spark, root, rows, RUN + dt.timedelta(days=day), responses=day_responses, settings=SETTINGS)
     store = tables.read_store(spark, root, RUN + dt.timedelta(days=1))
     return store.select(F.date_format("added", "yyyy-MM-dd").alias("added"), "id", "title", "score")

@@ -119,9 +119,21 @@ class _Nodes(HTMLParser):
             self._close_last()
 
 
+_NAMES = ["pos", "end_pos", "depth", "parent_pos", "tag", "classes", "href", "text"]
+_CHUNK_NODES = 100_000
+
+
+def _as_arrow(columns: dict[str, list], offsets: list[int]) -> pa.Array:
+    ints, strings = pa.int32(), pa.string()
+    types = [ints, ints, ints, ints, strings, pa.list_(strings), strings, strings]
+    nodes = pa.StructArray.from_arrays([pa.array(columns[n], t) for n, t in zip(_NAMES, types)], _NAMES)
+    return pa.ListArray.from_arrays(pa.array(offsets, ints), nodes)
+
+
 def _parse_batch(pages: pa.Array) -> pa.Array:
-    names = ["pos", "end_pos", "depth", "parent_pos", "tag", "classes", "href", "text"]
-    columns: dict[str, list] = {name: [] for name in names}
+    """Turns into Arrow every so many nodes, so that only a chunk of them is ever held as objects."""
+    chunks: list[pa.Array] = []
+    columns: dict[str, list] = {name: [] for name in _NAMES}
     offsets = [0]
     for page in pages:
         html = page.as_py()
@@ -130,10 +142,11 @@ def _parse_batch(pages: pa.Array) -> pa.Array:
             parser.feed(html)
             parser.finish()
         offsets.append(len(columns["tag"]))
-    ints, strings = pa.int32(), pa.string()
-    types = [ints, ints, ints, ints, strings, pa.list_(strings), strings, strings]
-    nodes = pa.StructArray.from_arrays([pa.array(columns[n], t) for n, t in zip(names, types)], names)
-    return pa.ListArray.from_arrays(pa.array(offsets, ints), nodes)
+        if offsets[-1] >= _CHUNK_NODES:
+            chunks.append(_as_arrow(columns, offsets))
+            columns, offsets = {name: [] for name in _NAMES}, [0]
+    chunks.append(_as_arrow(columns, offsets))
+    return pa.concat_arrays(chunks)
 
 
 @F.arrow_udf(NODES)

@@ -22,11 +22,12 @@ def enrich(
     spread_by: Sequence[str] = tuple(ORDER),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """J1. Detail text by id, empty on a miss or without an id. ``details`` has one row per id.
+    """J1. Detail text by id, empty on a miss or without an id. Should a detail have landed more than
+    once, the same one is taken each time, and not an empty one.
 
     The rows are read twice, for the hot ids and for the join: stage them first where they are costly.
     """
-    found = details.select(key, F.col(value).alias("_detail"))
+    found = details.groupBy(key).agg(F.max(value).alias("_detail"))
     joined = spread_join(rows, found, [key], "left", spread_by, hot_keys(rows.where(F.col(key).isNotNull()), [key], hot_rows))
     columns = [c for c in rows.columns if c != into]
     return joined.select(*columns, F.coalesce("_detail", F.lit("")).alias(into))

@@ -18,8 +18,17 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_sql(spark, duck, name):
-    verdict = compare(spark, duck, name, SF, queries()[name], oracle_sql().get(name))
+    frames = []
+
+    def run(session, sf):
+        frames.append(queries()[name](session, sf))
+        return frames[0]
+
+    verdict = compare(spark, duck, name, SF, run, oracle_sql().get(name))
     assert verdict.startswith(("ok", "rows only", "EMPTY")), verdict
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert unwanted not in plan, plan
 
 
 def test_entry_gives_rows(spark):

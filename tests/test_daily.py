@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from helpers import posting_rows, values
 from postsieve.operators.scoring import apply_responses, request_block, request_text, score_with
-from postsieve.plans.daily import Settings, fetched_rows, run_day
+from postsieve.plans.daily import Settings, admitted_rows, fetched_rows, judged_rows, pooled_rows, run_day
 from postsieve.plans.evaluate import answers
+from postsieve.session import stage
 from postsieve.sinks import tables
 from postsieve.streaming.incremental import run_stream
 
@@ -164,3 +165,24 @@ def test_incremental_stream_equals_daily_runs(spark, tmp_path):
     last = RUN + 2 * DAY
     titles = [[r.title for r in tables.read_store(spark, r, last).collect()] for r in (root, stream_root)]
     assert titles[0] == titles[1] == ["D", "C", "A", "B"]
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_reads_no_descriptions(spark):
+    staged = stage(judged_rows(day(spark, ["A", "B"])))
+    scans = [line for line in executed(pooled_rows(staged)).splitlines() if "ReadSchema" in line]
+    assert scans and not any("description" in line for line in scans)
+    assert all("EqualTo(kept,true)" in line for line in scans)
+
+
+def test_whole_rows_are_joined_once_and_never_sorted_in_a_window(spark):
+    staged = stage(judged_rows(day(spark, ["A", "B"])))
+    ledger = values(spark, "id string, at string", []).select("id", F.col("at").cast("timestamp").alias("first_seen"))
+    out = admitted_rows(staged, pooled_rows(staged), ledger, RUN)
+    assert {r.title for r in out.collect()} == {"A", "B"}
+    windows = [line for line in executed(out).splitlines() if "Window" in line]
+    assert windows and not any("description" in line for line in windows)
+    assert executed(out).count("description") and sum("description" in line for line in executed(out).splitlines() if "FileScan" in line) <= 2
