@@ -148,12 +148,15 @@ def category_feed_source(spark, sf):
     return category_feed_postings(landed(documents(spark, sf), payload, "doc_id"), blocked=BLOCKED).select(SHOWN)
 
 
-_DECODED = "replace(replace({}, '&quot;', '\"'), '&amp;', '&')"
+# Entities as a page reader takes them: the semicolon may be missing.
+_DECODED = "regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+# A heading with a bare ampersand makes the feed unreadable as XML; both its items are lost.
+_READABLE = f"NOT contains(replace(replace({HEADING_SQL}, '&quot;', ''), '&amp;', ''), '&')"
 
 
 @query(
     "rss_source",
-    f"""WITH h AS (SELECT page_id, url, html, {_DECODED.format(HEADING_SQL)} AS heading FROM pages),
+    f"""WITH h AS (SELECT page_id, url, html, {_DECODED.format(HEADING_SQL)} AS heading FROM pages WHERE {_READABLE}),
              i AS (SELECT page_id * 4294967296 AS pos, url, html, 'Acme ' || page_id || ': ' || heading AS raw FROM h
                    UNION ALL SELECT page_id * 4294967296 + 1, url || '/2', '', heading FROM h),
              s AS (SELECT *, position(': ' IN raw) AS cut FROM i)

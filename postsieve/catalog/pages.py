@@ -11,7 +11,7 @@ from ..sources.mail import with_nearby_text
 from .base import HEADING_SQL, heading, netloc_sql, query, strip_sql, table
 from .feeds import _DECODED
 
-_BODY_ENTITIES = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_BODY_ENTITIES = "replace(replace(" + _DECODED + ", '&copy;', '©'), '&middot;', '·')"
 
 
 @query("html_nodes")

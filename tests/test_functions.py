@@ -155,3 +155,18 @@ def test_pattern_keeps_meaning_when_bound_is_shared(spark):
 def test_keyword_score(spark):
     df = values(spark, "t string", [("Remote brand lead",), ("remote remote",), ("none",), (None,)])
     assert column(df, match.keyword_score("t", {"remote": 4, "brand": 3.5, "lead": 6})) == [10.0, 4.0, 0.0, 0.0]
+
+
+def test_base64url_padding(spark):
+    import binascii
+
+    coded = ["YWJj", "YWI=", "YWI", "YQ==", "YQ=", "YQ", "Y", "", "YW Jj", "YQ =", "Y Q==", "YWJj\n", "Y*Q==", "YW\tI="]
+
+    def python(t):
+        try:
+            return base64.urlsafe_b64decode(t).decode("utf-8", errors="replace")
+        except binascii.Error:
+            return None
+
+    df = values(spark, "t string", [(c,) for c in coded])
+    assert column(df, text.base64url_text("t")) == [python(c) for c in coded]
