@@ -168,9 +168,6 @@ def required_fields(spark, sf):
     return titled(spark, sf).where(p.has_required("title", company)).select("doc_id")
 
 
-_PLACE_SQL = f"lower(substr({TITLE}, 1, 60))"
-
-
 @query(
     "location_only",
     rf"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS anchor FROM pages)

@@ -8,8 +8,7 @@ from ..functions.urls import netloc
 from ..operators import predicates as p
 from ..plans.mail import with_details
 from ..sources.mail import mail_candidates, mail_postings, mime_bodies, preferred_body
-from .base import HEADING_SQL, contains_any_sql, heading, netloc_sql, query, strip_sql, table
-from .feeds import _DECODED
+from .base import contains_any_sql, heading, netloc_sql, query, strip_sql, table
 from .. import fixed_values as fixed
 
 

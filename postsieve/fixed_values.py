@@ -122,7 +122,6 @@ RELEVANT_TITLE_TERMS = [
 ]
 
 # --- Fixed values: category feed ------------------------------------------------------------------
-FEED_CATEGORIES = ["marketing", "design", "artificial-intelligence", "communications"]
 DEFAULT_LOCATION = "Worldwide"
 SKIPPED_REGIONS = ["europe", "european", "asia", "apac", "emea", "africa", "middle east"]
 RESCUED_REGIONS = ["americas", "worldwide", "global", "us", "canada"]

@@ -1,8 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from helpers import values
 from postsieve.sources.cards import card_postings, detail_pages
 from postsieve.sources.json_feeds import array_feed_postings, category_feed_postings, paged_search_postings, search_api_postings
