@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination
+from . import decontamination, packing, token_codes
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,23 @@ def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         sha256_hex(F.array_join(ids, ",")).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+# --- 2, 7: texts are encoded by a library, which SQL does not have -----------------------------------------
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_token_codes")
+def op2_token_codes(spark: SparkSession, sf: str) -> DataFrame:
+    path, files = token_codes.write_codes(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_codes.read_codes(spark, path, files)
+
+
+@query("op7_sequence_packing")
+def op7_sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
