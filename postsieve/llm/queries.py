@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, packing, token_codes
+from . import decontamination, packing, substring_dedup, token_codes
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,31 @@ def op2_token_codes(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_sequence_packing")
 def op7_sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
+
+
+# --- 9 -------------------------------------------------------------------------------------------------
+
+WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+SUBSTRING_DEDUP_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+x AS (SELECT doc_id, i, w[i : i + 12] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win),
+r AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM x JOIN f USING (win) WHERE first < doc_id
+),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN r USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", SUBSTRING_DEDUP_SQL)
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", sha256_hex("kept").alias("kept_sha256"))
