@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, packing, substring_dedup, token_codes
+from ..session import new_folder
+from . import decontamination, packing, substring_dedup, token_codes, warc
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +117,22 @@ FROM d LEFT JOIN k USING (doc_id)
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = substring_dedup.dedup(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", sha256_hex("kept").alias("kept_sha256"))
+
+
+# --- 3 -------------------------------------------------------------------------------------------------
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT payload, max(page_id) AS last FROM p WHERE strlen(payload) >= 1000 GROUP BY payload)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN g USING (payload)
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write_archives(warc.page_records(table(spark, sf, "pages")), path)
+    return warc.archived_pages(spark, path)

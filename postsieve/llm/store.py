@@ -24,7 +24,7 @@ def write_whole(uri: str, name: str, attempt: int, parts: list[bytes]) -> None:
     """A file under its final name only when it is complete: a repeated or doubled task leaves one file."""
     store, path = opened(uri)
     draft = f"{path}/.{name}.{attempt}"
-    with store.open_output_stream(draft) as out:
+    with store.open_output_stream(draft, compression=None) as out:
         for part in parts:
             out.write(part)
     store.move(draft, f"{path}/{name}")
