@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontamination, packing, substring_dedup, token_codes, warc
+from . import decontamination, ngram_join, packing, substring_dedup, token_codes, warc
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,31 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_archives(warc.page_records(table(spark, sf, "pages")), path)
     return warc.archived_pages(spark, path)
+
+
+# --- 5 -------------------------------------------------------------------------------------------------
+
+NGRAM_JOIN_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i : i + least(5, len(w)) - 1] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+),
+l AS (
+  SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)
+),
+r(node, seen) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(seen) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
+@query("op5_ngram_jaccard_join", NGRAM_JOIN_SQL)
+def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.classes_of(table(spark, sf, "documents"))
