@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontamination, ngram_join, packing, substring_dedup, token_codes, warc
+from . import decontamination, embedding_dedup, ngram_join, packing, substring_dedup, token_codes, warc
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,27 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id,
 @query("op5_ngram_jaccard_join", NGRAM_JOIN_SQL)
 def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.classes_of(table(spark, sf, "documents"))
+
+
+# --- 4 -------------------------------------------------------------------------------------------------
+
+EMBEDDING_DEDUP_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (
+  SELECT vec_id, v FROM e
+  WHERE v IS NOT NULL AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0
+),
+l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+),
+r(node, seen) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, min(seen) AS component_id, min(seen) = e.vec_id AS kept
+FROM e LEFT JOIN n USING (vec_id) JOIN r ON r.node = e.vec_id GROUP BY e.vec_id, n
+"""
+
+
+@query("op4_embedding_near_dedup", EMBEDDING_DEDUP_SQL)
+def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf, "embeddings"))
