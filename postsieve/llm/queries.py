@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontamination, embedding_dedup, ngram_join, packing, substring_dedup, token_codes, warc
+from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, substring_dedup, token_codes, warc
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +188,12 @@ FROM e LEFT JOIN n USING (vec_id) JOIN r ON r.node = e.vec_id GROUP BY e.vec_id,
 @query("op4_embedding_near_dedup", EMBEDDING_DEDUP_SQL)
 def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf, "embeddings"))
+
+
+# --- 6: patience diff is an algorithm over sequences, which SQL does not express ----------------------------
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", sha256_hex(F.coalesce("kept", F.lit(""))).alias("kept_sha256"))
