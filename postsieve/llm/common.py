@@ -30,9 +30,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples of Python values."""
+    """The rows of Arrow batches as tuples of Python values, some hundred rows at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -102,6 +104,36 @@ def may_occur(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+# --- counts by slot: sums of fixed size -----------------------------------------------------------------
+
+PARTS = 64
+
+
+def count_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A task's counts (32 bits) in parts, for ``summed``."""
+    return list(range(PARTS)), [p.tobytes() for p in np.split(counts.astype(np.uint32), PARTS)]
+
+
+def summed(rows: DataFrame, slots: int) -> np.ndarray:
+    """The sum of the tasks' counts, rows (part INT, counts BINARY). Each part is added up in a task of its own; the
+    driver gets ``slots`` numbers."""
+    width = slots // PARTS
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for part, counts in rows_of(batches, "part", "counts"):
+            found = np.frombuffer(counts, np.uint32)
+            total[part] = total[part] + found if part in total else found.astype(np.int64)
+        for part, counts in total.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": [counts.tobytes()]})
+
+    out = np.zeros(slots, np.int64)
+    parts = rows.select("part", "counts").repartition(PARTS, "part").mapInArrow(add, "part int, counts binary")
+    for part, counts in parts.toLocalIterator():
+        out[part * width : (part + 1) * width] = np.frombuffer(counts, np.int64)
+    return out
+
+
 # --- components ----------------------------------------------------------------------------------------
 
 

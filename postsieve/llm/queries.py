@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, substring_dedup, token_codes, warc
+from . import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, substring_dedup, token_codes, warc
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,22 @@ def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup.dedup(table(spark, sf, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", sha256_hex(F.coalesce("kept", F.lit(""))).alias("kept_sha256"))
+
+
+# --- 1: a trained model ------------------------------------------------------------------------------------
+
+
+def held_out(modulus: int) -> Column:
+    """Rows that nothing is learned from; rows without doc_id are none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language_id.Model:
+    return language_id.learn(docs.where(~held_out(4)))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    predicted = language_id.with_language(docs.drop("lang"), language_model(docs))
+    return predicted.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
