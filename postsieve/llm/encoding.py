@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
+from types import ModuleType
 
 import numpy as np
 
 END_ID = 2
-MEMO = 300_000
+MEMO = 400_000
+PUNCTUATION = frozenset(".,;:!?")
 
 _INNER = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -37,17 +41,59 @@ def blanks(rules: str) -> str:
     return "drop" if drops and kinds <= {"NFC", "Replace", "Lowercase"} else "unknown"
 
 
-class Encoder:
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable ones stand for themselves, the others
+    follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Torn(Exception):
+    """A piece that begins or ends where a text may not be parted."""
+
+
+class Encoder(dict):
+    """Memo of the ids of pieces. What is met while the memo is full moves the older half out."""
+
     def __init__(self, rules: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(rules)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.blanks, self.limit, self.memo = blanks(rules), memo, {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.blanks, self.limit, self.old = blanks(rules), memo // 2, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if not self.whole(piece):
+                raise Torn
+            ids = self.fresh(piece)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def fresh(self, piece: str) -> bytes:
+        if piece[:1] == "\n" and len(piece) > 1:
+            return self["\n"] + self[piece[1:]]
+        if piece[-1:] in PUNCTUATION and piece[-2:-1].isalpha():  # letters and other signs are never merged
+            return self[piece[:-1]] + self[piece[-1]]
+        word = piece[1:] if self.blanks == "keep" and piece[:1] == " " else piece
+        if word.isalpha() and max(word) < "\u0100":  # one word for the model: no rule parts or changes letters
+            if self.blanks == "drop":
+                piece = piece.lower()
+            word = piece.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return self.library(piece)
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
-        if self.blanks == "unknown":
-            return [text]
         if self.blanks == "drop":
             return text.replace("\n", " ").split(" ")
         if "\0" in text:
@@ -56,30 +102,32 @@ class Encoder:
 
     def whole(self, piece: str) -> bool:
         """Whether the piece begins and ends where a text may be parted: no blank next to another."""
-        if self.blanks != "keep" or not piece:
+        if self.blanks != "keep" or not piece or piece == "\n":
             return True
         inner = piece[1:2].isspace() or len(piece) == 1 if piece[0] in " \n" else False
         return not inner and not piece[-1].isspace()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo = self.memo
-        parted = [self.pieces(t) for t in texts]
-        fresh = {p for pieces in parted for p in pieces if p not in memo}
-        odd = {p for p in fresh if not self.whole(p)}
-        if odd:
-            for k, pieces in enumerate(parted):
-                if not odd.isdisjoint(pieces):
-                    parted[k] = _INNER.split(texts[k])
-                    if not all(map(self.whole, parted[k])):  # blanks at an end of the text, or runs of them inside
-                        parted[k] = [texts[k]]
-            fresh = {p for pieces in parted for p in pieces if p not in memo}
-        once = {}
-        listed = list(fresh)
-        for piece, found in zip(listed, self.tokenizer.encode_batch(listed, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4").tobytes()
-            (memo if self.blanks != "unknown" and self.whole(piece) else once)[piece] = ids
-        get = memo.__getitem__ if not once else lambda p: once[p] if p in once else memo[p]
-        return [b"".join(map(get, pieces)) for pieces in parted]
+        return [self.ids(t) for t in texts]
+
+    def ids(self, text: str) -> bytes:
+        if self.blanks == "unknown":
+            return self.library(text)
+        try:
+            pieces = self.pieces(text)
+            if self.blanks == "keep" and "\n" in pieces:  # a line end before a blank
+                raise Torn
+            return b"".join(map(self.__getitem__, pieces))
+        except Torn:
+            pieces = _INNER.split(text)
+            return b"".join([self[p] if self.whole(p) and p != "\n" else self.library(p) for p in pieces])
+
+
+def encoder(rules: str) -> Encoder:
+    """The encoder of this Python worker: its memo outlives the task."""
+    kept = sys.modules.setdefault("_postsieve_encoders", ModuleType("_postsieve_encoders"))
+    key = f"of_{hash(rules)}"
+    if not hasattr(kept, key):
+        setattr(kept, key, Encoder(rules))
+    return getattr(kept, key)

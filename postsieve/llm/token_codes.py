@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder, stage
 from .common import batch_of, keyed_texts, partitions, rows_of
-from .encoding import END_ID, Encoder, vocabulary
+from .encoding import END_ID, encoder, vocabulary
 from .store import make_folder, write_whole
 
 MAGIC = b"DACTOK01"
 HEAD = "<8sQQQQ"  # magic, ids before this file in its partition, documents, ids, levels
 RANK_STEP = 512
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 BATCH = 256
 
 DONE = "part long, file string, base long, n_docs long, n_ids long"
@@ -150,7 +150,7 @@ def write_codes(
     schema = pa.schema([(n, pa.string() if n == "file" else pa.int64()) for n in ("part", "file", "base", "n_docs", "n_ids")])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(rules.value), TaskContext.get()
+        encoded, task = encoder(rules.value), TaskContext.get()
         part, end, base, count = task.partitionId(), np.array([end_id], "<u4").tobytes(), 0, 0
         doc_ids, parts, size = [], [], 0
 
@@ -165,7 +165,7 @@ def write_codes(
             return row
 
         for keys, texts in in_groups(rows_of(batches, "doc_id", "text"), BATCH):
-            for key, ids in zip(keys, encoder.encode(texts), strict=True):
+            for key, ids in zip(keys, encoded.encode(texts), strict=True):
                 doc_ids.append(key)
                 parts.append(ids + end)
                 size += len(ids) // 4 + 1
