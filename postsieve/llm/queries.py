@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, substring_dedup, token_codes, warc
+from . import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, recurrent_lm, substring_dedup, token_codes, warc
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +216,12 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     predicted = language_id.with_language(docs.drop("lang"), language_model(docs))
     return predicted.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
+# --- 10: a trained model -----------------------------------------------------------------------------------
+
+
+@query("op10_recurrent_lm")
+def op10_recurrent_lm(spark: SparkSession, sf: str) -> DataFrame:
+    scored = recurrent_lm.score(table(spark, sf, "documents"), ~held_out(7))
+    return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
