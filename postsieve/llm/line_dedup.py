@@ -24,6 +24,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -40,7 +41,6 @@ LINES = "doc_id long, digest long, hashes binary, words binary"
 HOLDERS = "bucket long, hashes binary, docs binary, digests binary, counts binary"
 MET = "line long, a long, a_digest long, b long, b_digest long"
 DELETED = "b long, b_digest long, deleted array<int>"
-KEPT = "doc_id long, n_lines long, n_removed long, kept string"
 
 
 def schema_of(ddl: str) -> pa.Schema:
@@ -248,25 +248,30 @@ def deletions(docs: DataFrame, rare: int, anchor_words: int, min_words: int) ->
     return found.groupBy("b", "b_digest").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted"))
 
 
-def dedup(docs: DataFrame, rare: int = RARE, anchor_words: int = ANCHOR_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_removed and the kept text of every row of ``docs`` (doc_id, text)."""
-    schema = schema_of(KEPT)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for doc_id, text, deleted in rows_of(batches, "doc_id", "text", "deleted"):
-            n = 0 if not text else text.count(b"\n") + 1
-            if deleted:
-                gone = set(deleted)
-                text = b"\n".join([x for k, x in enumerate(text.split(b"\n")) if k not in gone])
-            held.append((doc_id, n, len(deleted or ()), text if text is None else text.decode("utf-8")))
-            size += len(text or b"")
-            if size >= 4 << 20 or len(held) == 1000:
-                yield batch_of(schema, list(zip(*held, strict=True)))
-                held, size = [], 0
-        if held:
-            yield batch_of(schema, list(zip(*held, strict=True)))
+def cut(texts: pd.Series, deleted: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, places in zip(texts, deleted, strict=True):
+        n = text.count("\n") + 1 if text else 0
+        if places is not None and len(places):
+            gone = set(places.tolist())
+            text = "\n".join([x for k, x in enumerate(text.split("\n")) if k not in gone])
+        rows.append((n, 0 if places is None else len(places), text))
+    return pd.DataFrame(rows, columns=["n_lines", "n_removed", "kept"])
 
-    gone = deletions(docs, rare, anchor_words, min_words).select(F.col("b").alias("doc_id"), F.col("b_digest").alias("digest"), "deleted")
-    joined = with_digest(docs).join(gone, ["doc_id", "digest"], "left").select("doc_id", "text", "deleted")
-    return joined.mapInArrow(cut, KEPT)
+
+def without_blocks(docs: DataFrame, rare: int = RARE, anchor_words: int = ANCHOR_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with the kept lines as text, and n_lines and n_removed; columns of
+    these two names are replaced."""
+    gone = deletions(docs, rare, anchor_words, min_words)
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": F.xxhash64(F.col("text").cast("binary"))})
+    joined = keyed.join(gone.withColumnsRenamed({"b": "_id", "b_digest": "_digest", "deleted": "_deleted"}), ["_id", "_digest"], "left")
+    cutting = F.pandas_udf(cut, "n_lines long, n_removed long, kept string")
+    made = joined.withColumn("_made", cutting(F.col("text").cast("string"), F.col("_deleted")))
+    columns = {"text": F.col("_made.kept"), "n_lines": F.col("_made.n_lines"), "n_removed": F.col("_made.n_removed")}
+    return made.withColumns(columns).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+
+
+def dedup(docs: DataFrame, **options: int) -> DataFrame:
+    """doc_id, n_lines, n_removed and the kept text of every row of ``docs`` (doc_id, text)."""
+    found = without_blocks(docs.select("doc_id", "text"), **options)
+    return found.select(F.col("doc_id").cast("long"), "n_lines", "n_removed", F.col("text").alias("kept"))
