@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import batch_of, keyed_texts, rows_of
-from .encoding import END_ID, Encoder, vocabulary
+from .encoding import END_ID, encoder, vocabulary
 from .token_codes import in_groups
 
 CAPACITY = 4096
@@ -98,7 +98,7 @@ def pack(
     schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (c.split() for c in PIECE.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(rules.value), np.array([end_id], "<u4").tobytes()
+        encoded, end = encoder(rules.value), np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 34
         held, size = [], 0
 
@@ -117,7 +117,7 @@ def pack(
             return batch_of(schema, list(zip(*rows, strict=True)))
 
         for keys, texts in in_groups(rows_of(batches, "doc_id", "text"), BATCH):
-            for key, ids in zip(keys, encoder.encode(texts), strict=True):
+            for key, ids in zip(keys, encoded.encode(texts), strict=True):
                 held.append((key, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= group_ids:
