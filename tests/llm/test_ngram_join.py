@@ -74,7 +74,8 @@ def test_chains_of_near_copies_and_common_passages(spark, monkeypatch, cell, slo
     assert links > 100 and len({w[2] for w in want}) < len(docs) - 40
 
 
-def test_a_cell_keeps_every_pair_at_the_threshold():
+def test_a_list_keeps_every_pair_at_the_threshold(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
     rng = np.random.default_rng(0)
     base = rng.choice(10**6, 80, replace=False)
     sets = []
@@ -86,13 +87,17 @@ def test_a_cell_keeps_every_pair_at_the_threshold():
     n = np.array([len(s) for _, s, _ in rows], np.int32)
     leader = sets[rows[0][0]]
     shared = np.array([len(np.intersect1d(leader, s)) for _, s, _ in rows])
-    for parents in (np.zeros(len(rows), np.int64), np.full(len(rows), 5)):
+    def short(c):
+        monkeypatch.setattr(ngram_join, "BLOCK", 1000)
+        return ngram_join.short_lists(c, np.zeros(len(rows), np.int64))
+
+    for search, parents in ((s, p) for s in (ngram_join.long_list, short) for p in (np.zeros(len(rows), np.int64), np.full(len(rows), 5))):
         columns = {
             "fp": np.array([k for k, _, _ in rows]), "n": n, "pos": np.array([p for _, _, p in rows], np.int32), "comp": np.arange(len(rows)),
-            "part": np.zeros(len(rows)), "parent": parents, "po": shared, "pn": np.full(len(rows), len(leader)),
+            "part": np.zeros(len(rows)), "i": np.zeros(len(rows)), "j": np.zeros(len(rows)), "parent": parents, "po": shared, "pn": np.full(len(rows), len(leader)),
         }
         pairs = {}
-        for a, b, sure in ngram_join.Cell(columns).pairs(False):
+        for a, b, _, _, sure in search(columns):
             pairs.update({(min(x, y), max(x, y)): s for x, y, s in zip(a.tolist(), b.tolist(), sure.tolist(), strict=True)})
         good = 0
         for i, (k, s, p) in enumerate(rows):
