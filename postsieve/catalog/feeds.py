@@ -50,7 +50,7 @@ def pages(spark, sf):
 
 
 _BATCH = "CAST(substr(source, 4) AS INT)"
-_POS = "doc_id * 4294967296"
+_POS = "doc_id * 1048576"
 
 
 def _money(expr: str, unit: str) -> str:
@@ -98,7 +98,7 @@ def search_api_source(spark, sf):
     "array_feed_source",
     f"""SELECT {strip_sql(HEADING_SQL)} AS title, {netloc_sql("url")} AS company, url, substr({tags_out_sql("html")}, 1, 1200) AS description,
                CASE WHEN page_id = 0 THEN '' ELSE '$' || {thousands_sql("page_id")} || '–$' || {thousands_sql("page_id + 10000")} END AS salary,
-               '' AS posted, 30 AS batch_seq, page_id * 4294967296 + 1 AS pos
+               '' AS posted, 30 AS batch_seq, page_id * 1048576 + 1 AS pos
         FROM pages WHERE {strip_sql(HEADING_SQL)} <> '' AND NOT {contains_any_sql(netloc_sql("url"), BLOCKED)}
           AND (contains(url, '/en/') OR {contains_any_sql(f"lower({HEADING_SQL})", ["est", "lead"])})""",
 )
@@ -157,8 +157,8 @@ _READABLE = f"NOT contains(replace(replace({HEADING_SQL}, '&quot;', ''), '&amp;'
 @query(
     "rss_source",
     f"""WITH h AS (SELECT page_id, url, html, {_DECODED.format(HEADING_SQL)} AS heading FROM pages WHERE {_READABLE}),
-             i AS (SELECT page_id * 4294967296 AS pos, url, html, 'Acme ' || page_id || ': ' || heading AS raw FROM h
-                   UNION ALL SELECT page_id * 4294967296 + 1, url || '/2', '', heading FROM h),
+             i AS (SELECT page_id * 1048576 AS pos, url, html, 'Acme ' || page_id || ': ' || heading AS raw FROM h
+                   UNION ALL SELECT page_id * 1048576 + 1, url || '/2', '', heading FROM h),
              s AS (SELECT *, position(': ' IN raw) AS cut FROM i)
         SELECT {strip_sql("CASE WHEN cut > 0 THEN substr(raw, cut + 2) ELSE raw END")} AS title,
                {strip_sql("CASE WHEN cut > 0 THEN substr(raw, 1, cut - 1) ELSE '' END")} AS company, url,
@@ -184,7 +184,7 @@ def rss_source(spark, sf):
     f"""SELECT o_clerk_title AS title, o_orderpriority AS company, 'https://jobs.example.org/' || o_orderkey AS url, o_orderstatus AS description,
                CASE WHEN o_custkey % 2 = 0 THEN '$' || {thousands_sql("o_totalprice")} || '–$' || {thousands_sql("o_totalprice + 1000")} || ' CAD/month'
                     ELSE '$' || {thousands_sql("o_totalprice")} || '+ USD' END AS salary,
-               '' AS posted, 31 AS batch_seq, o_orderkey * 4294967296 AS pos
+               '' AS posted, 31 AS batch_seq, o_orderkey * 1048576 AS pos
         FROM (SELECT *, 'Order ' || o_custkey AS o_clerk_title FROM orders)""",
 )
 def paged_search_source(spark, sf):

@@ -237,25 +237,46 @@ def source_funnel(spark, sf):
     return funnel(judged(rows, POLICIES, TERMS, "source"))
 
 
-_TERM_SQL = "substr(b.text, 1, 12)"
+@query(
+    "query_funnel",
+    f"""SELECT source AS kind, CAST(doc_id % 7 AS INT) AS batch_seq, count(*) AS fetched, count(*) FILTER (WHERE {POLICY_SQL}) AS kept,
+               count(*) FILTER (WHERE {RESTRICTED}) AS residency_dropped, count(*) FILTER (WHERE text <> '') AS enriched
+        FROM documents GROUP BY ALL""",
+)
+def query_funnel(spark, sf):
+    """A1 per kind of feed and batch, which is one query of the feed."""
+    batch = (F.col("doc_id") % 7).cast("int").alias("batch_seq")
+    rows = titled(spark, sf).select("*", batch, F.col("source").alias("kind"), *[F.lit("").alias(c) for c in ("company", "url", "salary", "posted")])
+    return funnel(judged(rows, POLICIES, TERMS, "source"), "kind", "batch_seq")
 
 
 @query(
     "term_list_anti_join",
-    f"SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, {_TERM_SQL}))",
+    "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))",
 )
 def term_list_anti_join(spark, sf):
-    terms = table(spark, sf, "benchmark").select(F.substring("text", 1, 12).alias("term"))
-    return by_terms(table(spark, sf, "documents"), terms, "text", "doc_id", "left_anti").select("doc_id")
+    terms = table(spark, sf, "benchmark").select(F.col("text").alias("term"))
+    return by_terms(table(spark, sf, "documents"), terms, "text", "left_anti").select("doc_id")
 
 
 @query(
     "term_list_semi_join",
-    f"SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, {_TERM_SQL}))",
+    "SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))",
 )
 def term_list_semi_join(spark, sf):
-    terms = table(spark, sf, "benchmark").select(F.substring("text", 1, 12).alias("term"))
-    return by_terms(table(spark, sf, "documents"), terms, "text", "doc_id", "left_semi").select("doc_id")
+    terms = table(spark, sf, "benchmark").select(F.col("text").alias("term"))
+    return by_terms(table(spark, sf, "documents"), terms, "text", "left_semi").select("doc_id")
+
+
+@query(
+    "term_list_long",
+    """WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark)
+       SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM t WHERE length(term) > 9 AND contains(d.text, term))""",
+)
+def term_list_long(spark, sf):
+    """J4 with many terms: the long words of the benchmark."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("term"))
+    return by_terms(table(spark, sf, "documents"), words.where(F.length("term") > 9), "text", "left_semi").select("doc_id")
 
 
 _HITS_SQL = " + ".join(f"CASE WHEN contains(lower(text), {quoted(t)}) THEN {w} ELSE 0 END" for t, w in WEIGHTS.items())

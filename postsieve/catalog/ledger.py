@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.stamps import stamp_like
 from ..operators import ledger as ops
-from ..session import checkpoint_dir
+from ..session import new_folder
 from ..streaming.ledger import admitted_stream, rocksdb_state
 from .base import query, stamp_sql, stamp_text, table
 
@@ -142,11 +141,16 @@ def expiring_ledger_21d(spark, sf):
        SELECT d.user_id, d.event_id, strftime(d.day, '%Y-%m-%d') AS day FROM a JOIN d USING (user_id, day)""",
 )
 def streaming_ledger(spark, sf):
-    """T1 with one run per day, as a stream over the events written to a table when it has caught up."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    arrivals = events.select("user_id", "event_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("run"))
-    out = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4()}"
+    """T1 with one run per day, as a stream over the events written to a table when it has caught up. The events come
+    in one file per ten days, read one file after the other, so the state is carried over at least three
+    micro-batches."""
+    out = new_folder(spark, "streams")
+    events = table(spark, sf, "events").select("user_id", "event_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("run"))
+    first, last = events.agg(F.min("run"), F.max("run")).first()
+    for days in range(0, (last - first).days + 1, 10):
+        part = events.where((F.col("run") >= F.lit(first + dt.timedelta(days=days))) & (F.col("run") < F.lit(first + dt.timedelta(days=days + 10))))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/events")
+    arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
     with rocksdb_state(spark):
         stream = (
             admitted_stream(arrivals, "user_id", "run", ["event_id"], dt.timedelta(days=7))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import strip
 from ..functions.urls import netloc
 from ..operators import predicates as p
 from ..plans.mail import with_details
@@ -107,7 +108,7 @@ def mail_candidates_query(spark, sf):
              s AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY CASE strategy WHEN 1 THEN length(title) ELSE 0 END, pos) AS r,
                           min(pos) OVER (PARTITION BY page_id, url) AS first FROM c),
              u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, first) AS n FROM s WHERE r = 1)
-        SELECT title, company, url, page_id * 4294967296 + first AS pos,
+        SELECT title, company, url, page_id * 1048576 + first AS pos,
                coalesce((SELECT 'quality ' || quality FROM labels WHERE '40' || lpad(CAST(doc_id * 10 AS VARCHAR), 8, '0') = regexp_extract(url, '/(\\d{{7,}})$', 1)), '') AS description
         FROM u WHERE n = 1""",
 )
@@ -163,11 +164,13 @@ def loose_anchor_filter(spark, sf):
 
 @query(
     "line_title_filter",
-    f"""SELECT doc_id FROM documents WHERE length({strip_sql("split_part(text, chr(10), 1)")}) > 4
-        AND NOT {contains_any_sql(f"lower({strip_sql('split_part(text, chr(10), 1)')})", [*fixed.LINE_SCAFFOLDING, "est"])}""",
+    f"""SELECT doc_id, i, title FROM (
+          SELECT doc_id, i, {strip_sql("line")} AS title FROM (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))
+        WHERE length(title) > 4 AND NOT {contains_any_sql("lower(title)", [*fixed.LINE_SCAFFOLDING, "est"])}""",
 )
 def line_title_filter(spark, sf):
-    from ..functions.text import strip
-
-    title = strip(F.substring_index("text", "\n", 1))
-    return table(spark, sf, "documents").where(p.line_title_ok(title, [*fixed.LINE_SCAFFOLDING, "est"])).select("doc_id")
+    """F13 on every line of the documents."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    titles = lines.select("doc_id", F.col("i").cast("long").alias("i"), strip("line").alias("title"))
+    return titles.where(p.line_title_ok("title", [*fixed.LINE_SCAFFOLDING, "est"]))

@@ -58,9 +58,9 @@ def nearest_ancestor(spark, sf):
 @query(
     "card_source",
     f"""WITH p AS (SELECT page_id, url, {strip_sql(_DECODED.format(HEADING_SQL))} AS h, {netloc_sql("url")} AS host FROM pages)
-        SELECT h AS title, host AS company, split_part(url, '?', 1) AS url, page_id * 4294967296 AS pos FROM p WHERE h <> ''
+        SELECT h AS title, host AS company, split_part(url, '?', 1) AS url, page_id * 1048576 AS pos FROM p WHERE h <> ''
         UNION ALL
-        SELECT 'Lead ' || h, '', 'https://jobs.example.org/' || page_id, page_id * 4294967296 + 1 FROM p""",
+        SELECT 'Lead ' || h, '', 'https://jobs.example.org/' || page_id, page_id * 1048576 + 1 FROM p""",
 )
 def card_source(spark, sf):
     """Three cards after the text of each page; the last one has no link and is no posting."""

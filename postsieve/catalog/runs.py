@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id, strip, strip_tags, truncate
 from ..functions.urls import domain_ok, netloc
-from ..operators.policy import Policy
+from ..operators.policy import Policy, Terms
 from ..operators.predicates import has_required
 from ..operators.ranking import bounded_store, digest, split_by_score, union_sources
 from ..operators.report import admission_stats, run_metadata
 from ..operators.scoring import apply_responses
 from ..plans.daily import Settings, admitted_rows, judged_rows, pooled_rows, run_day
-from ..session import checkpoint_dir, stage
+from ..session import new_folder, stage
 from ..sinks import tables
+from ..streaming.incremental import run_stream
 from .base import (
     FIRST_LINE_SQL,
     HEADING_SQL,
@@ -233,9 +233,71 @@ def stored_runs(spark, sf):
     """Two runs against tables, the second one meeting the ledger of the first; then the store.
 
     The second day brings the pages and, again, the mail of the first day."""
-    root = f"{checkpoint_dir(spark)}/runs/{uuid.uuid4()}"
+    root = new_folder(spark, "runs")
     days = [_document_rows(spark, sf), day_rows(spark, sf).where(F.col("kind").isin("mail", "rss"))]
     for day, rows in enumerate(days):
         run_day(spark, root, rows, RUN + dt.timedelta(days=day), responses=day_responses, settings=SETTINGS)
     store = tables.read_store(spark, root, RUN + dt.timedelta(days=1))
     return store.select(F.date_format("added", "yyyy-MM-dd").alias("added"), "id", "title", "score")
+
+
+# --- the incremental run ---------------------------------------------------------------------------
+
+_PLAIN = Settings(policies=[], terms=Terms(excluded_titles=[], restricting=[], opening=[]), lifetime_days=7, store_rows=300)
+_ARRIVED_SQL = """
+    e AS (SELECT event_id, 't' || user_id AS title, CAST(ts AS DATE) AS day, CAST(ts AS DATE) - DATE '2024-01-01' AS n,
+                 'https://x.example/' || event_id AS url FROM events),
+    f AS (SELECT *, CASE WHEN n // 10 < 3 THEN n // 10 ELSE 2 END AS batch FROM e),
+    b AS (SELECT batch, max(day) AS run FROM f GROUP BY batch),
+    g AS (SELECT f.*, run, row_number() OVER (PARTITION BY title, batch ORDER BY event_id) AS r FROM f JOIN b USING (batch)),
+    h AS (SELECT title, batch, run, event_id, url FROM g WHERE r = 1)"""
+
+
+def _incremental(spark, sf):
+    """Three micro-batches of events as postings; the title names the user, so each user comes back."""
+    out = new_folder(spark, "incremental")
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    number = F.least(F.floor(F.datediff("day", F.lit("2024-01-01").cast("date")) / 10), F.lit(2))
+    rows = events.select(
+        F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("title"), F.lit("").alias("company"),
+        F.concat(F.lit("https://x.example/"), F.col("event_id").cast("string")).alias("url"),
+        *[F.lit("").alias(c) for c in ("description", "salary")], F.lit("s").alias("source"), F.lit("").alias("posted"),
+        F.lit(1).alias("batch_seq"), F.col("event_id").alias("pos"), F.lit("mail").alias("kind"),
+        F.col("day").cast("timestamp").alias("landed_at"), number.alias("n"),
+    )
+    for batch in range(3):
+        part = rows.where(F.col("n") == batch).drop("n")
+        part.coalesce(1).write.mode("append").parquet(f"{out}/landed")
+        landed = spark.readStream.schema(part.schema).parquet(f"{out}/landed")
+        run_stream(landed, f"{out}/tables", f"{out}/checkpoint", settings=_PLAIN).awaitTermination()
+    return f"{out}/tables"
+
+
+@query(
+    "incremental_runs",
+    f"""WITH RECURSIVE {_ARRIVED_SQL},
+        a AS (SELECT title, batch, run, event_id FROM h WHERE batch = (SELECT min(batch) FROM h x WHERE x.title = h.title)
+              UNION ALL
+              SELECT h.title, h.batch, h.run, h.event_id FROM a JOIN h ON h.title = a.title AND h.batch > a.batch
+                AND h.run - a.run >= 7 AND h.batch = (SELECT min(y.batch) FROM h y WHERE y.title = a.title AND y.batch > a.batch AND y.run - a.run >= 7))
+        SELECT title, event_id, strftime(run, '%Y-%m-%d') AS added FROM a""",
+)
+def incremental_runs(spark, sf):
+    """T2 as a stream of three micro-batches: what each run admitted, given a ledger lifetime of 7 days."""
+    store = spark.read.parquet(f"{_incremental(spark, sf)}/admitted")
+    return store.select("title", F.col("pos").alias("event_id"), F.date_format("added", "yyyy-MM-dd").alias("added"))
+
+
+@query(
+    "incremental_store",
+    f"""WITH RECURSIVE {_ARRIVED_SQL},
+        a AS (SELECT title, batch, run, event_id FROM h WHERE batch = (SELECT min(batch) FROM h x WHERE x.title = h.title)
+              UNION ALL
+              SELECT h.title, h.batch, h.run, h.event_id FROM a JOIN h ON h.title = a.title AND h.batch > a.batch
+                AND h.run - a.run >= 7 AND h.batch = (SELECT min(y.batch) FROM h y WHERE y.title = a.title AND y.batch > a.batch AND y.run - a.run >= 7))
+        SELECT title, event_id, strftime(run, '%Y-%m-%d') AS added FROM a ORDER BY run DESC, event_id LIMIT 300""",
+)
+def incremental_store(spark, sf):
+    """T3 after the stream: the bounded store, which keeps 300 rows."""
+    store = tables.read_store(spark, _incremental(spark, sf), dt.datetime(2100, 1, 1))
+    return store.select("title", F.col("pos").alias("event_id"), F.date_format("added", "yyyy-MM-dd").alias("added"))

@@ -230,12 +230,13 @@ def default_location(spark, sf):
 
 @query(
     "url_in_line",
-    rf"""SELECT doc_id, regexp_extract('see <' || 'https://a.linkedin.com/jobs/view/' || doc_id || '?x=' || lang || '> ' || {FIRST_LINE_SQL},
-                'https?://[^\s<>"]+linkedin\.com[^\s<>"]*jobs[^\s<>"]*', 0) AS url FROM documents""",
+    r"""SELECT doc_id, i, regexp_extract(CASE WHEN i % 3 = 0 THEN line ELSE 'see <https://a.linkedin.com/jobs/view/' || doc_id || '?x=' || lang || '> ' || line END,
+                'https?://[^\s<>"]+linkedin\.com[^\s<>"]*jobs[^\s<>"]*', 0) AS url
+        FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)""",
 )
 def url_in_line(spark, sf):
-    line = F.concat(
-        F.lit("see <https://a.linkedin.com/jobs/view/"), F.col("doc_id").cast("string"), F.lit("?x="), "lang",
-        F.lit("> "), F.substring_index("text", "\n", 1),
-    )
-    return table(spark, sf, "documents").select("doc_id", urls.url_in_line(line).alias("url"))
+    """P22 on every line of the documents; two of three get a url."""
+    lines = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    marked = F.concat(F.lit("see <https://a.linkedin.com/jobs/view/"), F.col("doc_id").cast("string"), F.lit("?x="), "lang", F.lit("> "), "line")
+    line = F.when(F.col("i") % 3 == 0, F.col("line")).otherwise(marked)
+    return lines.select("doc_id", F.col("i").cast("long").alias("i"), urls.url_in_line(line).alias("url"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions.responses import parsed_response
-from ..operators.scoring import apply_responses, request_block, request_text
+from ..operators.scoring import apply_responses, request_block, request_text, score_with
+from ..shipping import ship_by_value
 from ..plans.evaluate import answers, prompts
 from .base import FIRST_LINE_SQL, first_line, query, strip_sql, table
 
+ship_by_value(__name__)
+
 _K_SQL = r"CAST(regexp_extract(props, '(\d+)', 1) AS INT)"
 
 
@@ -72,6 +75,29 @@ def scorer_fallback(spark, sf):
     return apply_responses(rows, None).drop("score_reason")
 
 
+def _strict_scorer(requests):
+    """Answers by the title's length; raises on a batch with a title of more than 40 characters."""
+    titles = requests.str.extract(r"Title: ([^\n]*)", expand=False)
+    if (titles.str.len() > 40).any():
+        raise ValueError("a title is too long")
+    return titles.str.len().map(lambda n: f'{{"score": {n % 6}, "category": "CORE", "reason": "ok"}}')
+
+
+@query(
+    "scorer_function",
+    f"""WITH t AS (SELECT doc_id AS id, length({FIRST_LINE_SQL}) AS n FROM documents)
+        SELECT id, CASE WHEN n > 40 THEN 3 ELSE CAST(n % 6 AS INT) END AS score, CASE WHEN n > 40 THEN 'ADJACENT' ELSE 'CORE' END AS category,
+               CASE WHEN n > 40 THEN 'fallback' ELSE 'claude' END AS score_method FROM t""",
+)
+def scorer_function(spark, sf):
+    """A function of the caller that raises for some rows; only these get the fallback."""
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), first_line().alias("title"), F.col("source").alias("company"), F.lit("").alias("salary"),
+        F.col("text").alias("description"),
+    )
+    return score_with(rows, _strict_scorer).select("id", "score", "category", "score_method")
+
+
 def _fields(spark, sf):
     """Documents with the url of the page of the same number as request fields."""
     urls = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,7 +12,7 @@ from ..functions.match import contains_any
 from ..schemas import ORDER
 from .skew import HOT_ROWS, hot_keys, spread_join
 
-MAX_INLINE_TERMS = 200
+BLOCK_CHARS = 1_000_000
 
 
 def enrich(
@@ -34,30 +36,21 @@ def enrich(
 
 
 def by_terms(
-    rows: DataFrame,
-    terms: DataFrame,
-    text: str,
-    key: str,
-    how: str = "left_anti",
-    term: str = "term",
-    max_inline: int = MAX_INLINE_TERMS,
+    rows: DataFrame, terms: DataFrame, text: str, how: str = "left_anti", term: str = "term", block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """J4. Rows with none (``left_anti``) or any (``left_semi``) of the listed terms in their text.
 
-    A list within the checked bound becomes one expression. A longer one is joined on equality with the
-    substrings of each text in the lengths that occur in the list; rows with a hit are told apart by
-    their unique ``key``. No pair of row and term is formed unless it hits, and a substring that repeats
-    within a text counts once.
+    The list becomes literals of one expression, in blocks of about ``block_chars`` characters, and the rows are read
+    once, whatever its length: no row is multiplied and nothing is shuffled. A block is looked at only where
+    those before it had no hit. The driver holds the distinct terms; that is the size of a word list.
     """
-    head = terms.select(term).where(F.length(term) > 0).distinct().limit(max_inline + 1).collect()
-    if len(head) <= max_inline:
-        hit = contains_any(text, [r[0] for r in head])
-        return rows.where(~hit if how == "left_anti" else hit)
-    wanted = terms.select(F.col(term).alias("_gram")).where(F.length("_gram") > 0).distinct()
-    sizes = [r[0] for r in wanted.select(F.length("_gram")).distinct().collect()]
-    texts = rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.explode(F.lit(sizes)).alias("_size"))
-    starts = F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1)
-    pieces = F.transform(starts, lambda at: F.substring(F.col("_text"), at, F.col("_size")))
-    grams = texts.where(F.length("_text") >= F.col("_size")).select(key, F.explode(F.array_distinct(pieces)).alias("_gram"))
-    hits = grams.join(wanted, "_gram", "left_semi").select(key).distinct()
-    return rows.join(hits, key, how)
+    blocks: list[list[str]] = [[]]
+    size = 0
+    for (word,) in terms.select(term).where(F.length(term) > 0).distinct().orderBy(term).toLocalIterator():
+        if size + len(word) > block_chars and blocks[-1]:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(word)
+        size += len(word)
+    hit = reduce(or_, [contains_any(text, block) for block in blocks])
+    return rows.where(~hit if how == "left_anti" else hit)

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions.stamps import instant, stamp_like, utc
 from ..schemas import ORDER
-from ..session import cut_lineage
+from ..session import cut_lineage, stage
 from .dedup import first_row_per_key
 from .skew import HOT_ROWS, hot_keys, spread_join
 
@@ -101,8 +102,8 @@ def admitted_over_history(
     key: str,
     ts: str,
     lifetime: dt.timedelta,
-    start: dt.datetime,
-    end: dt.datetime,
+    start: dt.datetime | None,
+    end: dt.datetime | None,
     spread_by: Sequence[str],
     hot_rows: int = HOT_ROWS,
     checkpoint: bool = True,
@@ -113,19 +114,29 @@ def admitted_over_history(
     lifetime long admits a key at most once: at its first arrival that is not younger than the key's
     admission in the slice before plus the lifetime. (Earlier admissions have expired when the slice
     begins.) Each slice is a filtered read, a join with the previous slice's admissions and a
-    minimum; no list of arrivals is ever collected. The keys' admissions of a slice are checkpointed,
-    so the plan stays flat however long the history is. ``end`` is exclusive.
+    minimum; no list of arrivals is ever collected. The slim rows are written once, in a folder for each
+    slice, of which a slice reads its own. The keys' admissions of a slice are checkpointed, so the plan
+    stays flat however long the history is. ``end`` is exclusive; a history without bounds is empty.
     """
+    if start is None or end is None:
+        return arrivals.select(key, ts).limit(0)
     span = F.expr(f"INTERVAL '{lifetime // dt.timedelta(microseconds=1) / 1e6:.6f}' SECOND")
     slim = arrivals.select(key, ts, *[c for c in spread_by if c not in (key, ts)])
+    begin, end = utc(start), utc(end)
+    slim = slim.where((F.col(ts) >= stamp_like(slim, ts, begin)) & (F.col(ts) < stamp_like(slim, ts, end)))
+    micros, first = F.unix_micros(F.col(ts).cast("timestamp")), F.unix_micros(instant(begin))
+    number = F.floor((micros - first) / F.lit(lifetime // dt.timedelta(microseconds=1))).cast("int")
+    if checkpoint:
+        slim = stage(slim.withColumn("_slice", number), partition_by=["_slice"])
+    else:
+        slim = slim.withColumn("_slice", number)
     hot = hot_keys(slim, [key], hot_rows)
     if checkpoint:
         hot = cut_lineage(hot)
     slices: list[DataFrame] = []
-    begin, end = utc(start), utc(end)
     while begin < end:
         until = min(begin + lifetime, end)
-        part = slim.where((F.col(ts) >= stamp_like(slim, ts, begin)) & (F.col(ts) < stamp_like(slim, ts, until)))
+        part = slim.where(F.col("_slice") == len(slices)).drop("_slice")
         if slices:
             before = slices[-1].select(key, F.col(ts).alias("_before"))
             part = spread_join(part, before, [key], "left", spread_by, hot).where(
@@ -134,7 +145,6 @@ def admitted_over_history(
         first = part.groupBy(key).agg(F.min(ts).alias(ts))
         slices.append(cut_lineage(first) if checkpoint else first)
         begin = until
-    result = slices[0]
-    for more in slices[1:]:
-        result = result.unionByName(more)
-    return result
+    if not slices:
+        return arrivals.select(key, ts).limit(0)
+    return reduce(DataFrame.unionByName, slices)

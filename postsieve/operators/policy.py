@@ -46,18 +46,23 @@ class Terms:
     remote: Sequence[str] = field(default_factory=lambda: tuple(fixed.REMOTE_SIGNALS))
     restricting: Sequence[str] = field(default_factory=lambda: tuple(fixed.RESIDENCY_PATTERNS))
     opening: Sequence[str] = field(default_factory=lambda: tuple(fixed.OPENNESS_PATTERNS))
-    restricting_words: Sequence[str] = field(default_factory=lambda: tuple(fixed.RESIDENCY_WORDS))
+    restricting_words: Sequence[str] | None = None
     senior_titles: Sequence[str] = field(default_factory=lambda: tuple(fixed.SENIOR_TITLE_ALTERNATIVES))
     blocked_domains: Sequence[str] = field(default_factory=lambda: tuple(fixed.BLOCKED_DOMAINS))
 
+    def guard_words(self) -> Sequence[str]:
+        """Words of which every match of ``restricting`` holds one. The default patterns have such words; for other
+        patterns the caller may name some, else every text meets the patterns."""
+        if self.restricting_words is not None:
+            return self.restricting_words
+        return fixed.RESIDENCY_WORDS if tuple(self.restricting) == tuple(fixed.RESIDENCY_PATTERNS) else ()
+
 
 DEFAULT_TERMS = Terms()
 
 
 def policy_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
-    """The policies as rows. They come from the caller's code, so their number is known here."""
-    if len(policies) > MAX_POLICIES:
-        raise ValueError(f"{len(policies)} policies; the table is broadcast and limited to {MAX_POLICIES}")
+    """The policies as rows."""
     columns = {
         "policy_source": pa.array([x.source for x in policies], pa.string()),
         "need_clean": pa.array([x.need_clean for x in policies], pa.bool_()),
@@ -68,7 +73,7 @@ def policy_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
 
 
 def residency_flag(terms: Terms = DEFAULT_TERMS, description: str = "description") -> Column:
-    return p.residency_only(description, terms.restricting, terms.opening, terms.restricting_words)
+    return p.residency_only(description, terms.restricting, terms.opening, terms.guard_words())
 
 
 def passes_titles_and_signals(
@@ -91,7 +96,9 @@ def passes(terms: Terms = DEFAULT_TERMS, title: str = "title", description: str
 
 def with_policy(rows: DataFrame, policies: Sequence[Policy], source: str = "kind") -> DataFrame:
     """J6. Joins the policy of the source; a source without one needs nothing extra."""
-    table = F.broadcast(policy_table(rows.sparkSession, policies))
+    table = policy_table(rows.sparkSession, policies)
+    if len(policies) <= MAX_POLICIES:  # beyond that size it is joined like any other table
+        table = F.broadcast(table)
     joined = rows.join(table, F.col(source) == F.col("policy_source"), "left")
     needs = [F.coalesce(n, F.lit(False)).alias(n) for n in ("need_clean", "need_signal", "need_senior_title")]
     return joined.select(*[rows[c] for c in rows.columns], *needs)

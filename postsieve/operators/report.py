@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .predicates import score_kept
 
 
-def funnel(judged: DataFrame, by: str = "source") -> DataFrame:
-    """A1. Rows fetched, kept, dropped by residency (of all fetched rows) and enriched, per source.
+def funnel(judged: DataFrame, *by: str) -> DataFrame:
+    """A1. Rows fetched, kept, dropped by residency (of all fetched rows) and enriched, per source or by other
+    columns: ``kind`` and ``batch_seq`` tell the queries of a run apart.
 
     ``judged`` carries the verdicts of the policy; only those columns are read.
     """
-    return judged.groupBy(by).agg(
+    return judged.groupBy(*(by or ("source",))).agg(
         F.count("*").alias("fetched"),
         F.count_if("kept").alias("kept"),
         F.count_if("restricted").alias("residency_dropped"),

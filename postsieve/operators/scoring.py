@@ -72,18 +72,26 @@ def score_with(
 ) -> DataFrame:
     """X1 with a caller's function from request texts to response texts, run on the executors.
 
-    A batch whose call raises gets no responses and so the fallback.
+    A batch whose call raises is asked again row by row, so that only the rows that raise get no response and
+    so the fallback.
     """
     columns = admitted.columns
     asked = admitted.withColumn("_request", request_text(**texts)).withColumn("_text", F.lit(None).cast("string"))
 
+    def asked_one_by_one(requests: pd.Series) -> Iterator[str | None]:
+        for k in range(len(requests)):
+            try:
+                yield next(iter(scorer(requests.iloc[k : k + 1])))
+            except Exception:
+                yield None
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                answers = scorer(batch["_request"])
-                batch["_text"] = pd.Series(list(answers), index=batch.index, dtype=object)
+                answers = list(scorer(batch["_request"]))
             except Exception:
-                batch["_text"] = None
+                answers = list(asked_one_by_one(batch["_request"]))
+            batch["_text"] = pd.Series(answers, index=batch.index, dtype=object)
             yield batch
 
     return (

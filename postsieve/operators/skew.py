@@ -3,9 +3,10 @@
 The hot keys are found by a counting pass with map-side combine, which shuffles one row per key and
 task. At most ``MAX_HOT_KEYS`` 64-bit hashes are broadcast (80 kB), whatever the size of the data; keys
 outside that list hold less than 1/``MAX_HOT_KEYS`` of all rows each and take the ordinary shuffle
-join. Rows of a hot key are dealt to ``slices`` tasks by a hash of their own columns, so a repeated
-task deals them out the same way, and the matching row of the other side is repeated per slice. Rows
-with a null key match nothing and are dealt out as well.
+join. Rows of a hot key are dealt to slices by a hash of their own columns, so a repeated task deals them
+out the same way; the counting pass has told how many slices of at most ``hot_rows / 4`` rows a key needs,
+and the matching row of the other side is repeated per slice. Rows with a null key match nothing and are dealt
+out as well.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
-SLICES = 64
+NULL_SLICES = 1 << 20  # tasks take what hashes to them: there may be more of these than tasks
 
-_HASH, _SLICE, _HOT = "_key_hash", "_slice", "_is_hot"
+_HASH, _SLICE, _SLICES = "_key_hash", "_slice", "_slices"
 
 
 def hot_keys(
     rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, count: Column | None = None
 ) -> DataFrame:
-    """Hashes of the keys with at least ``hot_rows`` rows.
+    """Hashes of the keys with at least ``hot_rows`` rows, and the slices each needs.
 
     ``count`` names a column of ready counts, for callers that have them from an aggregation already.
     """
@@ -40,8 +41,8 @@ def hot_keys(
         counts.where(F.col("n") >= hot_rows)
         .orderBy(F.desc("n"), _HASH)
         .limit(MAX_HOT_KEYS)
-        .select(_HASH)
-        .distinct()
+        .groupBy(_HASH)
+        .agg(F.ceil(F.sum("n") * 4 / hot_rows).cast("int").alias(_SLICES))
     )
 
 
@@ -53,7 +54,6 @@ def spread_join(
     spread_by: Sequence[str],
     hot: DataFrame,
     hot_on: Sequence[str] | None = None,
-    slices: int = SLICES,
 ) -> DataFrame:
     """Equi-join (``left``, ``inner``, ``left_semi``, ``left_anti``) that deals out hot left keys.
 
@@ -61,7 +61,7 @@ def spread_join(
     taken of, a subset of ``on``.
     """
     hashed = F.xxhash64(*(hot_on or on))
-    flags = F.broadcast(hot.withColumn(_HOT, F.lit(True)))
+    flags = F.broadcast(hot)
 
     def flagged(df: DataFrame) -> DataFrame:
         return df.withColumn(_HASH, hashed).join(flags, _HASH, "left")
@@ -69,15 +69,16 @@ def spread_join(
     unmatched = reduce(or_, [F.col(c).isNull() for c in on])
     dealt = flagged(left).withColumn(
         _SLICE,
-        F.when(
-            F.coalesce(F.col(_HOT), F.lit(False)) | unmatched, F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")
-        ).otherwise(F.lit(0)),
+        F.when(unmatched, F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SLICES)))
+        .when(F.col(_SLICES).isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col(_SLICES)))
+        .otherwise(F.lit(0))
+        .cast("int"),
     )
     repeated = flagged(right).withColumn(
         _SLICE,
         F.explode(
-            F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+            F.when(F.col(_SLICES).isNotNull(), F.sequence(F.lit(0), F.col(_SLICES) - 1)).otherwise(F.array(F.lit(0)))
         ),
     )
-    joined = dealt.join(repeated.drop(_HASH, _HOT), [*on, _SLICE], how)
-    return joined.drop(_HASH, _HOT, _SLICE)
+    joined = dealt.join(repeated.drop(_HASH, _SLICES), [*on, _SLICE], how)
+    return joined.drop(_HASH, _SLICES, _SLICE)

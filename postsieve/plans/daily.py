@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
-from ..functions.stamps import instant
+from ..functions.stamps import instant, run_id
 from ..functions.text import content_id
 from ..operators import ledger as ledgers
 from ..operators.dedup import first_batch_wins
 from ..operators.policy import DEFAULT_TERMS, POLICIES, Policy, Terms, judged
-from ..operators.predicates import gate_open
+from ..operators.predicates import gate_open, recent
 from ..operators.ranking import bounded_store, digest, split_by_score, union_sources
 from ..operators.report import admission_stats, funnel, run_metadata
 from ..operators.scoring import apply_responses, score_requests, score_with
@@ -37,6 +37,7 @@ class Settings:
     gate_days: int = fixed.GATE_DAYS
     gated_kinds: Sequence[str] = ("paged_search",)
     request: Mapping[str, str] = field(default_factory=dict)
+    recency_days: Mapping[str, int] = field(default_factory=lambda: dict(fixed.RECENCY_DAYS))
 
 
 def fetched_rows(
@@ -49,7 +50,19 @@ def fetched_rows(
         for kind, make in feeds.items()
         if kind not in settings.gated_kinds or gate_open(run_ts, settings.gate_days)
     }
-    return union_sources([make().withColumn("kind", F.lit(kind)) for kind, make in open_feeds.items()])
+    rows = union_sources([make().withColumn("kind", F.lit(kind)) for kind, make in open_feeds.items()])
+    return posted_lately(rows, run_ts, settings.recency_days)
+
+
+def posted_lately(
+    postings: DataFrame, run_ts, days: Mapping[str, int] = fixed.RECENCY_DAYS, kind: str = "kind"
+) -> DataFrame:
+    """F14 on fetched rows, for feeds that were not asked for recent postings only. A posting without a
+    readable date stays."""
+    keep = F.lit(True)
+    for name, n in days.items():
+        keep = keep & ((F.col(kind) != name) | recent(F.try_to_timestamp("posted"), run_ts, n))
+    return postings.where(keep)
 
 
 def judged_rows(fetched: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -88,8 +101,11 @@ def run_day(
     responses: Callable[[DataFrame], DataFrame] | None = None,
     scorer: Callable[[pd.Series], pd.Series] | None = None,
     settings: Settings = Settings(),
+    label: str = "",
+    legacy: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """One run against the tables under ``root``; the same stamp again replaces its own output.
+    """One run against the tables under ``root``; the same stamp and label again replace their own output.
+    ``legacy``: payloads of a ledger in its old form (S11), which count beside the stored ledger.
 
     Scoring comes from ``responses``, a function from the requests table to a table of response
     texts, or from ``scorer``, a function run on the executors; with neither all rows get the
@@ -97,23 +113,28 @@ def run_day(
     funnel, the url dedup and the final fetch read them, and the scored rows, because the scorer must
     not be asked twice.
     """
-    verdicts = tables.write_run(judged_rows(fetched, settings), root, "judged", run_ts)
-    pooled = tables.write_run(pooled_rows(verdicts), root, "pooled", run_ts)
-    ledger = tables.read_ledger(spark, root, run_ts)
-    admitted = tables.write_run(admitted_rows(verdicts, pooled, ledger, run_ts, settings), root, "admitted", run_ts)
+    def written(rows: DataFrame, table: str) -> DataFrame:
+        return tables.write_run(rows, root, table, run_ts, label=label)
+
+    verdicts = written(judged_rows(fetched, settings), "judged")
+    pooled = written(pooled_rows(verdicts), "pooled")
+    ledger = tables.read_ledger(spark, root, run_ts, label)
+    if legacy is not None:
+        ledger = ledger.unionByName(ledgers.legacy_ledger(legacy, run_ts))
+    admitted = written(admitted_rows(verdicts, pooled, ledger, run_ts, settings), "admitted")
     if scorer is not None:
         scored = score_with(admitted, scorer, **settings.request)
     else:
         told = responses(score_requests(admitted, **settings.request)) if responses else None
         scored = apply_responses(admitted, told)
-    scored = tables.write_run(scored, root, "scored", run_ts)
+    scored = written(scored, "scored")
     kept, dropped = split_by_score(scored, settings.threshold)
-    tables.write_store(kept.select(SCORED.fieldNames()), root, run_ts)
-    shown = tables.write_digest(digest(kept, settings.lanes, settings.digest_rows), root, run_ts)
-    earlier = tables.read_store(spark, root, run_ts - dt.timedelta(microseconds=1), settings.store_rows)
+    tables.write_store(kept.select(SCORED.fieldNames()), root, run_ts, label)
+    shown = tables.write_digest(digest(kept, settings.lanes, settings.digest_rows), root, run_ts, label)
+    earlier = tables.read_store(spark, root, run_ts, settings.store_rows, without=run_id(run_ts) + label)
     store = bounded_store(kept.select(earlier.columns), earlier, settings.store_rows)
-    tables.write_ledger(ledgers.ledger_entries(admitted, run_ts), root, run_ts)
-    metadata = tables.write_metadata(run_metadata(kept, store, instant(run_ts)), root, run_ts)
+    tables.write_ledger(ledgers.ledger_entries(admitted, run_ts), root, run_ts, label)
+    metadata = tables.write_metadata(run_metadata(kept, store, instant(run_ts)), root, run_ts, label)
     return {
         "judged": verdicts,
         "pooled": pooled,
@@ -124,5 +145,6 @@ def run_day(
         "metadata": metadata,
         "store": tables.read_store(spark, root, run_ts, settings.store_rows),
         "funnel": funnel(verdicts),
+        "query_funnel": funnel(verdicts, "kind", "batch_seq"),
         "admission": admission_stats(pooled, scored, settings.threshold),
     }

@@ -6,9 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .. import fixed_values as fixed
-from ..operators.predicates import attributes_match, recent
-from ..sources.cards import card_postings, detail_pages
+from ..operators.predicates import attributes_match
+from ..sources.cards import card_postings
 from ..sources.json_feeds import (
     array_feed_postings,
     category_feed_postings,
@@ -17,7 +16,7 @@ from ..sources.json_feeds import (
 )
 from ..sources.mail import mail_postings
 from ..sources.rss import rss_postings
-from .mail import with_details
+from .mail import with_pages
 
 READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "search_api": search_api_postings,
@@ -38,7 +37,8 @@ def landed_feeds(
 
     ``landed``: responses whose ``source`` names their kind, a partition column at best; ``wanted``: its
     attributes to filter on (F15). ``messages``: alert mail. ``pages``: landed detail pages with
-    ``external_id``; cards and mail take their description from there (J1).
+    ``external_id``; cards and mail take their description from there (J1). Only pages that a
+    posting asks for are parsed.
     """
 
     def of(kind: str) -> DataFrame:
@@ -46,7 +46,7 @@ def landed_feeds(
         return rows.where(attributes_match(rows, wanted)) if wanted else rows
 
     def enriched(postings: DataFrame) -> DataFrame:
-        return postings if pages is None else with_details(postings, detail_pages(pages))
+        return postings if pages is None else with_pages(postings, pages)
 
     feeds: dict[str, Callable[[], DataFrame]] = {}
     if messages is not None:
@@ -55,14 +55,3 @@ def landed_feeds(
     for kind, read in READERS.items():
         feeds[kind] = lambda kind=kind, read=read: read(of(kind))
     return feeds
-
-
-def posted_lately(
-    postings: DataFrame, run_ts, days: Mapping[str, int] = fixed.RECENCY_DAYS, kind: str = "kind"
-) -> DataFrame:
-    """F14 on fetched rows, for feeds that were not asked for recent postings only. A posting without a
-    readable date stays."""
-    keep = F.lit(True)
-    for name, n in days.items():
-        keep = keep & ((F.col(kind) != name) | recent(F.try_to_timestamp("posted"), run_ts, n))
-    return postings.where(keep)

@@ -63,7 +63,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/{kind}/{uuid.uuid4()}"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Writes ``df`` as a table in the shared checkpoint folder and reads it back.
 
     For rows that are costly to make and read more than once. Unlike a checkpoint of rows the table
@@ -72,7 +72,7 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, "staged")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,7 @@
 """K1-K4: tables of a run.
 
-Each run writes its own folder, ``<date column>=<date>/run_id=<stamp>``, and a replay overwrites that
-folder alone, also when it has no rows. Readers prune by date.
+Each run writes its own folder, ``<date column>=<date>/run_id=<stamp><label>``, and a replay overwrites that
+folder alone, also when it has no rows. Runs with one stamp are told apart by their labels. Readers prune by date.
 """
 
 from __future__ import annotations
@@ -19,36 +19,40 @@ from ..sources.state import read_or_empty
 RUN_PARTITIONS = [T.StructField("run_date", T.DateType()), T.StructField("run_id", T.StringType())]
 
 
-def run_folder(root: str, table: str, run_ts: dt.datetime, date_column: str = "run_date") -> str:
-    return f"{root}/{table}/{date_column}={utc(run_ts).date()}/run_id={run_id(run_ts)}"
+def run_folder(root: str, table: str, run_ts: dt.datetime, date_column: str = "run_date", label: str = "") -> str:
+    return f"{root}/{table}/{date_column}={utc(run_ts).date()}/run_id={run_id(run_ts)}{label}"
 
 
-def write_run(df: DataFrame, root: str, table: str, run_ts: dt.datetime, date_column: str = "run_date") -> DataFrame:
+def write_run(
+    df: DataFrame, root: str, table: str, run_ts: dt.datetime, date_column: str = "run_date", label: str = ""
+) -> DataFrame:
     """Writes the rows of one run and gives them back as read from storage: what follows starts from
     the written table and does not recompute it."""
-    path = run_folder(root, table, run_ts, date_column)
+    path = run_folder(root, table, run_ts, date_column, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_ledger(entries: DataFrame, root: str, run_ts: dt.datetime) -> DataFrame:
+def write_ledger(entries: DataFrame, root: str, run_ts: dt.datetime, label: str = "") -> DataFrame:
     """K2. Written last: a crash before it scores rows again rather than losing them."""
-    return write_run(entries.drop("first_seen_date"), root, "ledger", run_ts, "first_seen_date")
+    return write_run(entries.drop("first_seen_date"), root, "ledger", run_ts, "first_seen_date", label)
 
 
-def read_ledger(spark: SparkSession, root: str, before: dt.datetime) -> DataFrame:
-    """Entries of earlier runs; a replayed run does not meet its own."""
+def read_ledger(spark: SparkSession, root: str, before: dt.datetime, label: str = "") -> DataFrame:
+    """Entries of earlier runs, also of those with the same stamp; a replayed run does not meet its own."""
     table = read_or_empty(
         spark, f"{root}/ledger", T.StructType([*LEDGER.fields, T.StructField("run_id", T.StringType())])
     )
     return table.where(
-        (F.col("first_seen") < instant(before)) & (F.col("first_seen_date") <= F.lit(utc(before).date()))
+        (F.col("first_seen") <= instant(before))
+        & (F.col("first_seen_date") <= F.lit(utc(before).date()))
+        & (F.col("run_id") != run_id(before) + label)
     ).select(LEDGER.fieldNames())
 
 
-def write_store(kept: DataFrame, root: str, run_ts: dt.datetime) -> DataFrame:
+def write_store(kept: DataFrame, root: str, run_ts: dt.datetime, label: str = "") -> DataFrame:
     """K1. The kept rows of a run."""
-    return write_run(kept, root, "store", run_ts)
+    return write_run(kept, root, "store", run_ts, label=label)
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -56,31 +60,35 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_store(
-    spark: SparkSession, root: str, upto: dt.datetime, rows: int = fixed.STORE_ROWS
+    spark: SparkSession, root: str, upto: dt.datetime, rows: int = fixed.STORE_ROWS, without: str | None = None
 ) -> DataFrame:
     """The bounded store as it was after the run at ``upto``: newest runs first, at most ``rows`` rows.
+    ``without``: the id of a run to leave out.
 
-    The runs table (one row per run) tells how many days back the newest rows reach, so older
-    partitions of the store are not read.
+    The days' sums of the runs table (one row per run) tell how many days back the newest rows reach, so older
+    partitions of the store are not read. Only as many days are looked at as the store has rows.
     """
     table = read_or_empty(spark, f"{root}/store", T.StructType([*SCORED.fields, *RUN_PARTITIONS]))
     stored = table.where((F.col("added") <= instant(upto)) & (F.col("run_date") <= F.lit(utc(upto).date())))
-    oldest, total = None, 0
     runs = read_runs(spark, root).where(F.col("updated") <= instant(upto))
-    for run in runs.orderBy(F.desc("updated")).select("run_date", "new_count").toLocalIterator():
-        oldest, total = run["run_date"], total + run["new_count"]
+    if without is not None:
+        stored, runs = stored.where(F.col("run_id") != without), runs.where(F.col("run_id") != without)
+    days = runs.groupBy("run_date").agg(F.sum("new_count").alias("n")).where("n > 0")
+    total = 0
+    for day in days.orderBy(F.desc("run_date")).limit(rows).collect():  # each day has a row at least
+        total += day["n"]
         if total >= rows:
-            stored = stored.where(F.col("run_date") >= F.lit(oldest))
+            stored = stored.where(F.col("run_date") >= F.lit(day["run_date"]))
             break
     stored = stored.orderBy(F.desc("added"), "batch_seq", "pos").limit(rows)
     return stored.select(SCORED.fieldNames())
 
 
-def write_metadata(metadata: DataFrame, root: str, run_ts: dt.datetime) -> DataFrame:
+def write_metadata(metadata: DataFrame, root: str, run_ts: dt.datetime, label: str = "") -> DataFrame:
     """K3. One row per run."""
-    return write_run(metadata, root, "runs", run_ts)
+    return write_run(metadata, root, "runs", run_ts, label=label)
 
 
-def write_digest(digest: DataFrame, root: str, run_ts: dt.datetime) -> DataFrame:
+def write_digest(digest: DataFrame, root: str, run_ts: dt.datetime, label: str = "") -> DataFrame:
     """K4. At most ten rows per lane, in the order they are shown."""
-    return write_run(digest.orderBy("category", "rank"), root, "digest", run_ts)
+    return write_run(digest.orderBy("category", "rank"), root, "digest", run_ts, label=label)

@@ -30,9 +30,18 @@ def read_landed_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDED).parquet(path)
 
 
+INDEX_BITS = 20
+
+
 def position(index: Column, payload_seq: str = "payload_seq") -> Column:
-    """Arrival position within the batch: response number in the high half, index in the low half."""
-    return (F.shiftleft(F.col(payload_seq).cast("long"), 32) + index.cast("long")).alias("pos")
+    """Arrival position within the batch: the response's number, up to 2^43 (epoch milliseconds fit), before the
+    index within the response, up to 2^20. Numbers that do not fit are an error, since positions that collide would
+    multiply rows."""
+    number, place = F.col(payload_seq).cast("long"), index.cast("long")
+    fits = (number >= 0) & (number < 1 << 63 - INDEX_BITS) & (place >= 0) & (place < 1 << INDEX_BITS)
+    packed = F.shiftleft(number, INDEX_BITS) + place
+    wrong = F.raise_error(F.concat(F.lit("no position for response "), number.cast("string"), F.lit(", index "), place.cast("string")))
+    return F.when(fits | number.isNull() | place.isNull(), packed).otherwise(wrong.cast("long")).alias("pos")
 
 
 def json_payload(schema: str) -> Column:

@@ -27,6 +27,7 @@ from ..functions.urls import canonical_url, url_in_line, without_query
 from ..operators import predicates as p
 from ..operators.dedup import first_row_per_url, shortest_per_key
 from ..shipping import ship_by_value
+from .landed import position
 
 ship_by_value(__name__)
 
@@ -224,5 +225,5 @@ def mail_postings(messages: DataFrame, source: str = fixed.MAIL, batch_seq: int
         F.lit("").alias("description"), F.lit("").alias("salary"),
         F.lit(source).alias("source"), F.lit("").alias("posted"),
         F.lit(batch_seq).alias("batch_seq"),
-        (F.shiftleft(F.col("msg_seq"), 32) + F.col("pos")).alias("pos"),
+        position(F.col("pos"), "msg_seq"),
     )

@@ -45,15 +45,18 @@ def first_per_stamp(rows: DataFrame, key: str, stamp: str, order: Sequence[str])
 
 
 class FirstSeen(StatefulProcessor):
-    """State per id: the stamp of its latest admission. Memory per call: one row per run stamp."""
+    """State per id: the stamp of its latest admission. Memory per call: one row per run stamp.
 
-    def __init__(self, columns: Sequence[str], stamp: str, order: Sequence[str], lifetime: dt.timedelta):
+    All arrivals of an id go to one task, thinned to one per stamp and Arrow batch before the shuffle.
+    """
+
+    def __init__(self, columns: Sequence[str], stamp: str, order: Sequence[str], lifetime: dt.timedelta, kept: dt.timedelta | None):
         self.columns, self.stamp, self.order = list(columns), stamp, list(order)
-        self.lifetime = pd.Timedelta(lifetime)
+        self.lifetime, self.kept = pd.Timedelta(lifetime), kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.admitted = handle.getValueState("admitted", "at TIMESTAMP")
+        ttl = None if self.kept is None else self.kept // dt.timedelta(milliseconds=1)
+        self.admitted = handle.getValueState("admitted", "at TIMESTAMP", ttlDurationMs=ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         firsts = None
@@ -68,16 +71,8 @@ class FirstSeen(StatefulProcessor):
             last = at if fresh else last
         if any(keep):
             self.admitted.update((last.to_pydatetime(),))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((last + self.lifetime).value // 1_000_000) + 1)
         yield firsts.loc[keep, self.columns]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The entry has expired and any later arrival is admitted: the state can go."""
-        self.admitted.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 
@@ -88,15 +83,23 @@ def admitted_stream(
     stamp: str,
     order: Sequence[str],
     lifetime: dt.timedelta = dt.timedelta(days=fixed.LEDGER_DAYS),
+    lateness: dt.timedelta | None = None,
 ) -> DataFrame:
-    """T1 on a stream. ``stamp`` (TIMESTAMP) is the run an arrival belongs to; runs arrive in order.
+    """T1 on a stream. ``stamp`` (TIMESTAMP) is the run an arrival belongs to.
+
+    Arrivals meet the rule in the order of their micro-batches and, inside one, of their stamps; there is no
+    watermark, so neither late rows nor rows with the newest stamp so far are dropped. An arrival that is older
+    than the id's latest admission finds the id active. The state is one stamp per id. For a query that never stops,
+    ``lateness`` lets the state of an id go when it has not been admitted for the lifetime and so much more of
+    processing time; a query that stops when it has caught up must not set it, since expiry keeps it running.
 
     Start the query inside ``rocksdb_state``.
     """
-    slim = first_per_stamp(arrivals, key, stamp, order).withWatermark(stamp, "0 seconds")
+    slim = first_per_stamp(arrivals, key, stamp, order)
+    kept = None if lateness is None else lifetime + lateness
     return slim.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FirstSeen(arrivals.columns, stamp, order, lifetime),
+        statefulProcessor=FirstSeen(arrivals.columns, stamp, order, lifetime, kept),
         outputStructType=arrivals.schema,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="None" if kept is None else "ProcessingTime",
     )

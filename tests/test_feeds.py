@@ -5,7 +5,8 @@ import json
 
 from helpers import values
 from postsieve.plans.daily import fetched_rows, run_day
-from postsieve.plans.feeds import landed_feeds, posted_lately
+from postsieve.plans.daily import posted_lately
+from postsieve.plans.feeds import landed_feeds
 from test_mail import JOB, html, messages
 
 GATED = dt.datetime(2026, 3, 9, 12)
