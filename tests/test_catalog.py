@@ -8,6 +8,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
+# On the smallest tables these find nothing.
+MAY_BE_EMPTY = {"term_list_semi_join", "rejected_payloads"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
 
 
@@ -25,7 +27,7 @@ def test_query_equals_sql(spark, duck, name):
         return frames[0]
 
     verdict = compare(spark, duck, name, SF, run, oracle_sql().get(name))
-    assert verdict.startswith(("ok", "rows only", "EMPTY")), verdict
+    assert verdict.startswith(("ok", "rows only")) or verdict.startswith("EMPTY") and name in MAY_BE_EMPTY, verdict
     plan = frames[0]._jdf.queryExecution().executedPlan().toString()
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert unwanted not in plan, plan

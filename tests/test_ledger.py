@@ -144,3 +144,26 @@ def test_stream_equals_fold_over_several_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("id", F.datediff("run", F.lit("2026-01-01")).alias("d")).collect()
     want = sorted((k, d) for k, ds in days.items() for d in fold(set(ds), 21))
     assert sorted((r.id, r.d) for r in got) == want
+
+
+def test_stream_drops_neither_late_nor_equal_stamps(spark, tmp_path):
+    """Micro-batches with an id of an earlier stamp, a new id of the newest stamp, and a stamp that goes back."""
+    source, got = tmp_path / "in", []
+    for part in ([("a", 10)], [("late", 3)], [("b", 10)], [("same", 10), ("a", 5)], [("c", 40), ("a", 31)]):
+        rows = [(k, (dt.datetime(2026, 1, 1) + d * DAY).isoformat() + "+00:00", d) for k, d in part]
+        values(spark, "id string, at string, pos long", rows).select("id", F.col("at").cast("timestamp").alias("run"), "pos").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id string, run timestamp, pos long").parquet(str(source))
+        with rocksdb_state(spark):
+            (
+                admitted_stream(stream, "id", "run", ["pos"])
+                .writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+                .format("parquet").start(str(tmp_path / "out")).awaitTermination()
+            )
+    got = sorted((r.id, r.pos) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 10), ("a", 31), ("b", 10), ("c", 40), ("late", 3), ("same", 10)]
+
+
+def test_empty_history_gives_no_rows(spark):
+    df, base = history(spark, [])
+    assert ops.admitted_over_history(df, "id", "ts", 7 * DAY, base, base, ["pos"]).count() == 0
+    assert ops.admitted_over_history(df, "id", "ts", 7 * DAY, None, None, ["pos"]).count() == 0
