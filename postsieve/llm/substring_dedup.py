@@ -33,6 +33,7 @@ from .common import WordHashes, batch_of, key_bitmap, keyed_texts, may_occur, mi
 LENGTH = 13
 SEED = 4
 CHUNK_BYTES = 4 << 20
+ROUND_BYTES = 256 << 20
 
 PACKED = "bucket long, minimisers binary, lowest binary, highest binary, strings binary, size long"
 SHARED = "lo long, hi long, firsts array<long>"
@@ -85,12 +86,16 @@ class Stretches:
             yield joined[a:b]
 
 
+def salted(hashes: np.ndarray) -> np.ndarray:
+    return mixed_all(hashes + np.uint64(0x632BE59BD9B4E019))
+
+
 def stretch_keys(hashes: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each stretch. A minimiser lasts for less than ``length`` windows, so the first and
     the last window hold all words."""
     keys = []
-    for salt in (hashes, mixed_all(hashes + np.uint64(0x632BE59BD9B4E019))):
-        whole = window_hashes(salt, length)
+    for words in (hashes, salted(hashes)):
+        whole = window_hashes(words, length)
         key = mixed_all(whole[first] * np.uint64(3) + n.astype(np.uint64)) + whole[first + n - 1]
         keys.append(mixed_all(key).view(np.int64))
     return keys[0], keys[1]
@@ -137,7 +142,6 @@ def packed_stretches(texts: DataFrame, length: int, seed: int, buckets: int, chu
 def shared_windows(packed: DataFrame, length: int, buckets: int) -> DataFrame:
     """Of every string with a window that starts in several documents: for each of its windows the smallest
     doc_id in which that window starts."""
-    schema = fields(SHARED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, memo = pa.Codec("zstd"), WordHashes()
@@ -145,52 +149,52 @@ def shared_windows(packed: DataFrame, length: int, buckets: int) -> DataFrame:
         for bucket, *row in rows_of(batches, *fields(PACKED).names):
             by_bucket.setdefault(bucket, []).append(row)
         for rows in by_bucket.values():
-            known, times = np.unique(np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows]), return_counts=True)
+            seeds = [np.frombuffer(r[0], np.uint32) for r in rows]
+            known, times = np.unique(np.concatenate(seeds), return_counts=True)
             repeated = known[times > 1]
-            low_of: dict[bytes, int] = {}
-            high_of: dict[bytes, int] = {}
-            for minimisers, low, high, strings, size in rows:
-                seeds = np.frombuffer(minimisers, np.uint32)
-                lows = np.frombuffer(codec.decompress(low, 8 * len(seeds), asbytes=True), np.int64)
-                highs = np.frombuffer(codec.decompress(high, 8 * len(seeds), asbytes=True), np.int64)
-                wanted = np.flatnonzero(np.isin(seeds, repeated) | (lows != highs)).tolist()
-                if not wanted:
-                    continue
-                texts = codec.decompress(strings, size, asbytes=True).split(b"\n")
-                for k in wanted:
-                    text = texts[k]
-                    low_of[text] = min(low_of.get(text, lows[k]), lows[k])
-                    high_of[text] = max(high_of.get(text, highs[k]), highs[k])
-            yield from batches_of(answers(low_of, high_of, memo, length), schema)
+            rounds = 1 + sum(r[4] for r in rows) // ROUND_BYTES  # windows that are equal have one minimiser: one round
+            for turn in range(rounds):
+                texts, lows, highs = [], [], []
+                for mine, (_, low, high, strings, size) in zip(seeds, rows, strict=True):
+                    low, high = (np.frombuffer(codec.decompress(x, 8 * len(mine), asbytes=True), np.int64) for x in (low, high))
+                    wanted = np.flatnonzero((np.isin(mine, repeated) | (low != high)) & (mine % np.uint32(rounds) == turn))
+                    if len(wanted):
+                        whole = codec.decompress(strings, size, asbytes=True).split(b"\n")
+                        texts += [whole[k] for k in wanted.tolist()]
+                        lows.append(low[wanted])
+                        highs.append(high[wanted])
+                if texts:
+                    yield answers(texts, np.concatenate(lows), np.concatenate(highs), memo, length)
 
     return packed.repartition(buckets, "bucket").mapInArrow(run, SHARED)
 
 
-def answers(low_of: dict[bytes, int], high_of: dict[bytes, int], memo: WordHashes, length: int) -> Iterator[tuple]:
-    texts = list(low_of)
-    parted = [t.split(b" ") for t in texts]
-    windows = sorted(
-        (b" ".join(words[i : i + length]), k, i) for k, words in enumerate(parted) for i in range(len(words) - length + 1)
-    )
-    firsts = [[0] * (len(words) - length + 1) for words in parted]
-    shared = [False] * len(texts)
-    a = 0
-    while a < len(windows):
-        b = a + 1
-        while b < len(windows) and windows[b][0] == windows[a][0]:
-            b += 1
-        group = [(k, i) for _, k, i in windows[a:b]]
-        low = min(low_of[texts[k]] for k, _ in group)
-        several = low < max(high_of[texts[k]] for k, _ in group)
-        for k, i in group:
-            firsts[k][i] = int(low)
-            shared[k] |= several
-        a = b
-    for k, words in enumerate(parted):
-        if shared[k]:
-            n = np.array([len(firsts[k])])
-            lo, hi = stretch_keys(memo.of(words), np.zeros(1, np.int64), n, length)
-            yield int(lo[0]), int(hi[0]), firsts[k]
+def answers(texts: list[bytes], lows: np.ndarray, highs: np.ndarray, memo: WordHashes, length: int) -> pa.RecordBatch:
+    """Sorts the windows of the strings by 128 bits of hash, so that equal ones meet, and takes the smallest and the
+    largest doc_id of each."""
+    sizes = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+    hashes = memo.of(b" ".join(texts).split(b" "))
+    n = sizes - length + 1
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(texts)), n)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(ends[-1]) - (ends - n)[owner] + starts[owner]
+    first, second = (window_hashes(h, length)[place] for h in (hashes, salted(hashes)))
+    order = np.lexsort((second, first))
+    edge = np.append(True, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1]))
+    heads, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+    low = np.minimum.reduceat(lows[owner[order]], heads)
+    several = low < np.maximum.reduceat(highs[owner[order]], heads)
+    least, shared = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    least[order], shared[order] = low[group], several[group]
+    kept = np.flatnonzero(np.logical_or.reduceat(shared, ends - n))
+    lo, hi = stretch_keys(hashes, starts[kept], n[kept], length)
+    _, once = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+    kept, lo, hi = kept[once], lo[once], hi[once]
+    offsets = np.append(0, np.cumsum(n[kept])).astype(np.int32)
+    values = least[np.repeat((ends - n)[kept] - offsets[:-1], n[kept]) + np.arange(offsets[-1])]
+    firsts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), firsts], names=fields(SHARED).names)
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
