@@ -3,17 +3,19 @@
 1. Every document's set is hashed and fingerprinted; equal sets are one set from then on, whose members need no
    comparing. A sketch of fixed size counts n-grams by slot.
 2. The n-grams of a set are ordered by (how far the sketch count lies above the mean, hash). Two sets that
-   reach the threshold share an n-gram among the first n - ceil(t n) + 1 of each, so only those prefixes are
-   indexed: they travel packed to the bucket of the n-gram, where n-grams that one set alone has are dropped.
-   n-grams that the sketch calls frequent come late in the order, so they enter a prefix only where a set has
-   little else, and they do not meet in a bucket but stay rows.
+   reach the threshold share at least l n-grams among the first n - ceil(t n) + l of each, for any l; with a
+   quarter of the set as l only those prefixes are indexed: they travel packed to the bucket of the n-gram,
+   where n-grams that one set alone has are dropped. n-grams that the sketch calls frequent come late in the
+   order, so they enter a prefix only where a set has little else, and they do not meet in a bucket but stay
+   rows. Sets with fewer shared n-grams left than any partner would ask for are dropped from the lists.
 3. Each index list is first answered for its leader (the smallest set): leader and members that pass the
    length and position bounds are verified. Links so far give components and, for each set, its overlap with
    a leader that is much like it.
 4. Lists whose sets are all in one component are done. The others are cut into cells of bounded size, their
    entries into blocks by length and position; a block is skipped as a whole when its first position and
    lengths rule the threshold out. For a pair that both have overlaps with one leader, bounds of the
-   pair's overlap follow from those two: they settle most pairs without a comparison. The rest is verified.
+   pair's overlap follow from those two: they settle most pairs without a comparison. Pairs that share too few
+   n-grams of their prefixes are dropped, the rest is verified.
 
 No pair inside a component that is already known is looked at again, no list is gathered beyond a cell, and the
 comparing steps read the sets of candidates only.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
 from .common import LOWER, WordHashes, batch_of, components, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, rows_of, window_hashes
@@ -42,11 +44,13 @@ FREQUENT = 16
 CHUNK_BYTES = 4 << 20
 CELL = 4096
 BLOCK = 64
+LISTED = 50_000
+PAIRS_AT_ONCE = 100_000
 
 SLIM = "doc_id long, n_shingles long, fp long, part int, counts binary"
 PREFIX = "bucket long, tokens binary, places binary, owners binary, fps binary, sizes binary"
 ENTRY = "token long, fp long, n int, pos int"
-PAIR = "a long, b long, linked boolean"
+PAIR = "a long, b long, na int, nb int, linked boolean"
 
 
 class Sets:
@@ -68,8 +72,18 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mixed_all(mixed_all(shingles * np.uint64(0xD6E8FEB86659FD93)).sum(keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
+def shared_in_prefix(n):
+    """How many n-grams of its prefix a set of this size shares with a partner of its size or larger."""
+    return max(1, n // 4)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    return n - -(-NUMERATOR * n // DENOMINATOR) + shared_in_prefix(n)
+
+
+def shared_at_least(n: Column) -> Column:
+    """The same for the smallest partner: sizes differ by the threshold at most."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(NUMERATOR * n / DENOMINATOR) / 4))
 
 
 def needed(total):
@@ -256,38 +270,49 @@ def linked():
     return (NUMERATOR + DENOMINATOR) * F.col("o") >= NUMERATOR * (F.col("na") + F.col("nb"))
 
 
-class Cell:
-    """The entries of an index list (or of two parts of one) by length and position, in blocks."""
-
-    def __init__(self, columns: dict[str, np.ndarray]):
-        order = np.lexsort((columns["pos"], columns["n"]))
-        self.__dict__.update({k: v[order] for k, v in columns.items()})
-        starts = np.arange(0, len(order), BLOCK)
-        self.starts, self.ends = starts, np.append(starts[1:], len(order))
-        self.least_n, self.most_n = self.n[starts], self.n[self.ends - 1]
-        self.least_pos = np.minimum.reduceat(self.pos, starts)
-
-    def pairs(self, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs (probe, other) whose bounds leave them open, and whether a link is certain already."""
-        for i in range(len(self.n)):
-            n, pos = self.n[i], self.pos[i]
-            rest = np.minimum(n - pos, self.most_n - self.least_pos) + np.minimum(pos, self.most_n)
-            open_block = (self.ends > i + 1) & (NUMERATOR * self.least_n <= DENOMINATOR * n) & (rest >= needed(n + self.least_n))
-            for b in np.flatnonzero(open_block).tolist():
-                j = np.arange(max(i + 1, self.starts[b]), self.ends[b])
-                other = self.n[j]
-                need = needed(n + other)
-                good = (NUMERATOR * other <= DENOMINATOR * n) & (self.comp[j] != self.comp[i])
-                good &= np.minimum(n - pos, other - self.pos[j]) + np.minimum(pos, self.pos[j]) >= need
-                if across:
-                    good &= self.part[j] != self.part[i]
-                same = (self.parent[j] == self.parent[i]) & (self.parent[i] != 0)
-                mine, theirs = self.po[i], self.po[j]
-                good &= ~same | (np.minimum(n - mine + theirs, other - theirs + mine) >= need)
-                sure = same & (mine + theirs - self.pn[i] >= need)
-                k = j[good]
-                if len(k):
-                    yield np.full(len(k), self.fp[i]), self.fp[k], sure[good]
+def judged(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """Of pairs of entries of one list, the first no larger than the second: those that the bounds leave open, as
+    fp and size of both, and whether a link is certain already."""
+    n, other = c["n"][i], c["n"][j]
+    need = needed(n + other)
+    good = (NUMERATOR * other <= DENOMINATOR * n) & (c["comp"][i] != c["comp"][j])
+    good &= (c["i"][i] == c["j"][i]) | (c["part"][i] != c["part"][j])
+    good &= np.minimum(n - c["pos"][i], other - c["pos"][j]) + np.minimum(c["pos"][i], c["pos"][j]) >= need
+    same = (c["parent"][i] == c["parent"][j]) & (c["parent"][i] != 0)
+    mine, theirs = c["po"][i], c["po"][j]
+    good &= ~same | (np.minimum(n - mine + theirs, other - theirs + mine) >= need)
+    sure = same & (mine + theirs - c["pn"][i] >= need)
+    i, j = i[good], j[good]
+    return [c["fp"][i], c["fp"][j], n[good], other[good], sure[good]]
+
+
+def short_lists(c: dict[str, np.ndarray], lists: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Lists of one block each, all together: entries with those that follow them in their list."""
+    order = np.lexsort((c["pos"], c["n"], lists))
+    c, lists = {k: v[order] for k, v in c.items()}, lists[order]
+    for step in range(1, BLOCK):
+        i = np.flatnonzero(lists[step:] == lists[:-step])
+        if not len(i):
+            break
+        yield judged(c, i, i + step)
+
+
+def long_list(c: dict[str, np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """A list by length and position in blocks. Blocks whose lengths or first position rule the threshold out are
+    skipped."""
+    order = np.lexsort((c["pos"], c["n"]))
+    c = {k: v[order] for k, v in c.items()}
+    starts = np.arange(0, len(order), BLOCK)
+    ends = np.append(starts[1:], len(order))
+    least_n, most_n = c["n"][starts], c["n"][ends - 1]
+    least_pos, most_pos = np.minimum.reduceat(c["pos"], starts), np.maximum.reduceat(c["pos"], starts)
+    for i in range(len(order)):
+        n, pos = c["n"][i], c["pos"][i]
+        most = np.minimum(n - pos, most_n - least_pos) + np.minimum(pos, most_pos)
+        blocks = (ends > i + 1) & (NUMERATOR * least_n <= DENOMINATOR * n) & (most >= needed(n + least_n))
+        j = np.concatenate([np.empty(0, np.int64), *(np.arange(max(i + 1, starts[b]), ends[b]) for b in np.flatnonzero(blocks).tolist())])
+        if len(j):
+            yield judged(c, np.full(len(j), i), j)
 
 
 def open_pairs(entries: DataFrame, labels: DataFrame, parents: DataFrame, cell: int) -> DataFrame:
@@ -300,36 +325,59 @@ def open_pairs(entries: DataFrame, labels: DataFrame, parents: DataFrame, cell:
     rows = rows.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
-    names = ["fp", "n", "pos", "comp", "parent", "po", "pn", "part"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("linked", pa.bool_())])
+    names = ["token", "i", "j", "fp", "n", "pos", "comp", "parent", "po", "pn", "part"]
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        """Rows of whole lists, which come sorted, and where each list begins."""
+        held: list[dict[str, np.ndarray]] = []
+        total = 0
+
+        def rows() -> tuple[dict[str, np.ndarray], np.ndarray]:
+            c = {k: np.concatenate([h[k] for h in held]) for k in names}
+            new = np.any([c[k][1:] != c[k][:-1] for k in ("token", "i", "j")], axis=0)
+            return c, np.flatnonzero(np.append(True, new))
+
+        for batch in batches:
+            held.append({k: batch.column(k).to_numpy() for k in names})
+            total += batch.num_rows
+            if total >= LISTED:
+                c, starts = rows()
+                last = starts[-1]  # it may go on
+                if last:
+                    yield {k: v[:last] for k, v in c.items()}, starts[:-1]
+                held, total = [{k: v[last:] for k, v in c.items()}], len(c["n"]) - last
+        if total:
+            yield rows()
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for c, starts in complete(batches):
+            sizes = np.diff(np.append(starts, len(c["n"])))
+            lists = np.repeat(np.arange(len(starts)), sizes)
+            short = (sizes <= BLOCK)[lists]
+            if short.any():
+                yield from short_lists({k: v[short] for k, v in c.items()}, lists[short])
+            for k in np.flatnonzero(sizes > BLOCK).tolist():
+                yield from long_list({x: v[starts[k] : starts[k] + sizes[k]] for x, v in c.items()})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists():
-            held, key = [], None
-            for batch in batches:  # sorted by cell
-                columns = {c: batch.column(c).to_numpy() for c in ("token", "i", "j", *names)}
-                keys = np.stack([columns["token"], columns["i"], columns["j"]])
-                cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if a == b:
-                        continue
-                    now = tuple(keys[:, a].tolist())
-                    if held and now != key:
-                        yield key, held
-                        held = []
-                    key = now
-                    held.append({c: columns[c][a:b] for c in names})
-            if held:
-                yield key, held
-
-        for (_, i, j), held in lists():
-            found = list(Cell({c: np.concatenate([h[c] for h in held]) for c in names}).pairs(i != j))
-            if found:
-                yield batch_of(schema, [np.concatenate(x) for x in zip(*found, strict=True)])
+        held, total = [], 0
+        for found in searched(batches):
+            held.append(found)
+            total += len(found[0])
+            if total >= PAIRS_AT_ONCE:
+                yield batch_of(schema, [np.concatenate(x) for x in zip(*held, strict=True)])
+                held, total = [], 0
+        if total:
+            yield batch_of(schema, [np.concatenate(x) for x in zip(*held, strict=True)])
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = dealt.select("token", "i", "j", *names).mapInArrow(search, PAIR)
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("linked").alias("linked"))
+    pairs = dealt.select(*names).mapInArrow(search, PAIR)
+    found = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.max("linked").alias("linked"), F.count("*").alias("shared"), F.max(F.least("na", "nb")).alias("n")
+    )
+    asked = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
+    return found.where(F.col("linked") | (F.col("shared") >= asked)).select("a", "b", "linked")
 
 
 def links(docs: DataFrame, n: int = NGRAM, slots: int = SKETCH_SLOTS, chunk_bytes: int = CHUNK_BYTES, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
@@ -341,6 +389,8 @@ def links(docs: DataFrame, n: int = NGRAM, slots: int = SKETCH_SLOTS, chunk_byte
     slim = slim.where("part IS NULL").select("doc_id", "n_shingles", "fp")
     # rows without id cannot be fetched again by it: they meet the others as equal sets only
     entries = stage(prefix_entries(texts.where("doc_id IS NOT NULL"), classes, n, partitions(docs.sparkSession), chunk_bytes))
+    shared = entries.groupBy("fp").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    entries = stage(entries.join(shared.where(F.col("shared") >= shared_at_least(F.col("n"))), "fp", "left_semi"))
     sets = stage(candidate_sets(docs, slim, entries.select("fp").distinct(), n))
     first = stage(overlaps(leader_pairs(entries), sets))
     found = first.where(linked()).select("a", "b")
