@@ -20,8 +20,21 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FILTER_BITS = 1 << 26
 
 
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: batches of the session get ``BATCH_ROWS`` rows at most, which bounds what the
+    executors and their Python workers hold at once."""
+    now = int(spark.conf.get(_ROWS))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that operators on texts read, the text as its UTF-8 bytes; null texts stay null."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, count_rows, rows_of, summed
+from .common import batch_of, count_rows, rows_of, short_batches, summed
 
 SLOTS = 1 << 15
 ORDERS = 3
@@ -177,6 +177,7 @@ def document_frequencies(texts: DataFrame, slots: int = SLOTS) -> tuple[int, np.
 def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS) -> Model:
     """A model from ``rows`` (doc_id, text, lang). The driver gets the languages' counts, the document frequencies and
     the model, whose size is ``slots`` times the number of languages."""
+    short_batches(rows.sparkSession)
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -209,6 +210,7 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS)
 
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
