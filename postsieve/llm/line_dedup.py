@@ -1,17 +1,24 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are compared: a line that at most ``rare`` documents have pairs every two of them.
-A more frequent one pairs each document with the first that has it, so that a frequent line makes fewer pairs
-than it has holders. The pairs
-are aligned by patience diff: lines that occur once in either document and in the same order are anchors,
-and what lies between anchors is aligned in the same way. Runs of aligned lines with ``min_words`` words
+Pairs of documents are aligned by patience diff: lines that occur once in either document and in the same order are
+anchors, and what lies between anchors is aligned in the same way. Runs of aligned lines with ``min_words`` words
 or more are deleted from the later document, which is the one with the larger doc_id. Documents are judged on the
-input, not on what other deletions leave.
+input, not on what other deletions leave. Lines are parted by line feeds and compared without white space at their ends.
 
-Lines are parted by line feeds and compared without white space at their ends. Only lines of ``anchor_words`` words
-or more lead to a comparison; in an alignment all lines count. Of a line that many documents of one chunk of a task
-have only the first holder and their number travel; its other holders learn the first of all by a join that Spark may
-split.
+The result is that of aligning every two documents. What an alignment deletes lies in runs of lines that both
+documents have and that reach ``min_words`` with their last or with their first line, so only documents that share
+such a run are compared. A run that at most ``RARE`` documents have pairs every two of them. A more frequent one
+pairs each holder with the first of all. Where the first's alignment leaves lines of the run, because it has them in
+another order or place, the holder is open: it meets more holders of that run, the first of each of some slots,
+and in the end all earlier ones. A document whose shared runs are deleted needs no further comparison, since no other
+document can delete more of it.
+
+Of a run that many documents of one chunk of a task have only the first holder and their number travel; its other
+holders learn the first of all by a join that Spark may split.
+
+A caller that names ``rare`` or ``anchor_words`` gets a bounded comparison, which may delete less: only documents
+are paired that share a line of ``anchor_words`` words, all holders of a line that at most ``rare`` documents have,
+and of a more frequent one each with the first.
 
 Edge cases: null and empty texts have no line to delete and give null and empty texts. Rows with a null doc_id
 are left alone. Rows with the same doc_id and text count as one document, and rows with the same
@@ -21,7 +28,8 @@ doc_id as none's later. Empty tables give empty results; other columns are not r
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,18 +38,22 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import batch_of, key_bitmap, keyed_texts, may_occur, partitions, rows_of
+from .common import batch_of, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, rows_of
 
 RARE = 8
 ANCHOR_WORDS = 3
 MIN_WORDS = 10
+SLOTS = (8, 64)
 CHUNK_LINES = 200_000
 
 LINES = "doc_id long, digest long, hashes binary, words binary"
 HOLDERS = "bucket long, hashes binary, docs binary, digests binary, counts binary"
 MET = "line long, a long, a_digest long, b long, b_digest long"
+HELD = "b long, b_digest long, line long"
 DELETED = "b long, b_digest long, deleted array<int>"
 
+Keys = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def schema_of(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -80,6 +92,40 @@ def with_digest(docs: DataFrame) -> DataFrame:
 # --- pairs ---------------------------------------------------------------------------------------------
 
 
+@lru_cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number modulo 2**64, and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    both = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    for x in both:
+        x[:1] = 1
+    return tuple(np.multiply.accumulate(x) for x in both)
+
+
+def runs_of(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash, the begin and the end of each run of lines that has ``min_words`` words but not without its last line, or
+    not without its first."""
+    n = len(hashes)
+    before = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    place = np.arange(n, dtype=np.int64)
+    ends = np.maximum(np.searchsorted(before, before[:-1] + min_words), place + 1)
+    starts = np.minimum(np.searchsorted(before, before[1:] - min_words, "right") - 1, place)
+    forward, backward = ends <= n, starts >= 0
+    runs = np.unique(np.concatenate([place[forward] * (n + 1) + ends[forward], starts[backward] * (n + 1) + place[backward] + 1]))
+    starts, ends = runs // (n + 1), runs % (n + 1)
+    power, inverse = (x[:n] for x in powers(1 << n.bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_all(hashes + np.uint64(0x9E3779B97F4A7C15)) * power, dtype=np.uint64)])
+    return mixed_all((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
+
+
+def run_keys(min_words: int) -> Keys:
+    return lambda hashes, words: runs_of(hashes, words, min_words)[0]
+
+
+def line_keys(anchor_words: int) -> Keys:
+    return lambda hashes, words: hashes[words >= anchor_words]
+
+
 def by_line(hashes: np.ndarray, docs: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by line and document, and where each line begins in it."""
     order = np.lexsort((digests, docs, hashes))
@@ -87,11 +133,11 @@ def by_line(hashes: np.ndarray, docs: np.ndarray, digests: np.ndarray) -> tuple[
     return order, np.flatnonzero(np.append(True, lines[1:] != lines[:-1])) if len(lines) else np.empty(0, np.int64)
 
 
-def anchors_of(batches: Iterator[pa.RecordBatch], anchor_words: int) -> Iterator[list[np.ndarray]]:
-    """Chunks of (line, doc_id, digest) as columns, each line of a document once."""
+def anchors_of(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[list[np.ndarray]]:
+    """Chunks of (key, doc_id, digest) as columns, each key of a document once. Keys are hashes of runs or lines."""
     held, total = [], 0
     for doc_id, digest, hashes, words in rows_of(batches, "doc_id", "digest", "hashes", "words"):
-        hashes = np.unique(np.frombuffer(hashes, np.uint64)[np.frombuffer(words, np.int32) >= anchor_words])
+        hashes = np.unique(keys(np.frombuffer(hashes, np.uint64), np.frombuffer(words, np.int32)))
         held.append((hashes, np.full(len(hashes), doc_id), np.full(len(hashes), digest)))
         total += len(hashes)
         if total >= CHUNK_LINES:
@@ -101,13 +147,13 @@ def anchors_of(batches: Iterator[pa.RecordBatch], anchor_words: int) -> Iterator
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def line_holders(lines: DataFrame, rare: int, anchor_words: int, buckets: int) -> DataFrame:
-    """Holders of lines on their way to the line's bucket, with counts: all holders of a line, but of one that
+def line_holders(lines: DataFrame, rare: int, keys: Keys, buckets: int) -> DataFrame:
+    """Holders of keys on their way to the key's bucket, with counts: all holders of a key, but of one that
     more than ``rare`` documents of the chunk have only the first, with the number of them."""
     schema = schema_of(HOLDERS)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in anchors_of(batches, anchor_words):
+        for columns in anchors_of(batches, keys):
             order, starts = by_line(*columns)
             sizes = np.diff(np.append(starts, len(order)))
             frequent = np.repeat(sizes > rare, sizes)
@@ -125,9 +171,9 @@ def line_holders(lines: DataFrame, rare: int, anchor_words: int, buckets: int) -
     return lines.mapInArrow(hold, HOLDERS).repartition(buckets, "bucket")
 
 
-def document_pairs(lines: DataFrame, rare: int, anchor_words: int) -> DataFrame:
-    """Distinct pairs (a before b) of documents that share a line which at most ``rare`` documents have, or
-    a line whose first holder is a."""
+def document_pairs(lines: DataFrame, rare: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a before b) of documents that share a key which at most ``rare`` documents have, or
+    a key whose first holder is a; and the more frequent keys with their first holders (line, a, a_digest)."""
     schema, kinds = schema_of(MET), (np.uint64, np.int64, np.int64, np.int64)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,18 +196,57 @@ def document_pairs(lines: DataFrame, rare: int, anchor_words: int) -> DataFrame:
                 yield batch_of(schema, [[None] * found.shape[1], *found])
 
     buckets = partitions(lines.sparkSession)
-    made = stage(line_holders(lines, rare, anchor_words, buckets).mapInArrow(meet, MET))
+    made = stage(line_holders(lines, rare, keys, buckets).mapInArrow(meet, MET))
     frequent = made.where("line IS NOT NULL").select("line", "a", "a_digest")
-    bitmap = lines.sparkSession.sparkContext.broadcast(key_bitmap(frequent, "line"))
+    starred = holders_of(lines, frequent, keys).join(frequent, "line").where("a < b").select("a", "a_digest", "b", "b_digest")
+    return made.where("line IS NULL").drop("line").unionByName(starred).distinct(), frequent
+
+
+def holders_of(lines: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
+    """line, b, b_digest: documents with the keys that they have of ``wanted`` (line), and a few other keys."""
+    bitmap = lines.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "line"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, docs, digests in anchors_of(batches, anchor_words):
+        for hashes, docs, digests in anchors_of(batches, keys):
             k = np.flatnonzero(may_occur(bitmap.value, hashes))
-            yield pa.RecordBatch.from_pydict({"line": hashes[k].view(np.int64), "b": docs[k], "b_digest": digests[k]})
+            yield pa.RecordBatch.from_pydict({"b": docs[k], "b_digest": digests[k], "line": hashes[k].view(np.int64)})
+
+    return lines.mapInArrow(others, HELD)
+
 
-    holders = lines.mapInArrow(others, "line long, b long, b_digest long")
-    starred = holders.join(frequent, "line").where("a < b").select("a", "a_digest", "b", "b_digest")
-    return made.where("line IS NULL").drop("line").unionByName(starred).distinct()
+def open_runs(lines: DataFrame, deleted: DataFrame, frequent: DataFrame, min_words: int) -> DataFrame:
+    """line, b, b_digest: frequent runs with an earlier holder of which b still has lines."""
+    bitmap = lines.sparkSession.sparkContext.broadcast(key_bitmap(frequent, "line"))
+    schema = schema_of(HELD)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, digest, hashes, words, gone in rows_of(batches, "b", "b_digest", "hashes", "words", "deleted"):
+            hashes = np.frombuffer(hashes, np.uint64)
+            keys, starts, ends = runs_of(hashes, np.frombuffer(words, np.int32), min_words)
+            stay = np.ones(len(hashes) + 1, np.int64)
+            stay[0] = 0
+            if gone:
+                stay[np.array(gone) + 1] = 0
+            stay = np.cumsum(stay)
+            keys = np.unique(keys[(stay[ends] > stay[starts]) & may_occur(bitmap.value, keys)])
+            if len(keys):
+                yield batch_of(schema, [np.full(len(keys), b), np.full(len(keys), digest), keys.view(np.int64)])
+
+    docs = lines.select(F.col("doc_id").alias("b"), F.col("digest").alias("b_digest"), "hashes", "words")
+    found = docs.join(deleted, ["b", "b_digest"], "left").mapInArrow(left, HELD)
+    return found.join(frequent, "line").where("a < b").select("line", "b", "b_digest")
+
+
+def further_pairs(lines: DataFrame, opened: DataFrame, min_words: int, slots: int | None) -> DataFrame:
+    """Distinct pairs (a before b) of open documents with other holders of their open runs: the first of each
+    slot, or all."""
+    wanted = opened.select("line").distinct()
+    holders = holders_of(lines, wanted, run_keys(min_words)).withColumnsRenamed({"b": "a", "b_digest": "a_digest"}).join(wanted, "line", "left_semi")
+    if slots is not None:
+        slot = F.pmod(F.xxhash64("a", "a_digest"), F.lit(slots)).alias("slot")
+        first = holders.groupBy("line", slot).agg(F.min(F.struct("a", "a_digest")).alias("first"))
+        holders = first.select("line", "first.*")
+    return opened.join(holders, "line").where("a < b").select("a", "a_digest", "b", "b_digest").distinct()
 
 
 # --- alignment -----------------------------------------------------------------------------------------
@@ -223,10 +308,8 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return out
 
 
-def deletions(docs: DataFrame, rare: int, anchor_words: int, min_words: int) -> DataFrame:
-    """b, b_digest and the places of its lines to delete, for documents that have some."""
-    lines = stage(hashed_lines(docs))
-    pairs = document_pairs(lines, rare, anchor_words)
+def aligned_blocks(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """b, b_digest and the places of b's lines in blocks that it shares with a, for pairs that have some."""
     earlier = lines.select(F.col("doc_id").alias("a"), F.col("digest").alias("a_digest"), F.col("hashes").alias("ours"))
     later = lines.select(F.col("doc_id").alias("b"), F.col("digest").alias("b_digest"), F.col("hashes").alias("theirs"), "words")
     schema = schema_of(DELETED)
@@ -244,10 +327,31 @@ def deletions(docs: DataFrame, rare: int, anchor_words: int, min_words: int) ->
             yield batch_of(schema, list(zip(*held, strict=True)))
 
     both = pairs.join(earlier, ["a", "a_digest"]).join(later, ["b", "b_digest"])
-    found = both.select("b", "b_digest", "ours", "theirs", "words").mapInArrow(align, DELETED)
+    return both.select("b", "b_digest", "ours", "theirs", "words").mapInArrow(align, DELETED)
+
+
+def united(found: DataFrame) -> DataFrame:
     return found.groupBy("b", "b_digest").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted"))
 
 
+def deletions(docs: DataFrame, rare: int | None, anchor_words: int | None, min_words: int) -> DataFrame:
+    """b, b_digest and the places of its lines to delete, for documents that have some."""
+    lines = stage(hashed_lines(docs))
+    if rare is not None or anchor_words is not None:
+        keys = line_keys(ANCHOR_WORDS if anchor_words is None else anchor_words)
+        pairs, _ = document_pairs(lines, RARE if rare is None else rare, keys)
+        return united(aligned_blocks(lines, pairs, min_words))
+    pairs, frequent = document_pairs(lines, RARE, run_keys(min_words))
+    deleted = stage(united(aligned_blocks(lines, pairs, min_words)))
+    for slots in (*SLOTS, None):
+        opened = stage(open_runs(lines, deleted, frequent, min_words))
+        if opened.isEmpty():
+            break
+        found = aligned_blocks(lines, further_pairs(lines, opened, min_words, slots), min_words)
+        deleted = stage(united(deleted.unionByName(found)))
+    return deleted
+
+
 def cut(texts: pd.Series, deleted: pd.Series) -> pd.DataFrame:
     rows = []
     for text, places in zip(texts, deleted, strict=True):
@@ -259,7 +363,7 @@ def cut(texts: pd.Series, deleted: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_lines", "n_removed", "kept"])
 
 
-def without_blocks(docs: DataFrame, rare: int = RARE, anchor_words: int = ANCHOR_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def without_blocks(docs: DataFrame, rare: int | None = None, anchor_words: int | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the kept lines as text, and n_lines and n_removed; columns of
     these two names are replaced."""
     gone = deletions(docs, rare, anchor_words, min_words)

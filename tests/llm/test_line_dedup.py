@@ -74,3 +74,31 @@ def test_alignment_ascends_and_finds_moved_blocks_once():
         assert d.aligned(a, a) == [(i, i) for i in range(len(a))]
     assert d.aligned([1, 2, 3, 4, 5], [9, 1, 2, 3, 8, 5]) == [(0, 1), (1, 2), (2, 3), (4, 5)]
     assert d.rising([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
+
+
+def all_pairs(docs, min_words=d.MIN_WORDS):
+    return plain(docs, len(docs), 0, min_words)
+
+
+def test_copies_of_lines_that_earlier_documents_have_one_by_one(spark):
+    lines = [passage(k, 3 + k % 7, 3 + k % 7) for k in range(12)]
+    docs = [(k, line) for k, line in enumerate(lines)] + [(100 + k, "\n".join(lines)) for k in range(20)]
+    got = found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert got == all_pairs(docs)
+    assert sum(w[2] == len(lines) for w in got) == 19
+
+
+def test_holders_that_the_first_does_not_align_with_meet_all_others(spark):
+    first, second = passage(1, 10, 10), passage(2, 12, 12)
+    docs = [(0, f"{first}\n{second}"), *((k, f"{second}\n{first}") for k in range(1, 30))]
+    got = found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert got == all_pairs(docs) and all(w[3] == "" for w in got if w[0] > 1)
+
+
+@pytest.mark.parametrize("seed, slots", [(1, (8, 64)), (2, ()), (3, (2,))])
+def test_random_orders_against_all_pairs(spark, monkeypatch, seed, slots):
+    monkeypatch.setattr(d, "SLOTS", slots)
+    rng = random.Random(seed)
+    lines = [passage(k, 1, 1 + k % 13) for k in range(14)] + [""]
+    docs = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for k in range(150)]
+    assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == all_pairs(docs)
