@@ -102,3 +102,12 @@ def test_random_orders_against_all_pairs(spark, monkeypatch, seed, slots):
     lines = [passage(k, 1, 1 + k % 13) for k in range(14)] + [""]
     docs = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for k in range(150)]
     assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == all_pairs(docs)
+
+
+def test_blocks_of_short_lines_and_of_scripts_without_blanks(spark):
+    short = [passage(k, 1 + k % 2, 1 + k % 2) for k in range(12)]
+    joined = ["".join(chr(0x4E00 + (k * 37 + i * 11) % 5000) for i in range(20)) for k in range(12)]
+    docs = [(10 * n + k, "\n".join([f"own {n} {k}", *block])) for n, block in enumerate([short, joined]) for k in range(4)]
+    got = found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert got == all_pairs(docs)
+    assert [w[2] for w in sorted(got)] == [0, 12, 12, 12, 0, 12, 12, 12]
