@@ -131,3 +131,21 @@ def test_the_model_beats_word_frequencies_on_held_out_texts(spark):
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum() + 0.1 * held.n_tokens.sum()
     assert (held.score > held.base_score).mean() > 0.95
+
+
+def test_all_learning_documents_train_in_every_round(spark):
+    docs = [(k, " ".join(f"w{(k * i) % 23}" for i in range(1, 4 + k % 30))) for k in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    shards = lm.write_shards(frame, F.col("doc_id") % 7 != 2)
+    words = lm.Words(np.sort(lm.WordHashes().of([b"w%d" % k for k in range(23)])))
+    counts = np.ones(words.size)
+    tokens = 10**9  # as of a large corpus, of which these are some documents
+    got = lm.trained(shards, words, counts, tokens, 2)
+    want = lm.Net(words.size, lm.CLASSES, lm.HIDDEN)
+    want.start_from(counts)
+    learned = [(i, t) for i, t in docs if i % 7 != 2]
+    texts = [np.append(words.of(lm.WordHashes().of(t.encode().split())), words.end) for _, t in learned]
+    for k in range(2):
+        optimiser = lm.Adam(want, lm.RATE / (1 + k))
+        lm.train(want, texts, words.end, lm.RATE, optimiser)
+    assert np.allclose(got.flat(), want.flat(), atol=1e-4)
