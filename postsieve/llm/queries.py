@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, recurrent_lm, substring_dedup, token_codes, warc
+from . import (
+    centroids, decontamination, embedding_dedup, filter_audit, language_id, line_dedup, ngram_join, packing, recurrent_lm, substring_dedup,
+    token_codes, url_filters, warc,
+)
 from .common import sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,3 +229,124 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op10_recurrent_lm(spark: SparkSession, sf: str) -> DataFrame:
     scored = recurrent_lm.score(table(spark, sf, "documents"), ~held_out(7))
     return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 11 ------------------------------------------------------------------------------------------------
+
+URL_RULES = [
+    ("org/", url_filters.ALLOW), ("example.org/es/", url_filters.BLOCK), ("example.org/en/1", url_filters.BLOCK),
+    ("com/fr/", url_filters.ALLOW), ("com/de/", url_filters.BLOCK),
+]
+
+
+def url_rules_sql(rules: list[tuple[str, str]]) -> str:
+    rows = []
+    for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
+        host, slash, path = rule.partition("/")
+        rows.append(f"{{'rule': '{rule}', 'host': '{host}', 'path': '{slash + path}', 'verdict': '{verdict}'}}")
+    return "[" + ", ".join(rows) + "]"
+
+
+URL_FILTERS_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+),
+f AS (
+  SELECT page_id, host, path, list_filter({url_rules_sql(URL_RULES)},
+    lambda r: (host = r.host OR ends_with(host, '.' || r.host)) AND starts_with(path, r.path))[1] AS best
+  FROM p
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, '{url_filters.ALLOW}') AS verdict FROM f
+"""
+
+
+@query("op11_url_filters", URL_FILTERS_SQL)
+def op11_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf, "pages"), url_filters.fixed_rules(spark, URL_RULES))
+
+
+# --- 12 ------------------------------------------------------------------------------------------------
+
+FILTER_ORDERS_SQL = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
+
+FILTER_AUDIT_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+c AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT t.*, regexp_extract_all(text, '[^ 	-]+') AS words FROM t),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 2 * length(w.text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN least < w.doc_id THEN 'E' ELSE '' END AS failed
+  FROM w JOIN c USING (text) LEFT JOIN l ON l.doc_id = w.doc_id
+),
+g AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+o(filter_order) AS (VALUES {FILTER_ORDERS_SQL}),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+),
+r AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN contains(failed, letter) AND translate(failed, before, '') = failed THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(failed, letter) AND translate(failed, before, '') <> failed THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(failed, letter) AND translate(failed, before, '') = failed THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(failed, letter) AND translate(failed, before, '') = failed THEN toxic ELSE 0 END) AS toxic_lost,
+    sum(CASE WHEN translate(failed, before || letter, '') = failed THEN n ELSE 0 END) AS kept
+  FROM g, s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_audit", FILTER_AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# --- 13 ------------------------------------------------------------------------------------------------
+
+
+def centroids_sql(rounds: int = centroids.ROUNDS) -> str:
+    """The rounds one after the other; sums are divided towards minus infinity in integers."""
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT k, vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT k, vec_id, v.x, c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i]))) AS d FROM v, m{r} m
+  ) GROUP BY k, vec_id, x
+)"""
+    moved = """
+s{r} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i
+  ) GROUP BY c
+),
+m{next} AS MATERIALIZED (SELECT c, coalesce(s{r}.x, m{r}.x) AS x FROM m{r} LEFT JOIN s{r} USING (c))"""
+    steps = [nearest.format(r=r) + "," + moved.format(r=r, next=r + 1) for r in range(rounds)] + [nearest.format(r=rounds)]
+    return f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS x FROM e
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), x) - 1 AS c, x FROM v WHERE vec_id IS NOT NULL
+  ORDER BY c LIMIT {centroids.CENTROIDS}
+),{",".join(steps)}
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(list_aggregate(m{rounds}.x, 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} JOIN m{rounds} USING (c)
+"""
+
+
+@query("op13_centroid_clustering", centroids_sql())
+def op13_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.clustering(table(spark, sf, "embeddings"))
