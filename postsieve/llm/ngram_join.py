@@ -5,17 +5,24 @@
 2. The n-grams of a set are ordered by (how far the sketch count lies above the mean, hash). Two sets that
    reach the threshold share at least l n-grams among the first n - ceil(t n) + l of each, for any l; with a
    quarter of the set as l only those prefixes are indexed: they travel packed to the bucket of the n-gram,
-   where n-grams that one set alone has are dropped. n-grams that the sketch calls frequent come late in the
-   order, so they enter a prefix only where a set has little else, and they do not meet in a bucket but stay
-   rows. Sets with fewer shared n-grams left than any partner would ask for are dropped from the lists.
+   where n-grams that one set alone has are dropped and the others get the length of their list. n-grams that the
+   sketch calls frequent come late in the order, so they enter a prefix only where a set has little else, and they do
+   not meet in a bucket but stay rows. A set whose n-grams in lists are fewer than the r that any partner would share
+   is dropped; the others keep all but the last r - 1 of them, those in the shortest lists first: the first that two
+   sets share is among these.
 3. Each index list is first answered for its leader (the smallest set): leader and members that pass the
-   length and position bounds are verified. Links so far give components and, for each set, its overlap with
-   a leader that is much like it.
-4. Lists whose sets are all in one component are done. The others are cut into cells of bounded size, their
-   entries into blocks by length and position; a block is skipped as a whole when its first position and
-   lengths rule the threshold out. For a pair that both have overlaps with one leader, bounds of the
-   pair's overlap follow from those two: they settle most pairs without a comparison. Pairs that share too few
-   n-grams of their prefixes are dropped, the rest is verified.
+   length and position bounds are verified. Links so far give components. A set that has a quarter of its n-grams in
+   common with a leader belongs to its family, that of the leader with most such sets.
+4. Within a family a set's answers follow from those of the others by what they have in common: the n-grams that most
+   members have are columns of a table of members, whose product gives all overlaps on these columns at once; what
+   members have beside them bounds the rest, and few pairs are left to be intersected. Links are given out that join
+   components. Families of one component are done; others are cut into cells of bounded size.
+5. Pairs of different families meet in the index lists. Lists whose sets are all in one component are done. The others
+   are cut into cells of bounded size, their entries into blocks by length and position; a block is skipped as a whole
+   when its first position and lengths rule the threshold out. An entry has with it the
+   ``SEEN`` n-grams that come before the list's own in its set; a pair that has one of these in common meets in
+   that one's list as well and is left out here, so a pair is given out about once and never less than once.
+   The rest is verified.
 
 No pair inside a component that is already known is looked at again, no list is gathered beyond a cell, and the
 comparing steps read the sets of candidates only.
@@ -48,9 +55,15 @@ LISTED = 50_000
 PAIRS_AT_ONCE = 100_000
 
 SLIM = "doc_id long, n_shingles long, fp long, part int, counts binary"
+SEEN = 8
+FAMILY_CELL = 2_000_000
+COLUMNS_AT_ONCE = 4096
+ROWS_AT_ONCE = 256
+FREQUENT_LIST = (1 << 31) - 1  # stands for the length of a frequent n-gram's list, which no bucket has counted
 PREFIX = "bucket long, tokens binary, places binary, owners binary, fps binary, sizes binary"
-ENTRY = "token long, fp long, n int, pos int"
-PAIR = "a long, b long, na int, nb int, linked boolean"
+ENTRY = "token long, fp long, n int, pos int, listed int"
+PAIR = "a long, b long"
+FAMILY = "family long, i int, j int, fp long, comp long, part int, shingles array<long>"
 
 
 class Sets:
@@ -142,11 +155,11 @@ def frequency_class(slim: DataFrame, slots: int) -> np.ndarray:
 
 
 def prefix_entries(texts: DataFrame, classes: np.ndarray, n: int, buckets: int, chunk_bytes: int) -> DataFrame:
-    """Rows (token, fp, n, pos) of prefix n-grams that several sets have."""
+    """Rows (token, fp, n, pos, listed) of prefix n-grams that several sets have, with the length of their list."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(classes)
     schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("tokens", "places", "owners", "fps", "sizes"))])
-    entry = pa.schema([("token", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    entry = pa.schema([("token", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("listed", pa.int32())])
 
     def chunk_rows(held: dict[int, np.ndarray], classes: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
         fps, sizes, tokens, places, owners, hot = [], [], [], [], [], []
@@ -199,20 +212,31 @@ def prefix_entries(texts: DataFrame, classes: np.ndarray, n: int, buckets: int,
                 whole = [np.frombuffer(codec.decompress(x, 4 * k, asbytes=True), np.int32) for x, k in ((places, len(tokens)), (owners, len(tokens)), (sizes, len(fps)))]
                 found.append((tokens.view(np.int64), fps[whole[1]], whole[2][whole[1]], whole[0]))
             token, fp, size, pos = map(np.concatenate, zip(*found, strict=True))
+            listed = np.full(len(token), FREQUENT_LIST, np.int32)
             if bucket >= 0:
                 order = np.lexsort((fp, token))
                 token, fp, size, pos = token[order], fp[order], size[order], pos[order]
                 first = np.append(True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1]))  # of equal sets one
                 token, fp, size, pos = token[first], fp[first], size[first], pos[first]
-                same = np.append(False, token[1:] == token[:-1])
-                keep = same | np.append(same[1:], False)
-                token, fp, size, pos = token[keep], fp[keep], size[keep], pos[keep]
+                starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
+                lengths = np.diff(np.append(starts, len(token)))
+                listed = np.repeat(lengths, lengths).astype(np.int32)
+                keep = listed > 1
+                token, fp, size, pos, listed = token[keep], fp[keep], size[keep], pos[keep], listed[keep]
             for a in range(0, len(token), 50_000):
-                yield batch_of(entry, [x[a : a + 50_000] for x in (token, fp, size, pos)])
+                yield batch_of(entry, [x[a : a + 50_000] for x in (token, fp, size, pos, listed)])
 
     return texts.mapInArrow(index, PREFIX).repartition(buckets, "bucket").mapInArrow(shared, ENTRY)
 
 
+def kept_entries(entries: DataFrame) -> DataFrame:
+    """fp, n and the entries (listed, token, pos) that it keeps, in their order, of each set that may have a partner."""
+    sets = entries.groupBy("fp", "n").agg(F.array_sort(F.collect_set(F.struct("listed", "token", "pos"))).alias("kept"))
+    asked = shared_at_least(F.col("n")).cast("int")
+    sets = sets.where(F.size("kept") >= asked)
+    return sets.withColumn("kept", F.slice("kept", F.lit(1), F.size("kept") - asked + 1))
+
+
 # --- 3, 4: candidates and verification -------------------------------------------------------------------
 
 
@@ -225,7 +249,8 @@ def within_bounds(n1, p1, n2, p2):
     )
 
 
-def leader_pairs(entries: DataFrame) -> DataFrame:
+def leader_pairs(holders: DataFrame) -> DataFrame:
+    entries = holders.select("fp", "n", F.inline("kept"))
     lead = entries.groupBy("token").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
     rows = entries.join(lead, "token").where(F.col("fp") != F.col("lead.fp"))
     rows = rows.where(within_bounds(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
@@ -234,8 +259,7 @@ def leader_pairs(entries: DataFrame) -> DataFrame:
 
 def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) -> DataFrame:
     """fp and n-grams of the sets in ``fps``, made again from the text of one document each."""
-    chosen = slim.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stage(chosen.join(fps, "fp", "left_semi"))
+    chosen = stage(slim.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(fps, "fp", "left_semi"))
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(chosen, "doc_id"))
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -243,7 +267,8 @@ def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) ->
         sets = Sets(n)
         for batch in batches:
             ids = batch.column("doc_id")
-            wanted = np.flatnonzero(may_occur(bitmap.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
+            wanted = np.flatnonzero(may_occur(bitmap.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ~named)
             rows = []
             for i in wanted.tolist():
                 shingles = sets.of(batch.column("text")[i].as_py())
@@ -253,7 +278,9 @@ def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) ->
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
     made = keyed_texts(docs).mapInArrow(run, "doc_id long, fp long, shingles array<long>")
-    return made.join(chosen, ["doc_id", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
+    chosen = chosen.select(F.col("fp").alias("chosen"), F.col("doc_id").alias("of"))
+    same = (F.col("fp") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    return made.join(chosen, same, "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,18 +299,17 @@ def linked():
 
 def judged(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
     """Of pairs of entries of one list, the first no larger than the second: those that the bounds leave open, as
-    fp and size of both, and whether a link is certain already."""
+    the fp of both."""
+    new = (c["seen"][i] & c["seen"][j] == 0) & (c["comp"][i] != c["comp"][j])
+    i, j = i[new], j[new]
     n, other = c["n"][i], c["n"][j]
     need = needed(n + other)
-    good = (NUMERATOR * other <= DENOMINATOR * n) & (c["comp"][i] != c["comp"][j])
+    good = NUMERATOR * other <= DENOMINATOR * n
     good &= (c["i"][i] == c["j"][i]) | (c["part"][i] != c["part"][j])
     good &= np.minimum(n - c["pos"][i], other - c["pos"][j]) + np.minimum(c["pos"][i], c["pos"][j]) >= need
-    same = (c["parent"][i] == c["parent"][j]) & (c["parent"][i] != 0)
-    mine, theirs = c["po"][i], c["po"][j]
-    good &= ~same | (np.minimum(n - mine + theirs, other - theirs + mine) >= need)
-    sure = same & (mine + theirs - c["pn"][i] >= need)
-    i, j = i[good], j[good]
-    return [c["fp"][i], c["fp"][j], n[good], other[good], sure[good]]
+    theirs, ours = c["family"][i], c["family"][j]  # 0: none. A family's pairs are answered, as are those with its leader
+    good &= ~((theirs == ours) & (ours != 0) | (theirs == c["fp"][j]) | (ours == c["fp"][i]))
+    return [c["fp"][i[good]], c["fp"][j[good]]]
 
 
 def short_lists(c: dict[str, np.ndarray], lists: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -315,40 +341,164 @@ def long_list(c: dict[str, np.ndarray]) -> Iterator[list[np.ndarray]]:
             yield judged(c, np.full(len(j), i), j)
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame, parents: DataFrame, cell: int) -> DataFrame:
-    """Pairs of sets in different components that the bounds leave open: a, b, linked (certain already)."""
-    rows = entries.join(labels.select(F.col("node").alias("fp"), F.col("component").alias("comp")), "fp", "left")
-    rows = rows.withColumn("comp", F.coalesce("comp", "fp")).join(parents, "fp", "left")
-    rows = stage(rows.dropDuplicates(["token", "fp"]).na.fill(0, ["parent", "po", "pn"]))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
-    mixed = mixed.where("low <> high").select("token", F.ceil(F.col("rows") / cell).cast("int").alias("parts"))
-    rows = rows.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+def bits_of(seen: np.ndarray, owners: np.ndarray, rows: int) -> np.ndarray:
+    """For each entry of a list a bit for each of the 64 most frequent n-grams that entries have seen."""
+    tokens, place, times = np.unique(seen, return_inverse=True, return_counts=True)
+    bit = np.full(len(tokens), 64, np.uint8)
+    top = np.argsort(-times, kind="stable")[:64]
+    bit[top] = np.arange(len(top))
+    which = bit[place]
+    out = np.zeros(rows, np.uint64)
+    known = which < 64
+    np.bitwise_or.at(out, owners[known], np.uint64(1) << which[known].astype(np.uint64))
+    return out
+
+
+def with_component(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
+    return sets.join(known, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
+def families(first: DataFrame) -> DataFrame:
+    """fp and family (the leader's fp) of sets with a quarter of their n-grams in common with a leader."""
+    near = first.where(4 * F.col("o") >= F.col("nb")).select("a", "b")
+    stars = near.groupBy("a").agg(F.count("*").alias("stars"))
+    best = near.join(stars, "a").groupBy(F.col("b").alias("fp")).agg(F.max(F.struct("stars", "a")).alias("best"))
+    return best.select("fp", F.col("best.a").alias("family"))
+
+
+def cell_links(fps: list[int], comps: list[int], parts: list[int], crossing: bool, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of the sets of a cell; of sets of different parts only if it is ``crossing``."""
+    owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tokens, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.full(len(tokens), -1)
+    frequent = np.argsort(-times, kind="stable")[:COLUMNS_AT_ONCE]
+    frequent = frequent[times[frequent] > 1]
+    column[frequent] = np.arange(len(frequent))
+    column = column[place]
+    table = np.zeros((len(sets), len(frequent)), np.float32)
+    table[owners[column >= 0], column[column >= 0]] = 1
+    beside = (column < 0) & (times[place] > 1)
+    left = np.bincount(owners[beside], minlength=len(sets))
+    cuts = np.append(0, np.cumsum(left))
+    rest = [place[beside][a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    n, comp, part = np.array([len(x) for x in sets]), np.array(comps), np.array(parts)
+    root = {c: c for c in comps}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for a in range(0, len(sets), ROWS_AT_ONCE):
+        rows = slice(a, a + ROWS_AT_ONCE)
+        common = table[rows] @ table[a:].T
+        need = needed(n[rows, None] + n[None, a:])
+        open_ = (common + np.minimum(left[rows, None], left[None, a:]) >= need) & (comp[rows, None] != comp[None, a:])
+        if crossing:
+            open_ &= part[rows, None] != part[None, a:]
+        for i, j in np.argwhere(np.triu(open_, 1)).tolist():
+            x, y = top(comps[a + i]), top(comps[a + j])
+            if x != y:
+                o = common[i, j] + len(np.intersect1d(rest[a + i], rest[a + j], assume_unique=True))
+                if o >= need[i, j]:
+                    out.append((fps[a + i], fps[a + j]))
+                    root[max(x, y)] = min(x, y)
+    return out
+
+
+def family_links(sets: DataFrame, family: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
+    """Links (a, b) that join the components of the sets within each family. ``cell``: n-grams of a part."""
+    rows = stage(with_component(sets.join(family, "fp"), labels))
+    mixed = rows.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.size("shingles")).alias("size"))
+    mixed = mixed.where("low <> high").select("family", F.ceil(F.col("size") / cell).cast("int").alias("parts"))
+    rows = rows.join(mixed, "family").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def answered() -> pa.RecordBatch:
+            fps, comps, parts, sets = map(list, zip(*held, strict=True))
+            found = cell_links(fps, comps, parts, key[1] != key[2], sets) if len(set(comps)) > 1 else []
+            return batch_of(schema, list(zip(*found, strict=True)) or [[], []])
+
+        for batch in batches:
+            shingles = batch.column("shingles")
+            plain = [batch.column(c).to_pylist() for c in ("family", "i", "j", "fp", "comp", "part")]
+            for k, (*own, fp, comp, part) in enumerate(zip(*plain, strict=True)):
+                if own != key and held:
+                    yield answered()
+                    held = []
+                key = own
+                held.append((fp, comp, part, shingles[k].values.to_numpy()))
+        if held:
+            yield answered()
+
+    dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.select(*(c.split()[0] for c in FAMILY.split(", "))).mapInArrow(run, PAIR)
+
+
+def open_pairs(holders: DataFrame, labels: DataFrame, family: DataFrame, cell: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components and families that the bounds leave open."""
+    sets = stage(with_component(holders, labels).join(family, "fp", "left").na.fill(0, ["family"]))
+    rows = sets.select(*[c for c in sets.columns if c != "kept"], F.col("kept.token").alias("before"), F.posexplode("kept").alias("place", "entry"))
+    first = F.greatest(F.col("place") - SEEN, F.lit(0))
+    rows = rows.withColumn("seen", F.slice("before", first + 1, F.col("place") - first)).select("*", "entry.token", "entry.pos").drop("before", "entry", "place")
+    mixed = sets.select("comp", F.explode("kept.token").alias("token")).groupBy("token").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")
+    )
+    long = mixed.where((F.col("low") != F.col("high")) & (F.col("rows") > cell)).select("token", F.ceil(F.col("rows") / cell).cast("int").alias("parts"))
+    rows = rows.join(stage(long), "token", "left").na.fill(1, ["parts"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("linked", pa.bool_())])
-    names = ["token", "i", "j", "fp", "n", "pos", "comp", "parent", "po", "pn", "part"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["token", "i", "j", "fp", "n", "pos", "comp", "family", "part"]
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-        """Rows of whole lists, which come sorted, and where each list begins."""
-        held: list[dict[str, np.ndarray]] = []
+        """Rows of whole lists, which come sorted, and where each list begins. Lists of one component are left out;
+        what the others' entries have seen becomes bits."""
+        held: list[pa.RecordBatch] = []
         total = 0
 
-        def rows() -> tuple[dict[str, np.ndarray], np.ndarray]:
-            c = {k: np.concatenate([h[k] for h in held]) for k in names}
+        def rows(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+            c = {k: table.column(k).to_numpy() for k in names}
             new = np.any([c[k][1:] != c[k][:-1] for k in ("token", "i", "j")], axis=0)
             return c, np.flatnonzero(np.append(True, new))
 
+        def open_lists(table: pa.Table, c: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+            ends = np.append(starts[1:], len(c["n"]))
+            mixed = np.minimum.reduceat(c["comp"], starts) != np.maximum.reduceat(c["comp"], starts)
+            if mixed.any():
+                seen = table.column("seen").combine_chunks()
+                offsets, tokens = seen.offsets.to_numpy(), seen.values.to_numpy()
+                c["seen"] = np.zeros(len(c["n"]), np.uint64)
+                for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                    cuts = offsets[a : b + 1]
+                    c["seen"][a:b] = bits_of(tokens[cuts[0] : cuts[-1]], np.repeat(np.arange(b - a), np.diff(cuts)), b - a)
+                keep = np.repeat(mixed, ends - starts)
+                sizes = (ends - starts)[mixed]
+                yield {k: v[keep] for k, v in c.items()}, np.cumsum(sizes) - sizes
+
         for batch in batches:
-            held.append({k: batch.column(k).to_numpy() for k in names})
+            held.append(batch)
             total += batch.num_rows
             if total >= LISTED:
-                c, starts = rows()
+                table = pa.Table.from_batches(held).combine_chunks()
+                c, starts = rows(table)
                 last = starts[-1]  # it may go on
                 if last:
-                    yield {k: v[:last] for k, v in c.items()}, starts[:-1]
-                held, total = [{k: v[last:] for k, v in c.items()}], len(c["n"]) - last
+                    yield from open_lists(table[:last], {k: v[:last] for k, v in c.items()}, starts[:-1])
+                rest = table[last:]
+                held, total = rest.to_batches(), rest.num_rows
         if total:
-            yield rows()
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from open_lists(table, *rows(table))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for c, starts in complete(batches):
@@ -372,12 +522,8 @@ def open_pairs(entries: DataFrame, labels: DataFrame, parents: DataFrame, cell:
             yield batch_of(schema, [np.concatenate(x) for x in zip(*held, strict=True)])
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = dealt.select(*names).mapInArrow(search, PAIR)
-    found = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.max("linked").alias("linked"), F.count("*").alias("shared"), F.max(F.least("na", "nb")).alias("n")
-    )
-    asked = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
-    return found.where(F.col("linked") | (F.col("shared") >= asked)).select("a", "b", "linked")
+    pairs = dealt.select(*names, "seen").mapInArrow(search, PAIR)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, n: int = NGRAM, slots: int = SKETCH_SLOTS, chunk_bytes: int = CHUNK_BYTES, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
@@ -387,18 +533,16 @@ def links(docs: DataFrame, n: int = NGRAM, slots: int = SKETCH_SLOTS, chunk_byte
     slim = stage(slim_sets(texts, n, slots))
     classes = frequency_class(slim, slots)
     slim = slim.where("part IS NULL").select("doc_id", "n_shingles", "fp")
-    # rows without id cannot be fetched again by it: they meet the others as equal sets only
-    entries = stage(prefix_entries(texts.where("doc_id IS NOT NULL"), classes, n, partitions(docs.sparkSession), chunk_bytes))
-    shared = entries.groupBy("fp").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    entries = stage(entries.join(shared.where(F.col("shared") >= shared_at_least(F.col("n"))), "fp", "left_semi"))
-    sets = stage(candidate_sets(docs, slim, entries.select("fp").distinct(), n))
-    first = stage(overlaps(leader_pairs(entries), sets))
+    entries = prefix_entries(texts, classes, n, partitions(docs.sparkSession), chunk_bytes)
+    holders = stage(kept_entries(entries))
+    sets = stage(candidate_sets(docs, slim, holders.select("fp"), n))
+    first = stage(overlaps(leader_pairs(holders), sets))
     found = first.where(linked()).select("a", "b")
-    parents = first.groupBy(F.col("b").alias("fp")).agg(F.max(F.struct(F.col("o").alias("po"), F.col("a").alias("parent"), F.col("na").alias("pn"))).alias("p"))
-    second = stage(open_pairs(entries, components(found), parents.select("fp", "p.*"), cell))
-    unsettled = second.where("NOT linked").join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = overlaps(unsettled, sets).where(linked()).select("a", "b")
-    return slim, found.unionByName(second.where("linked").select("a", "b")).unionByName(more)
+    family = stage(families(first))
+    found = stage(found.unionByName(family_links(sets, family, components(found), FAMILY_CELL)))
+    second = stage(open_pairs(holders, components(found), family, cell))
+    unsettled = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return slim, found.unionByName(overlaps(unsettled, sets).where(linked()).select("a", "b"))
 
 
 def classes_of(docs: DataFrame, n: int = NGRAM, **options) -> DataFrame:

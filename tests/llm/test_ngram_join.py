@@ -85,27 +85,89 @@ def test_a_list_keeps_every_pair_at_the_threshold(monkeypatch):
     token = base[0]
     rows = [(k, s, int(np.flatnonzero(s == token)[0])) for k, s in enumerate(sets) if token in s]
     n = np.array([len(s) for _, s, _ in rows], np.int32)
-    leader = sets[rows[0][0]]
-    shared = np.array([len(np.intersect1d(leader, s)) for _, s, _ in rows])
+    none = np.zeros(len(rows), np.int64)
+
     def short(c):
         monkeypatch.setattr(ngram_join, "BLOCK", 1000)
-        return ngram_join.short_lists(c, np.zeros(len(rows), np.int64))
+        return ngram_join.short_lists(c, none)
 
-    for search, parents in ((s, p) for s in (ngram_join.long_list, short) for p in (np.zeros(len(rows), np.int64), np.full(len(rows), 5))):
+    def pairs_of(search, seen=none.astype(np.uint64), family=none):
         columns = {
             "fp": np.array([k for k, _, _ in rows]), "n": n, "pos": np.array([p for _, _, p in rows], np.int32), "comp": np.arange(len(rows)),
-            "part": np.zeros(len(rows)), "i": np.zeros(len(rows)), "j": np.zeros(len(rows)), "parent": parents, "po": shared, "pn": np.full(len(rows), len(leader)),
+            "part": none, "i": none, "j": none, "family": family, "seen": seen,
         }
-        pairs = {}
-        for a, b, _, _, sure in search(columns):
-            pairs.update({(min(x, y), max(x, y)): s for x, y, s in zip(a.tolist(), b.tolist(), sure.tolist(), strict=True)})
-        good = 0
-        for i, (k, s, p) in enumerate(rows):
-            for m, t, q in rows[:i]:
-                o = len(np.intersect1d(s, t))
-                first = np.intersect1d(s, t)[0] == token  # pairs are answered by their first common n-gram
-                if 7 * o >= 3 * (len(s) + len(t)):
+        return {(min(x, y), max(x, y)) for a, b in search(columns) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+
+    for search in (ngram_join.long_list, short):
+        pairs, good = pairs_of(search), 0
+        for i, (k, s, _) in enumerate(rows):
+            for m, t, _ in rows[:i]:
+                both = np.intersect1d(s, t)
+                if 7 * len(both) >= 3 * (len(s) + len(t)):
                     good += 1
-                    assert not first or (m, k) in pairs
-                assert not pairs.get((m, k)) or 7 * o >= 3 * (len(s) + len(t))
+                    assert both[0] != token or (m, k) in pairs  # pairs are answered by their first common n-gram
         assert good > 100
+        assert not pairs_of(search, seen=np.ones(len(rows), np.uint64)) and not pairs_of(search, family=none + 5)
+
+
+def test_an_earlier_common_ngram_leaves_a_pair_out():
+    bits = ngram_join.bits_of(np.array([7, 8, 9, 7, 30, 31]), np.array([0, 0, 1, 2, 2, 3]), 5)
+    together = [[bool(a & b) for b in bits.tolist()] for a in bits.tolist()]
+    assert together == [[True, False, True, False, False], [False, True, False, False, False], [True, False, True, False, False], [False, False, False, True, False], [False] * 5]
+
+
+@pytest.mark.parametrize("columns", [4096, 20])
+def test_a_family_gives_links_that_join_its_components(monkeypatch, columns):
+    monkeypatch.setattr(ngram_join, "COLUMNS_AT_ONCE", columns)
+    monkeypatch.setattr(ngram_join, "ROWS_AT_ONCE", 16)
+    rng = np.random.default_rng(1)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = [np.unique(np.append(base[rng.random(60) < rng.uniform(0.5, 1)], rng.integers(10**6, 10**7, rng.integers(0, 20)))) for _ in range(120)]
+    good = {(i, j) for i in range(120) for j in range(i + 1, 120) if (o := len(np.intersect1d(sets[i], sets[j]))) * 7 >= 3 * (len(sets[i]) + len(sets[j]))}
+
+    def parts_by(links):
+        root = list(range(120))
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    found = ngram_join.cell_links(list(range(120)), list(range(120)), [0] * 120, False, sets)
+    assert set(found) <= good and parts_by(found) == parts_by(good) and len(found) == 120 - len(set(parts_by(good)))
+    halves = [k % 2 for k in range(120)]
+    crossing = ngram_join.cell_links(list(range(120)), list(range(120)), halves, True, sets)
+    assert set(crossing) <= good and all((a + b) % 2 for a, b in crossing)
+    assert parts_by(crossing) == parts_by({(a, b) for a, b in good if (a + b) % 2})
+    assert ngram_join.cell_links(list(range(120)), [3] * 120, [0] * 120, False, sets) == []
+
+
+def near_copies(rng, text, rate):
+    return " ".join(f"x{rng.randrange(10**9)}" if rng.random() < rate else w for w in text)
+
+
+@pytest.mark.parametrize("cell", [2_000_000, 3000])
+def test_a_third_of_all_rows_are_near_copies(spark, monkeypatch, cell):
+    monkeypatch.setattr(ngram_join, "FAMILY_CELL", cell)
+    rng = random.Random(5)
+    text = passage(50, 120).split()
+    docs = [near_copies(rng, text, rng.random() * 0.12) for _ in range(200)] + [passage(1000 + k, 60) for k in range(400)]
+    docs = list(enumerate(docs))
+    rng.shuffle(docs)
+    want, links = plain(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert found(frame) == want
+    assert links > 200
+
+
+def test_links_through_rows_without_id(spark):
+    rng = random.Random(2)
+    text = passage(60, 200).split()
+    middle, left, right = list(text), list(text), list(text)
+    for k in range(3):
+        left[20 + 30 * k] = f"l{k}"
+        right[30 + 40 * k] = f"r{k}"
+    docs = [(1, " ".join(left)), (None, " ".join(middle)), (3, " ".join(right)), (None, "only here " + passage(70, 30)), (None, None)]
+    docs += [(None, near_copies(rng, passage(80, 90).split(), 0.01)) for _ in range(4)]
+    want, links = plain(docs)
+    assert links >= 2 and (3, 196, 1) in want
+    assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)) == want
