@@ -38,7 +38,8 @@ from .store import make_folder, opened
 MIN_REVISIT = 1000
 SPLIT_BYTES = 64 << 20
 FILE_BYTES = 64 << 20
-HEAD_BYTES = 4096
+HEAD_BYTES = 1024
+READ_BYTES = 1 << 16
 BATCH_BYTES = 4 << 20
 
 RECORD = T.StructType(
@@ -100,7 +101,7 @@ def member(data: bytes, level: int) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def parsed(head: bytes) -> tuple[dict, int, int, int] | None:
+def parsed(head: bytes | bytearray) -> tuple[dict, int, int, int] | None:
     """The columns of a record by its head, where its block begins, the block's length, and where its payload
     begins; None if the head is not complete."""
     end = head.find(b"\r\n\r\n")
@@ -133,39 +134,43 @@ def parsed(head: bytes) -> tuple[dict, int, int, int] | None:
 
 
 class Inflated:
-    """A gzip member, inflated only as far as it is asked for."""
-
-    def __init__(self, file, position: int):
-        self.file, self.next = file, None
-        file.seek(position)
-        self.raw = file.read(HEAD_BYTES)
-        if self.raw[3:4] == b"\x04" and self.raw[12:14] == b"SL":
-            total = struct.unpack_from("<I", self.raw, 16)[0]
+    """A gzip member, read and inflated only as far as it is asked for. ``first`` are the archive's bytes from the
+    member on, as far as they are read."""
+
+    def __init__(self, file, position: int, first: bytes):
+        self.next = None
+        if first[3:4] == b"\x04" and first[12:14] == b"SL":
+            total = struct.unpack_from("<I", first, 16)[0]
             self.next = position + total if total else None
-        self.inflate, self.data, self.read = zlib.decompressobj(31), b"", position + len(self.raw)
-
-    def upto(self, size: int) -> bytes:
-        parts, have = [self.data], len(self.data)
-        while have < size and not self.inflate.eof:
-            more = self.inflate.unconsumed_tail or self.raw or self.file.read(1 << 16)
-            if self.raw is more:
-                self.raw = b""
-            elif more is not self.inflate.unconsumed_tail:
-                self.read += len(more)
-            if not more:
-                break
-            parts.append(self.inflate.decompress(more, size - have))
-            have += len(parts[-1])
-        self.data = b"".join(parts)
+            first = first[:total] if total else first
+        self.file, self.read, self.waiting = file, position + len(first), first
+        self.inflate, self.data = zlib.decompressobj(31), bytearray()
+
+    def grow(self, step: int) -> bool:
+        """More of the plain bytes, from at most ``step`` further packed ones; False at the member's end."""
+        if self.inflate.eof:
+            return False
+        if not self.waiting:
+            left = step if self.next is None else min(step, self.next - self.read)
+            self.file.seek(self.read)
+            self.waiting = self.file.read(left) if left > 0 else b""
+            self.read += len(self.waiting)
+            if not self.waiting:
+                return False
+        self.data += self.inflate.decompress(self.waiting, 16 * step)
+        self.waiting = self.inflate.unconsumed_tail
+        return True
+
+    def upto(self, size: int) -> bytearray:
+        while len(self.data) < size and self.grow(READ_BYTES):
+            pass
         return self.data
 
     def end(self) -> int:
         """Where the next member begins."""
         if self.next is None:
-            while not self.inflate.eof:
-                before = len(self.data)
-                if len(self.upto(before + (1 << 20))) == before:
-                    break
+            while self.grow(READ_BYTES):
+                self.data.clear()
             self.next = self.read - len(self.inflate.unused_data)
         return self.next
 
@@ -173,33 +178,43 @@ class Inflated:
 class Plain:
     """A record of an archive without compression."""
 
-    def __init__(self, file, position: int):
-        self.file, self.position, self.data = file, position, b""
+    def __init__(self, file, position: int, first: bytes):
+        self.file, self.position, self.data = file, position, bytearray(first)
+
+    def grow(self, step: int) -> bool:
+        self.file.seek(self.position + len(self.data))
+        more = self.file.read(step)
+        self.data += more
+        return bool(more)
 
-    def upto(self, size: int) -> bytes:
+    def upto(self, size: int) -> bytearray:
         if len(self.data) < size:
-            self.file.seek(self.position + len(self.data))
-            self.data += self.file.read(size - len(self.data))
+            self.grow(size - len(self.data))
         return self.data
 
 
 def records(file, size: int, wanted, payloads: bool) -> Iterator[dict]:
-    """The records of an archive whose headers pass ``wanted``."""
-    position = 0
+    """The records of an archive whose headers pass ``wanted``. What is read of a record before it is known to
+    be wanted is its head and at most as much again, and no byte beyond a member of known length."""
+    position, first, begin = 0, b"", 0
     while position < size:
-        file.seek(position)
-        packed = file.read(2) == b"\x1f\x8b"
-        source = Inflated(file, position) if packed else Plain(file, position)
-        ask = HEAD_BYTES
-        while (found := parsed(head := source.upto(ask))) is None and len(head) >= ask:
-            ask *= 2
+        first = first[position - begin :]  # short records lie in what has been read already
+        if len(first) < HEAD_BYTES // 2:
+            file.seek(position + len(first))
+            first += file.read(HEAD_BYTES)
+        begin = position
+        packed = first[:2] == b"\x1f\x8b"
+        source = (Inflated if packed else Plain)(file, position, first)
+        step = HEAD_BYTES
+        while (found := parsed(source.data)) is None and source.grow(step):
+            step = min(2 * step, READ_BYTES)
         if found is None:
             return  # trailing bytes that are no record
         row, block, length, start = found
         row["payload"] = None
         if wanted(row) and row["record_id"] is not None:
             if payloads and row["record_type"] != "revisit":
-                row["payload"] = source.upto(block + length)[start : block + length]
+                row["payload"] = bytes(source.upto(block + length)[start : block + length])
             yield row
         position = source.end() if packed else position + block + length + 4
 

@@ -95,3 +95,19 @@ def test_unwanted_payloads_are_not_read():
     file = Counting(data)
     assert len(list(warc.records(file, len(data), lambda row: True, False))) == 5
     assert file.given < 60_000
+
+
+@pytest.mark.parametrize("payload", [b"a" * 1_000_000, b"", b"short"])
+def test_no_more_is_read_than_there_is(payload):
+    data = b"".join(warc.member(record(k, payload), 6) for k in range(50))
+    file = Counting(data)
+    assert len(list(warc.records(file, len(data), lambda row: False, True))) == 0
+    assert file.given <= len(data)
+    assert [r["payload"] for r in warc.records(Counting(data), len(data), lambda row: True, True)] == [payload] * 50
+
+
+def test_long_heads():
+    row = {"record_id": "<urn:1>", "record_type": "response", "target_uri": "http://a/" + "é" * 20_000, "date": None, "payload_digest": None, "refers_to": None, "payload_length": None, "payload": b"x" * 10}
+    for pack in (lambda d: warc.member(d, 0), gzip.compress, lambda d: d):
+        data = pack(warc.record_bytes(row)) * 3
+        assert [(r["target_uri"], r["payload"]) for r in warc.records(Counting(data), len(data), lambda row: True, True)] == [(row["target_uri"], b"x" * 10)] * 3
