@@ -16,20 +16,16 @@ document can delete more of it.
 Of a run that many documents of one chunk of a task have only the first holder and their number travel; its other
 holders learn the first of all by a join that Spark may split.
 
-A caller that names ``rare`` or ``anchor_words`` gets a bounded comparison, which may delete less: only documents
-are paired that share a line of ``anchor_words`` words, all holders of a line that at most ``rare`` documents have,
-and of a more frequent one each with the first.
-
 Edge cases: null and empty texts have no line to delete and give null and empty texts. Rows with a null doc_id
 are left alone. Rows with the same doc_id and text count as one document, and rows with the same
-doc_id as none's later. Empty tables give empty results; other columns are not read.
+doc_id as none's later. Long texts are taken whole, as one row of line hashes. Empty tables give empty results; other
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,10 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import batch_of, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, rows_of
+from .common import batch_of, free_name, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, rows_of
 
 RARE = 8
-ANCHOR_WORDS = 3
 MIN_WORDS = 10
 SLOTS = (8, 64)
 CHUNK_LINES = 200_000
@@ -92,14 +87,18 @@ def with_digest(docs: DataFrame) -> DataFrame:
 # --- pairs ---------------------------------------------------------------------------------------------
 
 
-@lru_cache
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd number modulo 2**64, and of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    both = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
-    for x in both:
-        x[:1] = 1
-    return tuple(np.multiply.accumulate(x) for x in both)
+    if n not in _POWERS:
+        base = 0x9E3779B97F4A7C15
+        both = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        for x in both:
+            x[:1] = 1
+        _POWERS[n] = tuple(np.multiply.accumulate(x) for x in both)
+    return _POWERS[n]
 
 
 def runs_of(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,10 +121,6 @@ def run_keys(min_words: int) -> Keys:
     return lambda hashes, words: runs_of(hashes, words, min_words)[0]
 
 
-def line_keys(anchor_words: int) -> Keys:
-    return lambda hashes, words: hashes[words >= anchor_words]
-
-
 def by_line(hashes: np.ndarray, docs: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by line and document, and where each line begins in it."""
     order = np.lexsort((digests, docs, hashes))
@@ -173,7 +168,8 @@ def line_holders(lines: DataFrame, rare: int, keys: Keys, buckets: int) -> DataF
 
 def document_pairs(lines: DataFrame, rare: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a before b) of documents that share a key which at most ``rare`` documents have, or
-    a key whose first holder is a; and the more frequent keys with their first holders (line, a, a_digest)."""
+    a key whose first holder is a; and the more frequent keys of all documents but the first with them (line, b,
+    b_digest, a, a_digest)."""
     schema, kinds = schema_of(MET), (np.uint64, np.int64, np.int64, np.int64)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +194,8 @@ def document_pairs(lines: DataFrame, rare: int, keys: Keys) -> tuple[DataFrame,
     buckets = partitions(lines.sparkSession)
     made = stage(line_holders(lines, rare, keys, buckets).mapInArrow(meet, MET))
     frequent = made.where("line IS NOT NULL").select("line", "a", "a_digest")
-    starred = holders_of(lines, frequent, keys).join(frequent, "line").where("a < b").select("a", "a_digest", "b", "b_digest")
-    return made.where("line IS NULL").drop("line").unionByName(starred).distinct(), frequent
+    held = stage(holders_of(lines, frequent, keys).join(frequent, "line").where("a < b"))
+    return made.where("line IS NULL").drop("line").unionByName(held.drop("line")).distinct(), held
 
 
 def holders_of(lines: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
@@ -214,9 +210,10 @@ def holders_of(lines: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
     return lines.mapInArrow(others, HELD)
 
 
-def open_runs(lines: DataFrame, deleted: DataFrame, frequent: DataFrame, min_words: int) -> DataFrame:
-    """line, b, b_digest: frequent runs with an earlier holder of which b still has lines."""
-    bitmap = lines.sparkSession.sparkContext.broadcast(key_bitmap(frequent, "line"))
+def open_runs(later: DataFrame, deleted: DataFrame, held: DataFrame, min_words: int) -> DataFrame:
+    """line, b, b_digest: frequent runs with an earlier holder of which b still has lines. ``later`` are the lines of
+    the documents that hold some."""
+    bitmap = later.sparkSession.sparkContext.broadcast(key_bitmap(held, "line"))
     schema = schema_of(HELD)
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,16 +229,17 @@ def open_runs(lines: DataFrame, deleted: DataFrame, frequent: DataFrame, min_wor
             if len(keys):
                 yield batch_of(schema, [np.full(len(keys), b), np.full(len(keys), digest), keys.view(np.int64)])
 
-    docs = lines.select(F.col("doc_id").alias("b"), F.col("digest").alias("b_digest"), "hashes", "words")
+    docs = later.withColumnsRenamed({"doc_id": "b", "digest": "b_digest"})
     found = docs.join(deleted, ["b", "b_digest"], "left").mapInArrow(left, HELD)
-    return found.join(frequent, "line").where("a < b").select("line", "b", "b_digest")
+    return found.join(held.select("line", "b", "b_digest"), ["line", "b", "b_digest"], "left_semi")
 
 
-def further_pairs(lines: DataFrame, opened: DataFrame, min_words: int, slots: int | None) -> DataFrame:
+def further_pairs(held: DataFrame, opened: DataFrame, slots: int | None) -> DataFrame:
     """Distinct pairs (a before b) of open documents with other holders of their open runs: the first of each
     slot, or all."""
-    wanted = opened.select("line").distinct()
-    holders = holders_of(lines, wanted, run_keys(min_words)).withColumnsRenamed({"b": "a", "b_digest": "a_digest"}).join(wanted, "line", "left_semi")
+    firsts = held.groupBy("line").agg(F.min(F.struct("a", "a_digest")).alias("first")).select("line", "first.*")
+    holders = firsts.unionByName(held.select("line", F.col("b").alias("a"), F.col("b_digest").alias("a_digest")))
+    holders = holders.join(opened.select("line").distinct(), "line", "left_semi")
     if slots is not None:
         slot = F.pmod(F.xxhash64("a", "a_digest"), F.lit(slots)).alias("slot")
         first = holders.groupBy("line", slot).agg(F.min(F.struct("a", "a_digest")).alias("first"))
@@ -334,20 +332,18 @@ def united(found: DataFrame) -> DataFrame:
     return found.groupBy("b", "b_digest").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted"))
 
 
-def deletions(docs: DataFrame, rare: int | None, anchor_words: int | None, min_words: int) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int) -> DataFrame:
     """b, b_digest and the places of its lines to delete, for documents that have some."""
     lines = stage(hashed_lines(docs))
-    if rare is not None or anchor_words is not None:
-        keys = line_keys(ANCHOR_WORDS if anchor_words is None else anchor_words)
-        pairs, _ = document_pairs(lines, RARE if rare is None else rare, keys)
-        return united(aligned_blocks(lines, pairs, min_words))
-    pairs, frequent = document_pairs(lines, RARE, run_keys(min_words))
+    pairs, held = document_pairs(lines, RARE, run_keys(min_words))
     deleted = stage(united(aligned_blocks(lines, pairs, min_words)))
+    holders = held.select(F.col("b").alias("doc_id"), F.col("b_digest").alias("digest")).distinct()
+    later = stage(lines.join(holders, ["doc_id", "digest"], "left_semi"))
     for slots in (*SLOTS, None):
-        opened = stage(open_runs(lines, deleted, frequent, min_words))
+        opened = stage(open_runs(later, deleted, held, min_words))
         if opened.isEmpty():
             break
-        found = aligned_blocks(lines, further_pairs(lines, opened, min_words, slots), min_words)
+        found = aligned_blocks(lines, further_pairs(held, opened, slots), min_words)
         deleted = stage(united(deleted.unionByName(found)))
     return deleted
 
@@ -363,19 +359,20 @@ def cut(texts: pd.Series, deleted: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_lines", "n_removed", "kept"])
 
 
-def without_blocks(docs: DataFrame, rare: int | None = None, anchor_words: int | None = None, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with the kept lines as text, and n_lines and n_removed; columns of
-    these two names are replaced."""
-    gone = deletions(docs, rare, anchor_words, min_words)
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": F.xxhash64(F.col("text").cast("binary"))})
-    joined = keyed.join(gone.withColumnsRenamed({"b": "_id", "b_digest": "_digest", "deleted": "_deleted"}), ["_id", "_digest"], "left")
+def without_blocks(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with the kept lines as text, and the numbers of lines and of removed
+    lines under the names ``counts``; columns of these two names are replaced."""
+    gone = deletions(docs, min_words)
+    key, digest, deleted, made = (free_name(docs, name) for name in ("key", "digest", "deleted", "made"))
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), digest: F.xxhash64(F.col("text").cast("binary"))})
+    joined = keyed.join(gone.withColumnsRenamed({"b": key, "b_digest": digest, "deleted": deleted}), [key, digest], "left")
     cutting = F.pandas_udf(cut, "n_lines long, n_removed long, kept string")
-    made = joined.withColumn("_made", cutting(F.col("text").cast("string"), F.col("_deleted")))
-    columns = {"text": F.col("_made.kept"), "n_lines": F.col("_made.n_lines"), "n_removed": F.col("_made.n_removed")}
-    return made.withColumns(columns).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    rows = joined.withColumn(made, cutting(F.col("text").cast("string"), F.col(deleted)))
+    own = [F.col(made)["kept"].alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in counts]
+    return rows.select(*own, F.col(made)["n_lines"].alias(counts[0]), F.col(made)["n_removed"].alias(counts[1]))
 
 
-def dedup(docs: DataFrame, **options: int) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and the kept text of every row of ``docs`` (doc_id, text)."""
-    found = without_blocks(docs.select("doc_id", "text"), **options)
+    found = without_blocks(docs.select("doc_id", "text"), min_words)
     return found.select(F.col("doc_id").cast("long"), "n_lines", "n_removed", F.col("text").alias("kept"))
