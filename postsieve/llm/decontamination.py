@@ -156,7 +156,14 @@ def blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, list[
 class Phrases:
     """The distinct windows of a block of items, as numbers into the block's list of words."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], length: int):
+    def __init__(self, words: list[bytes], windows: list[np.ndarray], owners: list[list[int]]):
+        self.words, self.windows, self.owners = words, windows, owners
+        width = max(map(len, windows), default=1)
+        self.padded = np.array([[*w, *[-1] * (width - len(w))] for w in windows], np.int64).reshape(-1, width)
+
+    @staticmethod
+    def parts(items: list[tuple[int, list[bytes]]], length: int) -> tuple:
+        """The windows of ``items`` as plain values, which can be broadcast."""
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
         owners: defaultdict[tuple[int, ...], set[int]] = defaultdict(set)
@@ -164,11 +171,7 @@ class Phrases:
             ids = [number[w] for w in words]
             for i in range(max(1, len(ids) - length + 1)):
                 owners[tuple(ids[i : i + length])].add(item)
-        self.words = list(number)
-        self.windows = [np.array(w, np.int64) for w in owners]
-        self.owners = [sorted(o) for o in owners.values()]
-        width = max(map(len, self.windows), default=1)
-        self.padded = np.array([[*w, *[-1] * (width - len(w))] for w in self.windows], np.int64).reshape(-1, width)
+        return list(number), [np.array(w, np.int64) for w in owners], [sorted(o) for o in owners.values()]
 
     def present(self, shard: Shard) -> Iterator[tuple[np.ndarray, list[int]]]:
         """The windows all of whose words occur in the shard, in the shard's term numbers."""
@@ -213,11 +216,12 @@ def contamination(index: DataFrame, items: DataFrame, length: int = WINDOW, bloc
     results = []
     columns = ["doc_id", "n_words", "spans", "items"]
     for block in blocks(items, block_bytes):
-        sent = index.sparkSession.sparkContext.broadcast(Phrases(block, length))
+        sent = index.sparkSession.sparkContext.broadcast(Phrases.parts(block, length))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            phrases = Phrases(*sent.value)
             for number, *row in rows_of(batches, *SHARD_COLUMNS):
-                rows = [(number, *x) for x in covered(Shard.unpacked(*row), sent.value)]
+                rows = [(number, *x) for x in covered(Shard.unpacked(*row), phrases)]
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
         results.append(index.mapInArrow(search, MATCH))
@@ -254,12 +258,13 @@ def find(index: DataFrame, phrases: DataFrame, within: int | None = None, block_
     schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
     out = None
     for block in blocks(phrases, block_bytes):
-        sent = index.sparkSession.sparkContext.broadcast(Phrases(block, max((len(w) for _, w in block), default=1)))
+        sent = index.sparkSession.sparkContext.broadcast(Phrases.parts(block, max((len(w) for _, w in block), default=1)))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            phrases = Phrases(*sent.value)
             for _, *row in rows_of(batches, *SHARD_COLUMNS):
                 shard = Shard.unpacked(*row)
-                for window, owners in sent.value.present(shard):
+                for window, owners in phrases.present(shard):
                     if within is None:
                         begin = shard.phrase(window)
                         end = begin + len(window)

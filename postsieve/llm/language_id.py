@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, count_rows, rows_of, short_batches, summed
+from .common import batch_of, count_rows, free_name, rows_of, short_batches, summed
 
 SLOTS = 1 << 15
 ORDERS = 3
@@ -208,14 +208,18 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS)
 # --- prediction ----------------------------------------------------------------------------------------
 
 
-def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def with_language(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its chance under ``names``; columns of these two names are replaced."""
     short_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values only: a class in a broadcast would have to be installed on the executors
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.weights, model.bias, model.temperature))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        model = Model(*sent.value)
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    rows = docs.drop("lang_pred", "score").withColumn("_language", predict(F.col(text).cast("string")))
-    return rows.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    found = free_name(docs, "language")
+    rows = docs.withColumn(found, predict(F.col(text).cast("string")))
+    own = [c for c in docs.columns if c not in names]
+    return rows.select(*own, F.col(found)["lang_pred"].alias(names[0]), F.col(found)["score"].alias(names[1]))

@@ -5,7 +5,6 @@ import test_decontamination
 import test_line_dedup
 import test_ngram_join
 from llm_fixtures import COLUMNS, edge_rows
-from postsieve.llm import line_dedup
 from postsieve.llm.queries import tokenizer_file
 from postsieve.session import stage
 
@@ -32,7 +31,7 @@ def test_stages(spark, tmp_path):
     want = [r[:5] for r in edge_rows() if r[1] and any(c.isalpha() for c in r[1])]
     assert rows_of(run("language_id")) == sorted(want, key=repr)
 
-    plain = test_line_dedup.plain([r[:2] for r in want], line_dedup.RARE, line_dedup.ANCHOR_WORDS, line_dedup.MIN_WORDS)
+    plain = test_line_dedup.all_pairs([r[:2] for r in want])
     kept = sorted(((i, t) for i, _, n, t in plain if n == 0 or t.strip()), key=repr)
     got = rows_of(run("line_dedup"))
     assert [r[:2] for r in got] == kept and len(kept) < len(want)
@@ -62,3 +61,23 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_columns_with_clashing_names_are_kept(spark, tmp_path):
+    sf = str(tmp_path)
+    extra = "n_removed string, n_lines string, score double, lang_pred string, _digest string, digest string, _language string, language string, component_id long, spans string, key string, made int, deleted int"
+    values = ("mine", "too", 5.0, "xx", "a", "b", "c", "d", 77, "e", "f", 8, 9)
+    long = test_ngram_join.passage(1, 60_000)
+    rows = [r[:5] + values for r in edge_rows()] + [(900, long, "en", "s", 1, *values), (901, long, "en", "s", 1, *values)]
+    schema = COLUMNS.split(", token")[0] + ", " + extra
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(test_decontamination.ITEMS, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, sf))
+        assert docs.columns == columns, name
+        kept = docs.collect()
+        assert kept and all(tuple(r)[5:] == values for r in kept), name
+        assert any(r.doc_id == 900 for r in kept)
+    assert not any(r.doc_id == 901 for r in kept)
