@@ -113,7 +113,7 @@ def key_bitmap(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     )
     bitmap = np.zeros(bits // 8, np.uint8)
-    for part, found in rows.toLocalIterator():
+    for part, found in rows.collect():  # of fixed size, and one job where an iterator would take one per partition
         at = (part - 1) * len(found)
         bitmap[at : at + len(found)] = np.frombuffer(found, np.uint8)
     return bitmap
@@ -150,7 +150,7 @@ def summed(rows: DataFrame, slots: int) -> np.ndarray:
 
     out = np.zeros(slots, np.int64)
     parts = rows.select("part", "counts").repartition(PARTS, "part").mapInArrow(add, "part int, counts binary")
-    for part, counts in parts.toLocalIterator():
+    for part, counts in parts.collect():
         out[part * width : (part + 1) * width] = np.frombuffer(counts, np.int64)
     return out
 

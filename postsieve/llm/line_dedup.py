@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
@@ -210,10 +211,9 @@ def holders_of(lines: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
     return lines.mapInArrow(others, HELD)
 
 
-def open_runs(later: DataFrame, deleted: DataFrame, held: DataFrame, min_words: int) -> DataFrame:
+def open_runs(later: DataFrame, deleted: DataFrame, held: DataFrame, bitmap: Broadcast, min_words: int) -> DataFrame:
     """line, b, b_digest: frequent runs with an earlier holder of which b still has lines. ``later`` are the lines of
-    the documents that hold some."""
-    bitmap = later.sparkSession.sparkContext.broadcast(key_bitmap(held, "line"))
+    the documents that hold some, ``bitmap`` tells the runs."""
     schema = schema_of(HELD)
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +339,9 @@ def deletions(docs: DataFrame, min_words: int) -> DataFrame:
     deleted = stage(united(aligned_blocks(lines, pairs, min_words)))
     holders = held.select(F.col("b").alias("doc_id"), F.col("b_digest").alias("digest")).distinct()
     later = stage(lines.join(holders, ["doc_id", "digest"], "left_semi"))
+    bitmap = lines.sparkSession.sparkContext.broadcast(key_bitmap(held, "line"))
     for slots in (*SLOTS, None):
-        opened = stage(open_runs(later, deleted, held, min_words))
+        opened = stage(open_runs(later, deleted, held, bitmap, min_words))
         if opened.isEmpty():
             break
         found = aligned_blocks(lines, further_pairs(held, opened, slots), min_words)

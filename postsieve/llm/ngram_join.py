@@ -57,6 +57,7 @@ PAIRS_AT_ONCE = 100_000
 SLIM = "doc_id long, n_shingles long, fp long, part int, counts binary"
 SEEN = 8
 FAMILY_CELL = 2_000_000
+SHORT = 1000
 COLUMNS_AT_ONCE = 4096
 ROWS_AT_ONCE = 256
 FREQUENT_LIST = (1 << 31) - 1  # stands for the length of a frequent n-gram's list, which no bucket has counted
@@ -145,7 +146,7 @@ def frequency_class(slim: DataFrame, slots: int) -> np.ndarray:
     parts = slim.where("part IS NOT NULL").select("part", "counts")
     summed = parts.repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary")
     counts = np.zeros(slots, np.uint64)
-    for part, found in summed.toLocalIterator():
+    for part, found in summed.collect():  # of fixed size
         counts[part * width : (part + 1) * width] = np.frombuffer(found, np.uint64)
     level = max(FREQUENT * counts.mean(), FREQUENT)
     return np.ceil(np.log2(np.maximum(counts / level, 1))).astype(np.uint8)
@@ -360,11 +361,12 @@ def with_component(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def families(first: DataFrame) -> DataFrame:
-    """fp and family (the leader's fp) of sets with a quarter of their n-grams in common with a leader."""
-    near = first.where(4 * F.col("o") >= F.col("nb")).select("a", "b")
+    """fp, family (the leader's fp) and comp (the leader's fp where the two are linked) of sets with a quarter of their
+    n-grams in common with a leader."""
+    near = first.where(4 * F.col("o") >= F.col("nb")).select("a", "b", linked().alias("linked"))
     stars = near.groupBy("a").agg(F.count("*").alias("stars"))
-    best = near.join(stars, "a").groupBy(F.col("b").alias("fp")).agg(F.max(F.struct("stars", "a")).alias("best"))
-    return best.select("fp", F.col("best.a").alias("family"))
+    best = near.join(stars, "a").groupBy(F.col("b").alias("fp")).agg(F.max(F.struct("stars", "a", "linked")).alias("best"))
+    return best.select("fp", F.col("best.a").alias("family"), F.when(F.col("best.linked"), F.col("best.a")).otherwise(F.col("fp")).alias("comp"))
 
 
 def cell_links(fps: list[int], comps: list[int], parts: list[int], crossing: bool, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -409,10 +411,12 @@ def cell_links(fps: list[int], comps: list[int], parts: list[int], crossing: boo
     return out
 
 
-def family_links(sets: DataFrame, family: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
-    """Links (a, b) that join the components of the sets within each family. ``cell``: n-grams of a part."""
-    rows = stage(with_component(sets.join(family, "fp"), labels))
-    mixed = rows.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.size("shingles")).alias("size"))
+def family_links(sets: DataFrame, family: DataFrame, cell: int) -> DataFrame:
+    """Links (a, b) that join the components of the sets within each family. ``cell``: n-grams of a part, in which a
+    short set counts for ``SHORT``."""
+    rows = stage(sets.join(family, "fp"))
+    size = F.sum(F.greatest(F.size("shingles"), F.lit(SHORT)))
+    mixed = rows.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), size.alias("size"))
     mixed = mixed.where("low <> high").select("family", F.ceil(F.col("size") / cell).cast("int").alias("parts"))
     rows = rows.join(mixed, "family").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -445,7 +449,7 @@ def family_links(sets: DataFrame, family: DataFrame, labels: DataFrame, cell: in
 
 def open_pairs(holders: DataFrame, labels: DataFrame, family: DataFrame, cell: int) -> DataFrame:
     """Pairs (a, b) of sets in different components and families that the bounds leave open."""
-    sets = stage(with_component(holders, labels).join(family, "fp", "left").na.fill(0, ["family"]))
+    sets = stage(with_component(holders, labels).join(family.select("fp", "family"), "fp", "left").na.fill(0, ["family"]))
     rows = sets.select(*[c for c in sets.columns if c != "kept"], F.col("kept.token").alias("before"), F.posexplode("kept").alias("place", "entry"))
     first = F.greatest(F.col("place") - SEEN, F.lit(0))
     rows = rows.withColumn("seen", F.slice("before", first + 1, F.col("place") - first)).select("*", "entry.token", "entry.pos").drop("before", "entry", "place")
@@ -539,7 +543,7 @@ def links(docs: DataFrame, n: int = NGRAM, slots: int = SKETCH_SLOTS, chunk_byte
     first = stage(overlaps(leader_pairs(holders), sets))
     found = first.where(linked()).select("a", "b")
     family = stage(families(first))
-    found = stage(found.unionByName(family_links(sets, family, components(found), FAMILY_CELL)))
+    found = stage(found.unionByName(family_links(sets, family, FAMILY_CELL)))
     second = stage(open_pairs(holders, components(found), family, cell))
     unsettled = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return slim, found.unionByName(overlaps(unsettled, sets).where(linked()).select("a", "b"))
