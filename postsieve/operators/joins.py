@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.match import contains_any
 from ..schemas import ORDER
 from .skew import HOT_ROWS, hot_keys, spread_join
-
-BLOCK_CHARS = 1_000_000
+from .term_index import rows_with_terms
 
 
 def enrich(
@@ -35,22 +31,7 @@ def enrich(
     return joined.select(*columns, F.coalesce("_detail", F.lit("")).alias(into))
 
 
-def by_terms(
-    rows: DataFrame, terms: DataFrame, text: str, how: str = "left_anti", term: str = "term", block_chars: int = BLOCK_CHARS
-) -> DataFrame:
-    """J4. Rows with none (``left_anti``) or any (``left_semi``) of the listed terms in their text.
-
-    The list becomes literals of one expression, in blocks of about ``block_chars`` characters, and the rows are read
-    once, whatever its length: no row is multiplied and nothing is shuffled. A block is looked at only where
-    those before it had no hit. The driver holds the distinct terms; that is the size of a word list.
-    """
-    blocks: list[list[str]] = [[]]
-    size = 0
-    for (word,) in terms.select(term).where(F.length(term) > 0).distinct().orderBy(term).toLocalIterator():
-        if size + len(word) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(word)
-        size += len(word)
-    hit = reduce(or_, [contains_any(text, block) for block in blocks])
-    return rows.where(~hit if how == "left_anti" else hit)
+def by_terms(rows: DataFrame, terms: DataFrame, text: str, how: str = "left_anti", term: str = "term", **sizes: int) -> DataFrame:
+    """J4. Rows with none (``left_anti``) or any (``left_semi``) of the listed terms in their text: literals for a short
+    list, an automaton for a longer one, an index of grams beyond that (``term_index``)."""
+    return rows_with_terms(rows, terms, text, how, term, **sizes)

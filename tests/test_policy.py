@@ -8,7 +8,6 @@ from helpers import column, posting_rows, values
 from postsieve import fixed_values as fixed
 from postsieve.functions.text import lower_tags
 from postsieve.operators import predicates as p
-from postsieve.operators.joins import by_terms
 from postsieve.operators.policy import Policy, Terms, apply_policy, judged, residency_flag
 from postsieve.operators.report import funnel
 
@@ -144,15 +143,6 @@ def test_funnel_counts_residency_over_all_fetched_rows(spark):
 
 
 @pytest.mark.parametrize("how", ["left_anti", "left_semi"])
-@pytest.mark.parametrize("chars", [1, 100])
-def test_term_join_both_ways(spark, how, chars):
-    rows = values(spark, "k int, t string", [(1, "a bad word"), (2, "fine"), (3, "worse still"), (4, None), (5, "ba")])
-    terms = values(spark, "term string", [("bad",), ("worse",), ("",), ("bad",)])
-    hits = {1, 3}
-    got = {r.k for r in by_terms(rows, terms, "t", how, block_chars=chars).collect()}
-    assert got == (hits if how == "left_semi" else {1, 2, 3, 4, 5} - hits)
-
-
 def test_judged_rows_keep_place_and_verdict_but_not_the_text(spark):
     rows = posting_rows(spark, [("Junior", "C", "u1", "d", "mail", 1, 0), ("Lead", "C", "u2", "US only", "mail", 1, 1), ("Lead", "C", "u3", "d", "mail", 1, 2)])
     got = [(r.pos, r.title, r.description, r.kept, r.restricted) for r in judged(rows).orderBy("pos").collect()]
