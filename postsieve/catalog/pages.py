@@ -14,7 +14,48 @@ from .feeds import _DECODED
 _BODY_ENTITIES = "replace(replace(" + _DECODED + ", '&copy;', '©'), '&middot;', '·')"
 
 
-@query("html_nodes")
+_HREF_SQL = _DECODED.format("regexp_extract(token, 'href=\"([^\"]*)\"', 1)")
+
+# A walk over the tokens of each page with the open elements as two lists. The code of scripts and styles is no text.
+HTML_NODES_SQL = rf"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>|[^<]+') AS tokens
+  FROM pages
+),
+w AS (
+  SELECT page_id, 0 AS i, 0 AS pos, CAST([] AS VARCHAR[]) AS tags, CAST([] AS INT[]) AS places, 'gap' AS kind, '' AS name, '' AS token,
+    0 AS depth, -1 AS parent_pos, CAST([] AS INT[]) AS ended
+  FROM t
+  UNION ALL
+  SELECT page_id, i + 1, pos + CAST(k IN ('open', 'void', 'text') AS INT),
+    CASE WHEN k = 'open' THEN list_append(tags, n) WHEN k = 'close' AND hit > 0 THEN tags[1 : hit - 1] ELSE tags END,
+    CASE WHEN k = 'open' THEN list_append(places, pos) WHEN k = 'close' AND hit > 0 THEN places[1 : hit - 1] ELSE places END,
+    k, n, x, len(tags), coalesce(places[len(places)], -1), CASE WHEN k = 'close' AND hit > 0 THEN places[hit:] ELSE CAST([] AS INT[]) END
+  FROM (
+    SELECT *, CASE WHEN list_contains(tags, n) THEN len(tags) - list_position(list_reverse(tags), n) + 1 ELSE 0 END AS hit
+    FROM (
+      SELECT *, lower(regexp_extract(x, '^</?([A-Za-z0-9]+)', 1)) AS n,
+        CASE WHEN x LIKE '<!%' THEN 'gap' WHEN x LIKE '</%' THEN 'close' WHEN x NOT LIKE '<%' THEN 'text'
+          WHEN regexp_matches(x, '^<(script|style|meta|br|img|hr|link|input)[ />]') THEN 'void' ELSE 'open' END AS k
+      FROM (SELECT w.*, tokens[i + 1] AS x FROM w JOIN t USING (page_id) WHERE i < len(tokens))
+    )
+  )
+),
+e AS (SELECT page_id, unnest(ended) AS pos, w.pos - 1 AS end_pos FROM w),
+z AS (SELECT page_id, max(pos) - 1 AS last FROM w GROUP BY page_id),
+o AS (SELECT page_id, unnest(places) AS pos FROM w JOIN t USING (page_id) WHERE i = len(tokens)),
+n AS (SELECT page_id, pos - 1 AS pos, kind, name, token, depth, parent_pos FROM w WHERE kind IN ('open', 'void', 'text'))
+SELECT n.page_id, CAST(n.pos AS INT) AS pos, CAST(coalesce(e.end_pos, CASE WHEN o.pos IS NOT NULL THEN z.last END, n.pos) AS INT) AS end_pos,
+  CAST(depth AS INT) AS depth, CAST(parent_pos AS INT) AS parent_pos, CASE WHEN kind = 'text' THEN '#text' ELSE name END AS tag,
+  CASE WHEN kind = 'text' THEN '' ELSE regexp_extract(regexp_extract(token, '^<[^>]*>'), 'class="([^"]*)"', 1) END AS classes,
+  CASE WHEN kind <> 'text' AND contains(regexp_extract(token, '^<[^>]*>'), 'href="') THEN {_HREF_SQL} END AS href,
+  CASE WHEN kind = 'text' THEN CASE WHEN trim(token, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = ''
+    THEN CASE WHEN contains(token, chr(10)) THEN chr(10) ELSE ' ' END ELSE {_BODY_ENTITIES.format("token")} END END AS text
+FROM n LEFT JOIN e USING (page_id, pos) LEFT JOIN o USING (page_id, pos) JOIN z USING (page_id)
+"""
+
+
+@query("html_nodes", HTML_NODES_SQL)
 def html_nodes_query(spark, sf):
     return html_nodes(table(spark, sf, "pages"), "page_id", "html").withColumn(
         "classes", F.concat_ws(" ", "classes")
