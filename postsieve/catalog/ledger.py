@@ -141,25 +141,24 @@ def expiring_ledger_21d(spark, sf):
        SELECT d.user_id, d.event_id, strftime(d.day, '%Y-%m-%d') AS day FROM a JOIN d USING (user_id, day)""",
 )
 def streaming_ledger(spark, sf):
-    """T1 with one run per day, as a stream over the events written to a table when it has caught up. The events come
-    in one file per ten days, read one file after the other, so the state is carried over at least three
-    micro-batches."""
+    """T1 with one run per day, as a stream that is started after each ten days of events have landed, in as many files as
+    the table has partitions. Its checkpoint carries the state over the micro-batches."""
     out = new_folder(spark, "streams")
     events = table(spark, sf, "events").select("user_id", "event_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("run"))
     first, last = events.agg(F.min("run"), F.max("run")).first()
     for days in range(0, (last - first).days + 1, 10):
         part = events.where((F.col("run") >= F.lit(first + dt.timedelta(days=days))) & (F.col("run") < F.lit(first + dt.timedelta(days=days + 10))))
-        part.coalesce(1).write.mode("append").parquet(f"{out}/events")
-    arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
-    with rocksdb_state(spark):
-        stream = (
-            admitted_stream(arrivals, "user_id", "run", ["event_id"], dt.timedelta(days=7))
-            .writeStream.option("checkpointLocation", f"{out}/checkpoint")
-            .trigger(availableNow=True)
-            .outputMode("append")
-            .format("parquet")
-            .start(f"{out}/admitted")
-        )
-        stream.awaitTermination()
-    written = spark.read.schema(arrivals.schema).parquet(f"{out}/admitted")
+        part.write.mode("append").parquet(f"{out}/events")
+        arrivals = spark.readStream.schema(events.schema).parquet(f"{out}/events")
+        with rocksdb_state(spark):
+            stream = (
+                admitted_stream(arrivals, "user_id", "run", ["event_id"], dt.timedelta(days=7))
+                .writeStream.option("checkpointLocation", f"{out}/checkpoint")
+                .trigger(availableNow=True)
+                .outputMode("append")
+                .format("parquet")
+                .start(f"{out}/admitted")
+            )
+            stream.awaitTermination()
+    written = spark.read.schema(events.schema).parquet(f"{out}/admitted")
     return written.select("user_id", "event_id", F.date_format("run", "yyyy-MM-dd").alias("day"))

@@ -9,7 +9,7 @@ from ..functions.urls import netloc
 from ..operators import predicates as p
 from ..plans.mail import with_details
 from ..sources.mail import mail_candidates, mail_postings, mime_bodies, preferred_body
-from .base import contains_any_sql, heading, netloc_sql, query, strip_sql, table
+from .base import HEADING_SQL, contains_any_sql, heading, netloc_sql, query, strip_sql, table
 from .. import fixed_values as fixed
 
 
@@ -27,26 +27,29 @@ def _title() -> Column:
 
 def messages(spark, sf) -> DataFrame:
     """By page: a mail with posting anchors, one with loose anchors, one with plain lines only, one whose
-    HTML part is nested. Every tenth number shares its posting id with its neighbours."""
+    HTML part is nested. The whole page follows in the HTML part, its text without tags in the plain one. Every tenth
+    number shares its posting id with its neighbours."""
     number = F.col("page_id").cast("string")
+    page = F.coalesce("html", F.lit(""))
+    bare = F.regexp_replace(page, "<[^>]*>?", " ")
     job = (F.floor(F.col("page_id") / 10) * 10 + 4000000000).cast("string")
     posting_url = F.concat(F.lit("https://www.linkedin.com/comm/jobs/view/"), job, F.lit("?trk="), number)
     direct = F.concat(
         F.lit('<html><body><a href="https://www.linkedin.com/help">Creative Lead help</a><table><tr><td><a href="'), posting_url,
         F.lit('"><b>'), _title(), F.lit('</b> Remote</a><p>'), _title(), F.lit("</p><span>"), netloc("url"),
         F.lit('</span></td></tr><tr><td><a href="'), posting_url, F.lit('">'), _title(), F.lit("</a><p>"), netloc("url"),
-        F.lit('</p></td></tr></table><a href="'), posting_url, F.lit('">Easy Apply</a></body></html>'),
+        F.lit('</p></td></tr></table><a href="'), posting_url, F.lit('">Easy Apply</a></body></html>'), page,
     )
     loose = F.concat(
         F.lit('<html><body><p>'), heading(), F.lit('</p><a href="https://www.linkedin.com/e/'), number, F.lit('">'), _title(),
-        F.lit('</a><a href="https://www.linkedin.com/u">Unsubscribe creative lead</a></body></html>'),
+        F.lit('</a><a href="https://www.linkedin.com/u">Unsubscribe creative lead</a></body></html>'), page,
     )
     lines = F.concat(
         netloc("url"), F.lit("\r\n "), _title(), F.lit(" \r\nView: https://www.linkedin.com/jobs/view/"), job,
-        F.lit("?x=1 now\r\nSee all\nhttps://www.linkedin.com/jobs/view/1\n"),
+        F.lit("?x=1 now\r\nSee all\nhttps://www.linkedin.com/jobs/view/1\n"), bare,
     )
     kind = F.col("page_id") % 4
-    plain = _part("text/plain", F.when(kind == 2, lines).otherwise(F.lit("no postings here")))
+    plain = _part("text/plain", F.when(kind == 2, lines).otherwise(F.concat(F.lit("no postings here\n"), bare)))
     html = _part("text/html", F.when(kind == 1, loose).otherwise(direct))
     broken = F.lit('{"mimeType":"text/html","body":{"data":"AAAAA"}}')
     inner = F.when(kind == 2, plain).when(
@@ -72,27 +75,44 @@ _CANDIDATES = f"""
     SELECT page_id, 3, 0, {_LEAD}, {netloc_sql("url")}, 'https://www.linkedin.com/jobs/view/' || {_JOB} FROM pages WHERE page_id % 4 = 2"""
 
 
+_POSTING = f"'https://www.linkedin.com/comm/jobs/view/' || {_JOB} || '?trk=' || page_id"
+_BARE = "regexp_replace(coalesce(html, ''), '<[^>]*>?', ' ', 'g')"
+_PLAIN = f"""CASE WHEN page_id % 4 = 2 THEN {netloc_sql("url")} || chr(13) || chr(10) || ' ' || {_LEAD} || ' ' || chr(13) || chr(10)
+    || 'View: https://www.linkedin.com/jobs/view/' || {_JOB} || '?x=1 now' || chr(13) || chr(10) || 'See all' || chr(10)
+    || 'https://www.linkedin.com/jobs/view/1' || chr(10) ELSE 'no postings here' || chr(10) END || {_BARE}"""
+_HTML = f"""CASE WHEN page_id % 4 = 1 THEN '<html><body><p>' || {HEADING_SQL} || '</p><a href="https://www.linkedin.com/e/' || page_id || '">' || {_LEAD}
+    || '</a><a href="https://www.linkedin.com/u">Unsubscribe creative lead</a></body></html>'
+    ELSE '<html><body><a href="https://www.linkedin.com/help">Creative Lead help</a><table><tr><td><a href="' || {_POSTING} || '"><b>' || {_LEAD}
+    || '</b> Remote</a><p>' || {_LEAD} || '</p><span>' || {netloc_sql("url")} || '</span></td></tr><tr><td><a href="' || {_POSTING} || '">' || {_LEAD}
+    || '</a><p>' || {netloc_sql("url")} || '</p></td></tr></table><a href="' || {_POSTING} || '">Easy Apply</a></body></html>' END || coalesce(html, '')"""
+_BODIES = f"SELECT page_id, {_PLAIN} AS plain, CASE WHEN page_id % 4 <> 2 THEN {_HTML} END AS html FROM pages"
+
+
 @query(
     "mime_bodies",
-    """SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 1 ELSE 2 END AS parts,
-              CASE WHEN page_id % 4 = 2 THEN 'text/plain' ELSE 'text/plain,text/html' END AS mimes FROM pages""",
+    f"""SELECT page_id, CASE WHEN html IS NULL THEN 1 ELSE 2 END AS parts, CASE WHEN html IS NULL THEN 'text/plain' ELSE 'text/plain,text/html' END AS mimes,
+              CAST(length(plain) + coalesce(length(html), 0) AS BIGINT) AS chars, md5(plain) || coalesce(',' || md5(html), '') AS digests
+       FROM ({_BODIES})""",
 )
 def mime_bodies_query(spark, sf):
     bodies = messages(spark, sf).select(F.col("msg_seq").alias("page_id"), mime_bodies("payload").alias("b"))
-    return bodies.select("page_id", F.size("b").alias("parts"), F.array_join(F.transform("b", lambda x: x.mime), ",").alias("mimes"))
+    return bodies.select(
+        "page_id", F.size("b").alias("parts"), F.array_join(F.transform("b", lambda x: x.mime), ",").alias("mimes"),
+        F.aggregate("b", F.lit(0).cast("long"), lambda n, x: n + F.length(x.body)).alias("chars"),
+        F.array_join(F.transform("b", lambda x: F.md5(x.body.cast("binary"))), ",").alias("digests"),
+    )
 
 
 @query(
     "preferred_body",
-    f"""SELECT page_id, page_id % 4 <> 2 AS is_html,
-              CASE page_id % 4 WHEN 2 THEN {netloc_sql("url")} WHEN 1 THEN '<html><body><p>' ELSE '<html><body><a ' END AS start FROM pages""",
+    f"""SELECT page_id, html IS NOT NULL AS is_html, CAST(length(coalesce(html, plain)) AS BIGINT) AS chars, md5(coalesce(html, plain)) AS digest
+       FROM ({_BODIES})""",
 )
 def preferred_body_query(spark, sf):
     best = messages(spark, sf).select(F.col("msg_seq").alias("page_id"), mime_bodies("payload").alias("b")).select(
         "page_id", preferred_body(F.col("b")).alias("best")
     )
-    start = F.when(F.col("best.is_html"), F.substring("best.body", 1, 15)).otherwise(F.substring_index("best.body", "\r", 1))
-    return best.select("page_id", "best.is_html", start.alias("start"))
+    return best.select("page_id", "best.is_html", F.length("best.body").cast("long").alias("chars"), F.md5(F.col("best.body").cast("binary")).alias("digest"))
 
 
 @query("mail_candidates", f"SELECT page_id, strategy, pos, title, company, url FROM ({_CANDIDATES})")

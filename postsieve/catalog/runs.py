@@ -267,7 +267,7 @@ def _incremental(spark, sf):
     )
     for batch in range(3):
         part = rows.where(F.col("n") == batch).drop("n")
-        part.coalesce(1).write.mode("append").parquet(f"{out}/landed")
+        part.write.mode("append").parquet(f"{out}/landed")
         landed = spark.readStream.schema(part.schema).parquet(f"{out}/landed")
         run_stream(landed, f"{out}/tables", f"{out}/checkpoint", settings=_PLAIN).awaitTermination()
     return f"{out}/tables"
