@@ -142,7 +142,6 @@ def test_funnel_counts_residency_over_all_fetched_rows(spark):
     assert (row.fetched, row.kept, row.residency_dropped, row.enriched) == (4, 2, 2, 3)
 
 
-@pytest.mark.parametrize("how", ["left_anti", "left_semi"])
 def test_judged_rows_keep_place_and_verdict_but_not_the_text(spark):
     rows = posting_rows(spark, [("Junior", "C", "u1", "d", "mail", 1, 0), ("Lead", "C", "u2", "US only", "mail", 1, 1), ("Lead", "C", "u3", "d", "mail", 1, 2)])
     got = [(r.pos, r.title, r.description, r.kept, r.restricted) for r in judged(rows).orderBy("pos").collect()]
