@@ -141,7 +141,7 @@ def test_all_learning_documents_train_in_every_round(spark):
     counts = np.ones(words.size)
     tokens = 10**9  # as of a large corpus, of which these are some documents
     got = lm.trained(shards, words, counts, tokens, 2)
-    want = lm.Net(words.size, lm.CLASSES, lm.HIDDEN)
+    want = lm.Net(words.size, lm.classes_of(words.size), lm.HIDDEN)
     want.start_from(counts)
     learned = [(i, t) for i, t in docs if i % 7 != 2]
     texts = [np.append(words.of(lm.WordHashes().of(t.encode().split())), words.end) for _, t in learned]
