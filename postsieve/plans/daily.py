@@ -104,7 +104,8 @@ def run_day(
     label: str = "",
     legacy: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """One run against the tables under ``root``; the same stamp and label again replace their own output.
+    """One run against the tables under ``root``; the same stamp and label again replace their own output. Store,
+    ledger, runs and digest show the run once all of them are written, or not at all.
     ``legacy``: payloads of a ledger in its old form (S11), which count beside the stored ledger.
 
     Scoring comes from ``responses``, a function from the requests table to a table of response
@@ -116,6 +117,7 @@ def run_day(
     def written(rows: DataFrame, table: str) -> DataFrame:
         return tables.write_run(rows, root, table, run_ts, label=label)
 
+    tables.open_run(spark, root, run_ts, label)
     verdicts = written(judged_rows(fetched, settings), "judged")
     pooled = written(pooled_rows(verdicts), "pooled")
     ledger = tables.read_ledger(spark, root, run_ts, label)
@@ -135,6 +137,7 @@ def run_day(
     store = bounded_store(kept.select(earlier.columns), earlier, settings.store_rows)
     tables.write_ledger(ledgers.ledger_entries(admitted, run_ts), root, run_ts, label)
     metadata = tables.write_metadata(run_metadata(kept, store, instant(run_ts)), root, run_ts, label)
+    tables.close_run(spark, root, run_ts, label)
     return {
         "judged": verdicts,
         "pooled": pooled,

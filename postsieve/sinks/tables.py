@@ -2,6 +2,11 @@
 
 Each run writes its own folder, ``<date column>=<date>/run_id=<stamp><label>``, and a replay overwrites that
 folder alone, also when it has no rows. Runs with one stamp are told apart by their labels. Readers prune by date.
+
+A run's tables become visible together. ``open_run`` puts down a mark before the first of them is written, and
+``close_run`` takes it away after the last: readers leave out the runs that are marked, so a run that ends in
+between is as if it had not been, until it is repeated. There are as many marks as runs that are
+under way or have been broken off.
 """
 
 from __future__ import annotations
@@ -33,6 +38,25 @@ def write_run(
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_run(spark: SparkSession, root: str, run_ts: dt.datetime, label: str = "") -> None:
+    """Hides the run from all readers, also what an earlier try of it has written."""
+    name = run_id(run_ts) + label
+    marks = spark.createDataFrame([(name,)], "run_id string").coalesce(1)
+    marks.write.mode("overwrite").parquet(f"{root}/open_runs/mark={name}")
+
+
+def close_run(spark: SparkSession, root: str, run_ts: dt.datetime, label: str = "") -> None:
+    """Shows the tables of the run: one deletion."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/open_runs/mark={run_id(run_ts)}{label}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).delete(mark, True)
+
+
+def finished(rows: DataFrame, root: str) -> DataFrame:
+    """Rows (with ``run_id``) of runs that are not open."""
+    marks = read_or_empty(rows.sparkSession, f"{root}/open_runs", T.StructType([T.StructField("run_id", T.StringType())]))
+    return rows.join(marks.select("run_id"), "run_id", "left_anti")
+
+
 def write_ledger(entries: DataFrame, root: str, run_ts: dt.datetime, label: str = "") -> DataFrame:
     """K2. Written last: a crash before it scores rows again rather than losing them."""
     return write_run(entries.drop("first_seen_date"), root, "ledger", run_ts, "first_seen_date", label)
@@ -43,11 +67,12 @@ def read_ledger(spark: SparkSession, root: str, before: dt.datetime, label: str
     table = read_or_empty(
         spark, f"{root}/ledger", T.StructType([*LEDGER.fields, T.StructField("run_id", T.StringType())])
     )
-    return table.where(
+    earlier = table.where(
         (F.col("first_seen") <= instant(before))
         & (F.col("first_seen_date") <= F.lit(utc(before).date()))
         & (F.col("run_id") != run_id(before) + label)
-    ).select(LEDGER.fieldNames())
+    )
+    return finished(earlier, root).select(LEDGER.fieldNames())
 
 
 def write_store(kept: DataFrame, root: str, run_ts: dt.datetime, label: str = "") -> DataFrame:
@@ -56,7 +81,8 @@ def write_store(kept: DataFrame, root: str, run_ts: dt.datetime, label: str = ""
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, f"{root}/runs", T.StructType([*RUN_METADATA.fields, *RUN_PARTITIONS]))
+    table = read_or_empty(spark, f"{root}/runs", T.StructType([*RUN_METADATA.fields, *RUN_PARTITIONS]))
+    return finished(table, root).select(table.columns)
 
 
 def read_store(
@@ -68,7 +94,7 @@ def read_store(
     The days' sums of the runs table (one row per run) tell how many days back the newest rows reach, so older
     partitions of the store are not read. Only as many days are looked at as the store has rows.
     """
-    table = read_or_empty(spark, f"{root}/store", T.StructType([*SCORED.fields, *RUN_PARTITIONS]))
+    table = finished(read_or_empty(spark, f"{root}/store", T.StructType([*SCORED.fields, *RUN_PARTITIONS])), root)
     stored = table.where((F.col("added") <= instant(upto)) & (F.col("run_date") <= F.lit(utc(upto).date())))
     runs = read_runs(spark, root).where(F.col("updated") <= instant(upto))
     if without is not None:

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import posting_rows, values
@@ -186,3 +187,37 @@ def test_whole_rows_are_joined_once_and_never_sorted_in_a_window(spark):
     windows = [line for line in executed(out).splitlines() if "Window" in line]
     assert windows and not any("description" in line for line in windows)
     assert executed(out).count("description") and sum("description" in line for line in executed(out).splitlines() if "FileScan" in line) <= 2
+
+
+def visible(spark, root, upto):
+    store = sorted((r.title, r.added) for r in tables.read_store(spark, root, upto).collect())
+    ledger = sorted((r.id, r.first_seen) for r in tables.read_ledger(spark, root, upto + DAY).collect())
+    return store, ledger, sorted((r.run_id, r.new_count) for r in tables.read_runs(spark, root).collect())
+
+
+def test_a_broken_run_is_not_seen(spark, tmp_path, monkeypatch):
+    root, told = str(tmp_path), scores({t: answer(9) for t in ("One", "Two", "Three")})
+    run_day(spark, root, day(spark, ["One"]), RUN, responses=told)
+    before = visible(spark, root, RUN + DAY)
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    for broken in ("write_store", "write_digest", "write_ledger", "write_metadata"):
+        with monkeypatch.context() as patch:
+            patch.setattr(tables, broken, fail)
+            with pytest.raises(RuntimeError, match="lost"):
+                run_day(spark, root, day(spark, ["Two", "Three"]), RUN + DAY, responses=told)
+        assert visible(spark, root, RUN + DAY) == before, broken
+    whole = run_day(spark, root, day(spark, ["Two", "Three"]), RUN + DAY, responses=told)
+    assert sorted(r.title for r in whole["store"].collect()) == ["One", "Three", "Two"]
+    after = visible(spark, root, RUN + DAY)
+    assert [n for _, n in after[2]] == [1, 2] and len(after[1]) == 3
+    # A later try of a finished run hides it until it has ended, and then replaces it.
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "write_ledger", fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            run_day(spark, root, day(spark, ["Two"]), RUN + DAY, responses=told)
+    assert visible(spark, root, RUN + DAY) == before
+    run_day(spark, root, day(spark, ["Two", "Three"]), RUN + DAY, responses=told)
+    assert visible(spark, root, RUN + DAY) == after
