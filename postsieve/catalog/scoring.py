@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 from ..functions.responses import parsed_response
 from ..operators.scoring import apply_responses, request_block, request_text, score_with
 from ..shipping import ship_by_value
 from ..plans.evaluate import answers, prompts
+from ..session import new_folder
+from ..streaming.answers import answered_stream
+from ..streaming.ledger import rocksdb_state
 from .base import FIRST_LINE_SQL, first_line, query, strip_sql, table
 
 ship_by_value(__name__)
@@ -98,6 +103,52 @@ def scorer_function(spark, sf):
     return score_with(rows, _strict_scorer).select("id", "score", "category", "score_method")
 
 
+_PATIENCE = 48
+
+
+@query(
+    "late_answers",
+    f"""WITH a AS (SELECT event_id AS id, date_trunc('hour', ts) AS asked,
+                     CASE WHEN event_type <> 'error' THEN date_trunc('hour', ts) + CAST(floor(value) AS INT) * INTERVAL 1 HOUR END AS told,
+                     {_OUTCOME_SQL} FROM events),
+             w AS (SELECT max(greatest(asked, told)) AS seen FROM a)
+        SELECT id, CAST(strftime(asked, '%d') AS INT) AS day, score, category, score_reason, score_method FROM a
+        WHERE told <= asked + INTERVAL {_PATIENCE} HOUR
+        UNION ALL
+        SELECT id, CAST(strftime(asked, '%d') AS INT), 3, 'ADJACENT', NULL, 'fallback' FROM a, w
+        WHERE coalesce(told > asked + INTERVAL {_PATIENCE} HOUR, true) AND asked + INTERVAL {_PATIENCE} HOUR <= seen""",
+)
+def late_answers(spark, sf):
+    """X1, X2 as a stream that is started after each ten days of requests and answers have landed. Answers land some hours
+    or days after their requests, those of one lane never."""
+    out = new_folder(spark, "late_answers")
+    rows = _responses(spark, sf).select(
+        F.col("event_id").alias("id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("asked"), "value", "event_type", "text"
+    )
+    asked = rows.select("id", F.col("asked").alias("at"))
+    told = rows.where("event_type <> 'error'").select(
+        "id", F.timestamp_add("HOUR", F.floor("value").cast("int"), "asked").alias("at"), "text"
+    )
+    first, last = asked.select("at").unionByName(told.select("at")).agg(F.min("at"), F.max("at")).first()
+    for days in range(0, (last - first).days + 1, 10):
+        landed = F.col("at").between(F.lit(first + dt.timedelta(days=days)), F.lit(first + dt.timedelta(days=days + 10, microseconds=-1)))
+        asked.where(landed).write.mode("append").parquet(f"{out}/asked")
+        told.where(landed).write.mode("append").parquet(f"{out}/told")
+        requests = spark.readStream.schema(asked.schema).parquet(f"{out}/asked")
+        answered = spark.readStream.schema(told.schema).parquet(f"{out}/told")
+        with rocksdb_state(spark):
+            stream = (
+                answered_stream(requests, answered, dt.timedelta(hours=_PATIENCE))
+                .writeStream.option("checkpointLocation", f"{out}/checkpoint")
+                .trigger(availableNow=True)
+                .format("parquet")
+                .start(f"{out}/outcomes")
+            )
+            stream.awaitTermination()
+    given = spark.read.parquet(f"{out}/outcomes")
+    return given.join(asked, "id").select("id", F.dayofmonth("at").alias("day"), "score", "category", "score_reason", "score_method")
+
+
 def _fields(spark, sf):
     """Documents with the url of the page of the same number as request fields."""
     urls = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
