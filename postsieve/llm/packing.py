@@ -37,24 +37,25 @@ PIECE = (
 
 
 def differenced(sizes: list[int], ways: int) -> list[list[int]]:
-    """The items (by number) of each of ``ways`` windows with near-equal sums."""
-    heap = []
-    for k, size in enumerate(sizes):
-        sums = np.zeros(ways, np.int64)
-        sums[-1] = size
-        heap.append((-size, k, sums, [None] * (ways - 1) + [k]))
+    """The items (by number) of each of ``ways`` windows with near-equal sums. A partition holds its non-empty windows
+    only, in ascending order of their sums, so all partitions together hold no more windows than there are items."""
+    heap = [(-size, k, np.array([size], np.int64), [k]) for k, size in enumerate(sizes)]
     heapq.heapify(heap)
     number = len(sizes)
     while len(heap) > 1:
         _, _, low, mine = heapq.heappop(heap)
         _, _, high, theirs = heapq.heappop(heap)
-        sums = low + high[::-1]
-        items = [b if a is None else a if b is None else (a, b) for a, b in zip(mine, reversed(theirs), strict=True)]
+        both = max(0, len(low) + len(high) - ways)  # the emptiest of each, where there are no empty windows left
+        sums = np.concatenate([high[both:][::-1], low[:both] + high[:both][::-1], low[both:]])
+        items = theirs[both:][::-1] + list(zip(mine[:both], theirs[:both][::-1], strict=True)) + mine[both:]
         order = np.argsort(sums, kind="stable")
         sums = sums[order]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), number, sums, [items[i] for i in order.tolist()]))
+        least = sums[0] if len(sums) == ways else 0
+        heapq.heappush(heap, (int(least - sums[-1]), number, sums, [items[i] for i in order.tolist()]))
         number += 1
-    return [list(leaves(w)) for w in heap[0][3]] if heap else []
+    if not heap:
+        return []
+    return [[] for _ in range(ways - len(heap[0][3]))] + [list(leaves(w)) for w in heap[0][3]]
 
 
 def leaves(tree) -> Iterator[int]:
