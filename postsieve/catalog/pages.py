@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.html import TEXT, element_text, elements, enclosing, html_nodes, nodes_of
+from ..functions.html import TEXT, html_nodes
 from ..functions.urls import netloc
+from ..operators.enclosing import nearby_texts
 from ..sources.cards import card_postings, detail_pages
-from ..sources.mail import with_nearby_text
 from .base import HEADING_SQL, heading, netloc_sql, query, strip_sql, table
 from .feeds import _DECODED
 
@@ -83,17 +83,9 @@ def html_node_counts(spark, sf):
 )
 def nearest_ancestor(spark, sf):
     """For each anchor the first other text inside its enclosing navigation block."""
-    parsed = table(spark, sf, "pages").select("page_id", nodes_of("html").alias("nodes"))
-    nodes = F.col("nodes")
-    found = F.transform(
-        elements(nodes, "a"),
-        lambda a: F.struct(
-            element_text(nodes, a).alias("title"), a.href.alias("href"), enclosing(nodes, a, ["nav", "div"]).alias("block")
-        ),
-    )
-    rows = parsed.withColumn("found", found)
-    near = rows.select("page_id", F.posexplode(with_nearby_text(nodes, F.col("found"), ["li"])).alias("i", "c"))
-    return near.select("page_id", (F.col("i") + 1).cast("long").alias("nth"), "c.title", "c.company")
+    nodes = html_nodes(table(spark, sf, "pages"), "page_id", "html")
+    near = nearby_texts(nodes, "page_id", ["nav", "div"], ["li"])
+    return near.select("page_id", "nth", "title", "company")
 
 
 @query(
