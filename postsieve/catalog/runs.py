@@ -17,6 +17,8 @@ from ..plans.daily import Settings, admitted_rows, judged_rows, pooled_rows, run
 from ..session import new_folder, stage
 from ..sinks import tables
 from ..streaming.incremental import run_stream
+from ..streaming.ledger import rocksdb_state
+from ..streaming.top import land, landed_batches, landed_tops, top_stream
 from .base import (
     FIRST_LINE_SQL,
     HEADING_SQL,
@@ -301,3 +303,61 @@ def incremental_store(spark, sf):
     """T3 after the stream: the bounded store, which keeps 300 rows."""
     store = tables.read_store(spark, _incremental(spark, sf), dt.datetime(2100, 1, 1))
     return store.select("title", F.col("pos").alias("event_id"), F.date_format("added", "yyyy-MM-dd").alias("added"))
+
+
+# --- running lists ---------------------------------------------------------------------------------
+
+_SLICES = "least((CAST(ts AS DATE) - DATE '2024-01-01') // 10, 2)"
+
+
+def _running(spark, rows, group, order, k):
+    """The lists after each of three micro-batches, as ``batch``; ``rows`` have the number of theirs as ``n``."""
+    out = new_folder(spark, "running")
+    parts, schema = [], rows.drop("n").schema
+    for n in range(3):
+        rows.where(F.col("n") == n).drop("n").write.mode("append").parquet(f"{out}/landed")
+        landed = spark.readStream.schema(schema).parquet(f"{out}/landed")
+        with rocksdb_state(spark):
+            land(top_stream(landed, group, order, k), f"{out}/lists", f"{out}/checkpoint").awaitTermination()
+        last = landed_batches(spark, f"{out}/lists")
+        parts.append(landed_tops(spark, f"{out}/lists", schema, upto=last).withColumn("batch", F.lit(n)))
+    return union_sources(parts)
+
+
+def _slice_number():
+    days = F.datediff("day", F.lit("2024-01-01").cast("date")).cast("int")
+    return F.least(F.floor(days / 10), F.lit(2)).cast("int")
+
+
+@query(
+    "running_lanes",
+    f"""WITH e AS (SELECT event_id, CAST(user_id AS INT) AS b, event_type AS category, CAST(floor(value) AS INT) AS score, {_SLICES} AS n FROM events),
+             s AS (SELECT CAST(unnest([0, 1, 2]) AS INT) AS batch),
+             r AS (SELECT batch, category, event_id, score, CAST(row_number() OVER (PARTITION BY batch, category ORDER BY score DESC, b, event_id) AS INT) AS rank
+                   FROM e JOIN s ON n <= batch)
+        SELECT batch, category, rank, event_id, score FROM r WHERE rank <= 10""",
+)
+def running_lanes(spark, sf):
+    """W5 as running state: the ten best of each lane after each of three micro-batches."""
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts")).select(
+        F.col("event_id").alias("pos"), F.col("user_id").cast("int").alias("batch_seq"), F.col("event_type").alias("category"),
+        F.floor("value").cast("int").alias("score"), _slice_number().alias("n"),
+    )
+    lists = _running(spark, events, "category", ["-score", "batch_seq", "pos"], 10)
+    return lists.select("batch", "category", "rank", F.col("pos").alias("event_id"), "score")
+
+
+@query(
+    "running_store",
+    f"""WITH e AS (SELECT event_id, user_id, date_trunc('hour', ts) AS added, {_SLICES} AS n FROM events WHERE floor(value) >= 3),
+             s AS (SELECT CAST(unnest([0, 1, 2]) AS INT) AS batch),
+             r AS (SELECT batch, event_id, CAST(row_number() OVER (PARTITION BY batch ORDER BY added DESC, user_id, event_id) AS INT) AS rank
+                   FROM e JOIN s ON n <= batch)
+        SELECT batch, rank, event_id FROM r WHERE rank <= 300""",
+)
+def running_store(spark, sf):
+    """O2, U2, T3 as running state: the newest 300 kept rows after each of three micro-batches."""
+    kept, _ = split_by_score(_store_events(spark, sf).withColumn("day", F.to_date("ts")))
+    rows = kept.select("pos", "batch_seq", "added", _slice_number().alias("n"))
+    lists = _running(spark, rows, None, ["-added", "batch_seq", "pos"], 300)
+    return lists.select("batch", "rank", F.col("pos").alias("event_id"))
