@@ -75,10 +75,12 @@ def test_a_repeated_micro_batch_replaces_its_lists(spark, tmp_path):
     root = str(tmp_path)
     rows = [row("a", n % 7, n) for n in range(20)]
     expected = lists(spark, root, [rows[:10], rows[10:]])[-1]
+    before = {file.name for file in (tmp_path / "lists" / "batch=1").glob("part-*")}
     for note in (tmp_path / "checkpoint" / "commits").glob("*1*"):
         note.unlink()
     assert lists(spark, root, [[]])[-1] == expected
-    assert landed_batches(spark, f"{root}/lists") == 1
+    assert before.isdisjoint(file.name for file in (tmp_path / "lists" / "batch=1").glob("part-*"))
+    assert landed_batches(spark, f"{root}/lists") == 2  # the last part has files without rows
 
 
 def test_tasks_pass_on_few_rows_of_a_hot_group(spark):
