@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.stamps import stamp_like
 from ..operators import ledger as ops
 from ..session import new_folder
+from ..sinks import tables
+from ..sinks.ledger_table import read_entries, write_entries
 from ..streaming.ledger import admitted_stream, rocksdb_state
 from .base import query, stamp_sql, stamp_text, table
 
@@ -162,3 +164,29 @@ def streaming_ledger(spark, sf):
             stream.awaitTermination()
     written = spark.read.schema(events.schema).parquet(f"{out}/admitted")
     return written.select("user_id", "event_id", F.date_format("run", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "bucketed_ledger",
+    f"""WITH e AS (SELECT event_id, {_ID_SQL} AS id, least((CAST(ts AS DATE) - DATE '2024-01-01') // 10, 2) AS n FROM events),
+             f AS (SELECT id, n, min(event_id) AS event_id FROM e GROUP BY id, n),
+             r0 AS (SELECT * FROM f WHERE n = 0),
+             r1 AS (SELECT * FROM f WHERE n = 1 AND id NOT IN (SELECT id FROM r0)),
+             r2 AS (SELECT * FROM f WHERE n = 2 AND id NOT IN (SELECT id FROM r1)),
+             a AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)
+        SELECT id, event_id, strftime(DATE '2024-01-11' + CAST(n AS INT) * 10, '%Y-%m-%d') AS added FROM a""",
+)
+def bucketed_ledger(spark, sf):
+    """J2, K2 with the ledger in buckets of its id: three runs, ten days apart, of which the third finds the entries of the first
+    expired."""
+    root, buckets = new_folder(spark, "ledgers"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = table(spark, sf, "events").withColumn("id", _id())
+    number = F.least(F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 10), F.lit(2))
+    for n in range(3):
+        run = dt.datetime(2024, 1, 11) + dt.timedelta(days=10 * n)
+        known = read_entries(spark, root, run, buckets)
+        admitted = ops.admit(events.where(number == n), known, run, 15, order=["event_id"], buckets=buckets)
+        admitted = tables.write_run(admitted.select("id", "event_id", "added"), root, "admitted", run)
+        write_entries(ops.ledger_entries(admitted, run), root, run, buckets)
+    stored = spark.read.schema("id string, event_id long, added timestamp").parquet(f"{root}/admitted")
+    return stored.select("id", "event_id", F.date_format("added", "yyyy-MM-dd").alias("added"))

@@ -50,13 +50,18 @@ def admit(
     lifetime_days: int = fixed.LEDGER_DAYS,
     key: str = "id",
     order: Sequence[str] = tuple(ORDER),
+    buckets: int | None = None,
 ) -> DataFrame:
     """W2 then J2: the first row of each id that is not active, stamped with the run.
 
     The rows are unique by id before they meet the ledger, so the anti-join has no hot key and takes
-    over the partitioning of the first step.
+    over the partitioning of the first step. ``buckets``: the ledger lies in so many buckets of its id. Where the first step
+    left another number of partitions, the run's rows are dealt out once more, so that Spark does not shuffle the ledger to suit
+    them.
     """
     fresh = first_row_per_key(postings, key, order)
+    if buckets is not None and int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions")) != buckets:
+        fresh = fresh.repartition(buckets, key)
     known = active_ledger(ledger, run_ts, lifetime_days).select(key)
     return fresh.join(known, key, "left_anti").withColumn("added", instant(run_ts))
 

@@ -20,7 +20,7 @@ from ..operators.ranking import bounded_store, digest, split_by_score, union_sou
 from ..operators.report import admission_stats, funnel, run_metadata
 from ..operators.scoring import apply_responses, score_requests, score_with
 from ..schemas import ORDER, POSTING_FIELDS, SCORED
-from ..sinks import tables
+from ..sinks import ledger_table, tables
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ class Settings:
     store_rows: int = fixed.STORE_ROWS
     digest_rows: int = fixed.DIGEST_ROWS
     gate_days: int = fixed.GATE_DAYS
+    ledger_buckets: int | None = None  # a ledger in so many buckets; None: as plain folders of the runs
     gated_kinds: Sequence[str] = ("paged_search",)
     request: Mapping[str, str] = field(default_factory=dict)
     recency_days: Mapping[str, int] = field(default_factory=lambda: dict(fixed.RECENCY_DAYS))
@@ -88,7 +89,7 @@ def admitted_rows(
     ``(batch_seq, pos)``, which identifies a row of a run: the wide table is shuffled at most once and
     never sorted, and only for rows that a filter on the admitted keys lets through.
     """
-    admitted = ledgers.admit(pooled.drop("url"), ledger, run_ts, settings.lifetime_days)
+    admitted = ledgers.admit(pooled.drop("url"), ledger, run_ts, settings.lifetime_days, buckets=settings.ledger_buckets)
     whole = verdicts.where("kept").select(*POSTING_FIELDS, *ORDER)
     return whole.join(admitted.select("id", "added", *ORDER), ORDER).select(*POSTING_FIELDS, *ORDER, "id", "added")
 
@@ -120,7 +121,11 @@ def run_day(
     tables.open_run(spark, root, run_ts, label)
     verdicts = written(judged_rows(fetched, settings), "judged")
     pooled = written(pooled_rows(verdicts), "pooled")
-    ledger = tables.read_ledger(spark, root, run_ts, label)
+    buckets = settings.ledger_buckets
+    if buckets is None:
+        ledger = tables.read_ledger(spark, root, run_ts, label)
+    else:
+        ledger = ledger_table.read_entries(spark, root, run_ts, buckets, label)
     if legacy is not None:
         ledger = ledger.unionByName(ledgers.legacy_ledger(legacy, run_ts))
     admitted = written(admitted_rows(verdicts, pooled, ledger, run_ts, settings), "admitted")
@@ -135,7 +140,11 @@ def run_day(
     shown = tables.write_digest(digest(kept, settings.lanes, settings.digest_rows), root, run_ts, label)
     earlier = tables.read_store(spark, root, run_ts, settings.store_rows, without=run_id(run_ts) + label)
     store = bounded_store(kept.select(earlier.columns), earlier, settings.store_rows)
-    tables.write_ledger(ledgers.ledger_entries(admitted, run_ts), root, run_ts, label)
+    entries = ledgers.ledger_entries(admitted, run_ts)
+    if buckets is None:
+        tables.write_ledger(entries, root, run_ts, label)
+    else:
+        ledger_table.write_entries(entries, root, run_ts, buckets, label)
     metadata = tables.write_metadata(run_metadata(kept, store, instant(run_ts)), root, run_ts, label)
     tables.close_run(spark, root, run_ts, label)
     return {
