@@ -14,7 +14,8 @@ from ..operators import predicates as p
 from ..operators.joins import by_terms
 from ..operators.policy import Policy, Terms, apply_policy, judged
 from ..operators.ranking import split_by_score
-from ..operators.report import funnel
+from ..operators.report import CountedFunnel, funnel
+from ..session import stage
 from .base import (
     FIRST_LINE_SQL,
     contains_any_sql,
@@ -26,6 +27,7 @@ from .base import (
     word_bounded_sql,
 )
 
+_MOST_SOURCES = 100
 EXCLUDED = ["thre", "über", "estion", "éle", "ñ"]
 SIGNALS_OFF = ["license", "cheap", "password", "und der"]
 SIGNALS_ON = ["released under", "the ", " la ", "email"]
@@ -285,3 +287,17 @@ _HITS_SQL = " + ".join(f"CASE WHEN contains(lower(text), {quoted(t)}) THEN {w} E
 @query("keyword_score", f"SELECT doc_id, CAST(least(10, {_HITS_SQL}) AS DOUBLE) AS score FROM documents")
 def keyword_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", match.keyword_score("text", WEIGHTS).alias("score"))
+
+
+@query(
+    "counted_funnel",
+    f"""SELECT source, count(*) AS fetched, count(*) FILTER (WHERE {POLICY_SQL}) AS kept,
+               count(*) FILTER (WHERE {RESTRICTED}) AS residency_dropped, count(*) FILTER (WHERE text <> '') AS enriched
+        FROM documents GROUP BY source""",
+)
+def counted_funnel(spark, sf):
+    """A1 in the pass that writes the judged rows. The sources are those of the table, as a run knows those of its feeds."""
+    rows = titled(spark, sf).select("*", *[F.lit("").alias(c) for c in ("company", "url", "salary", "posted")])
+    sources = [r.source for r in rows.select("source").distinct().limit(_MOST_SOURCES).collect() if r.source is not None]
+    counted = CountedFunnel(judged(rows, POLICIES, TERMS, "source"), sources)
+    return counted.funnel(stage(counted.rows.select("source", "kept", "restricted", "enriched")))

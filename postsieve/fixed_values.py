@@ -14,6 +14,7 @@ ARRAY_FEED = "RemoteOK"
 CATEGORY_FEED = "Remotive"
 RSS = "WeWorkRemotely"
 PAGED_SEARCH = "JSearch"
+SOURCES = [MAIL, SEARCH_API, ARRAY_FEED, CATEGORY_FEED, RSS, PAGED_SEARCH]
 
 # --- Fixed values: limits ------------------------------------------------------------------------
 FEED_CHARS = 1200

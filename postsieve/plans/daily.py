@@ -17,11 +17,13 @@ from ..operators.dedup import first_batch_wins
 from ..operators.policy import DEFAULT_TERMS, POLICIES, Policy, Terms, judged
 from ..operators.predicates import gate_open, recent
 from ..operators.ranking import bounded_store, digest, split_by_score, union_sources
-from ..operators.report import admission_stats, funnel, run_metadata
+from ..operators.report import Counted, CountedFunnel, counted_scores, funnel
 from ..operators.scoring import apply_responses, score_requests, score_with
 from ..schemas import ORDER, POSTING_FIELDS, SCORED
 from ..sinks import ledger_table, tables
 
+_ADMISSION = ["pooled", "admitted", "kept", "dropped"]
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -35,6 +37,7 @@ class Settings:
     store_rows: int = fixed.STORE_ROWS
     digest_rows: int = fixed.DIGEST_ROWS
     gate_days: int = fixed.GATE_DAYS
+    sources: Sequence[str] = tuple(fixed.SOURCES)  # counted while the judged rows are written; others cost a read
     ledger_buckets: int | None = None  # a ledger in so many buckets; None: as plain folders of the runs
     gated_kinds: Sequence[str] = ("paged_search",)
     request: Mapping[str, str] = field(default_factory=dict)
@@ -112,15 +115,17 @@ def run_day(
     Scoring comes from ``responses``, a function from the requests table to a table of response
     texts, or from ``scorer``, a function run on the executors; with neither all rows get the
     fallback. Each costly step is written before the next one reads it: the judged rows, because the
-    funnel, the url dedup and the final fetch read them, and the scored rows, because the scorer must
-    not be asked twice.
+    url dedup and the final fetch read them, and the scored rows, because the scorer must
+    not be asked twice. The counts of the reports are taken while these tables are written.
     """
     def written(rows: DataFrame, table: str) -> DataFrame:
         return tables.write_run(rows, root, table, run_ts, label=label)
 
     tables.open_run(spark, root, run_ts, label)
-    verdicts = written(judged_rows(fetched, settings), "judged")
-    pooled = written(pooled_rows(verdicts), "pooled")
+    judged_now = CountedFunnel(judged_rows(fetched, settings), settings.sources)
+    verdicts = written(judged_now.rows, "judged")
+    pooled_now = Counted(pooled_rows(verdicts), pooled=F.count("*"))
+    pooled = written(pooled_now.rows, "pooled")
     buckets = settings.ledger_buckets
     if buckets is None:
         ledger = tables.read_ledger(spark, root, run_ts, label)
@@ -134,7 +139,9 @@ def run_day(
     else:
         told = responses(score_requests(admitted, **settings.request)) if responses else None
         scored = apply_responses(admitted, told)
-    scored = written(scored, "scored")
+    scored_now = counted_scores(scored, settings.threshold)
+    scored = written(scored_now.rows, "scored")
+    counts = pooled_now.told() | scored_now.told()
     kept, dropped = split_by_score(scored, settings.threshold)
     tables.write_store(kept.select(SCORED.fieldNames()), root, run_ts, label)
     shown = tables.write_digest(digest(kept, settings.lanes, settings.digest_rows), root, run_ts, label)
@@ -145,7 +152,10 @@ def run_day(
         tables.write_ledger(entries, root, run_ts, label)
     else:
         ledger_table.write_entries(entries, root, run_ts, buckets, label)
-    metadata = tables.write_metadata(run_metadata(kept, store, instant(run_ts)), root, run_ts, label)
+    metadata = store.agg(F.count("*").alias("total_count")).select(
+        instant(run_ts).alias("updated"), F.lit(counts["kept"]).cast("long").alias("new_count"), "total_count"
+    )
+    metadata = tables.write_metadata(metadata, root, run_ts, label)
     tables.close_run(spark, root, run_ts, label)
     return {
         "judged": verdicts,
@@ -156,7 +166,9 @@ def run_day(
         "digest": shown,
         "metadata": metadata,
         "store": tables.read_store(spark, root, run_ts, settings.store_rows),
-        "funnel": funnel(verdicts),
+        "funnel": judged_now.funnel(verdicts),
         "query_funnel": funnel(verdicts, "kind", "batch_seq"),
-        "admission": admission_stats(pooled, scored, settings.threshold),
+        "admission": spark.createDataFrame(
+            [tuple(counts[c] for c in _ADMISSION)], ", ".join(f"{c} long" for c in _ADMISSION)
+        ),
     }
