@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -187,3 +188,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def releasing(run):
+    """A function of Arrow batches that, when it has ended, hands the memory it no longer uses back to the system. Workers are
+    kept for the next stages, whose own memory comes on top of what an idle one holds."""
+
+    def ended(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return ended

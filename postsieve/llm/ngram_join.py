@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
-from .common import LOWER, WordHashes, batch_of, components, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, rows_of, window_hashes
+from .common import LOWER, WordHashes, batch_of, components, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, releasing, rows_of, window_hashes
 
 NGRAM = 5
 NUMERATOR, DENOMINATOR = 3, 4
@@ -128,7 +128,7 @@ def slim_sets(texts: DataFrame, n: int, slots: int) -> DataFrame:
             none = [None] * SKETCH_PARTS
             yield batch_of(schema, [none, none, none, list(range(SKETCH_PARTS)), parts])
 
-    return texts.mapInArrow(run, SLIM)
+    return texts.mapInArrow(releasing(run), SLIM)
 
 
 def frequency_class(slim: DataFrame, slots: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def frequency_class(slim: DataFrame, slots: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     parts = slim.where("part IS NOT NULL").select("part", "counts")
-    summed = parts.repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary")
+    summed = parts.repartition(SKETCH_PARTS, "part").mapInArrow(releasing(add), "part int, counts binary")
     counts = np.zeros(slots, np.uint64)
     for part, found in summed.collect():  # of fixed size
         counts[part * width : (part + 1) * width] = np.frombuffer(found, np.uint64)
@@ -227,7 +227,7 @@ def prefix_entries(texts: DataFrame, classes: np.ndarray, n: int, buckets: int,
             for a in range(0, len(token), 50_000):
                 yield batch_of(entry, [x[a : a + 50_000] for x in (token, fp, size, pos, listed)])
 
-    return texts.mapInArrow(index, PREFIX).repartition(buckets, "bucket").mapInArrow(shared, ENTRY)
+    return texts.mapInArrow(releasing(index), PREFIX).repartition(buckets, "bucket").mapInArrow(releasing(shared), ENTRY)
 
 
 def kept_entries(entries: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) ->
             if rows:
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
-    made = keyed_texts(docs).mapInArrow(run, "doc_id long, fp long, shingles array<long>")
+    made = keyed_texts(docs).mapInArrow(releasing(run), "doc_id long, fp long, shingles array<long>")
     chosen = chosen.select(F.col("fp").alias("chosen"), F.col("doc_id").alias("of"))
     same = (F.col("fp") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("of"))
     return made.join(chosen, same, "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
@@ -444,7 +444,7 @@ def family_links(sets: DataFrame, family: DataFrame, cell: int) -> DataFrame:
             yield answered()
 
     dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return dealt.select(*(c.split()[0] for c in FAMILY.split(", "))).mapInArrow(run, PAIR)
+    return dealt.select(*(c.split()[0] for c in FAMILY.split(", "))).mapInArrow(releasing(run), PAIR)
 
 
 def open_pairs(holders: DataFrame, labels: DataFrame, family: DataFrame, cell: int) -> DataFrame:
@@ -526,7 +526,7 @@ def open_pairs(holders: DataFrame, labels: DataFrame, family: DataFrame, cell: i
             yield batch_of(schema, [np.concatenate(x) for x in zip(*held, strict=True)])
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = dealt.select(*names, "seen").mapInArrow(search, PAIR)
+    pairs = dealt.select(*names, "seen").mapInArrow(releasing(search), PAIR)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
