@@ -1,6 +1,7 @@
 import datetime as dt
 
 from postsieve.streaming.answers import answered_stream
+from postsieve.streaming.buckets import BUCKETS
 from postsieve.streaming.ledger import rocksdb_state
 
 START = dt.datetime(2026, 3, 10)
@@ -60,5 +61,30 @@ def test_ties_repeats_and_unreadable_answers(spark, tmp_path):
     ]
 
 
+def test_a_wait_that_ends_with_the_watermark(spark, tmp_path):
+    batches = [([("x", 0), ("y", 1)], []), ([("z", 4)], []), ([("w", 5)], [])]
+    first, second, third = outcomes(spark, str(tmp_path), batches)
+    x, y = ("x", 3, "fallback"), ("y", 3, "fallback")
+    assert (first, second, third) == ([], [x], [x, y])
+
+
 def test_empty_inputs(spark, tmp_path):
     assert outcomes(spark, str(tmp_path), [([], []), ([("x", 0)], [])])[-1] == []
+
+
+def test_state_is_one_value_per_bucket(spark, tmp_path):
+    """Ids that are whole numbers beyond those of doubles, with a null: each is a request, and few state rows hold them."""
+    root, ids = str(tmp_path), [None, *range(2**60, 2**60 + 4000)]
+    spark.createDataFrame([(i, START) for i in ids], "id long, at timestamp").write.parquet(f"{root}/asked")
+    spark.createDataFrame([(i, START, said(9)) for i in ids[:3]], "id long, at timestamp, text string").write.parquet(f"{root}/told")
+    asked = spark.readStream.schema("id long, at timestamp").parquet(f"{root}/asked")
+    told = spark.readStream.schema("id long, at timestamp, text string").parquet(f"{root}/told")
+    with rocksdb_state(spark):
+        stream = (
+            answered_stream(asked, told, dt.timedelta(hours=4))
+            .writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+            .format("parquet").start(f"{root}/out")
+        )
+        stream.awaitTermination()
+    assert {(r.id, r.score) for r in spark.read.parquet(f"{root}/out").collect()} == {(i, 9) for i in ids[:3]}
+    assert stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * BUCKETS  # a value and its timer
