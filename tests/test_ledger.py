@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from postsieve.functions.stamps import instant
 from postsieve.operators import ledger as ops
 from postsieve.operators.predicates import gate_column
 from postsieve.sinks import tables
-from postsieve.streaming.ledger import admitted_stream, rocksdb_state
+from postsieve.streaming.buckets import BUCKETS
+from postsieve.streaming.ledger import FirstSeen, admitted_stream, rocksdb_state
 
 RUN = dt.datetime(2026, 3, 22, 12)
 DAY = dt.timedelta(days=1)
@@ -163,6 +165,57 @@ def test_stream_drops_neither_late_nor_equal_stamps(spark, tmp_path):
     assert got == [("a", 10), ("a", 31), ("b", 10), ("c", 40), ("late", 3), ("same", 10)]
 
 
+def test_stream_state_is_one_value_per_bucket(spark, tmp_path):
+    source, got = tmp_path / "in", []
+    for day, n in ((1, 3000), (5, 3010)):
+        rows = spark.range(n).selectExpr("id", f"timestamp'2026-01-0{day} 00:00:00' AS run", "id AS pos")
+        rows.coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id long, run timestamp, pos long").parquet(str(source))
+        with rocksdb_state(spark):
+            query = (
+                admitted_stream(stream, "id", "run", ["pos"])
+                .writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+                .format("parquet").start(str(tmp_path / "out"))
+            )
+            query.awaitTermination()
+        got.append(spark.read.parquet(str(tmp_path / "out")).count())
+    assert got == [3000, 3010]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS
+
+
+def test_state_of_an_id_goes_when_its_time_is_over():
+    class State:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Now:
+        def __init__(self, days):
+            self.days = days
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.days * 86_400_000
+
+    class Handle:
+        def getValueState(self, name, schema, ttlDurationMs=None):
+            assert ttlDurationMs == 10 * 86_400_000
+            return State()
+
+    def run(days, *rows):
+        frame = pd.DataFrame([(name, name, pd.Timestamp(2026, 1, 1) + d * DAY) for name, d in rows], columns=["id", "text", "run"])
+        return [r.id for part in seen.handleInputRows((0,), iter([frame]), Now(days)) for r in part.itertuples()]
+
+    seen = FirstSeen(["id", "run"], "text", "run", [], 7 * DAY, 10 * DAY)
+    seen.init(Handle())
+    assert run(0, ("a", 5), ("b", 5)) == ["a", "b"]
+    assert run(4, ("a", 12), ("b", 6)) == ["a"]
+    # b's time is over, so an older row is admitted; a was admitted again since.
+    assert run(11, ("a", 6), ("b", 6)) == ["b"]
+
+
 def test_empty_history_gives_no_rows(spark):
     df, base = history(spark, [])
     assert ops.admitted_over_history(df, "id", "ts", 7 * DAY, base, base, ["pos"]).count() == 0
