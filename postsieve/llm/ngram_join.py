@@ -231,8 +231,9 @@ def prefix_entries(texts: DataFrame, classes: np.ndarray, n: int, buckets: int,
 
 
 def kept_entries(entries: DataFrame) -> DataFrame:
-    """fp, n and the entries (listed, token, pos) that it keeps, in their order, of each set that may have a partner."""
-    sets = entries.groupBy("fp", "n").agg(F.array_sort(F.collect_set(F.struct("listed", "token", "pos"))).alias("kept"))
+    """fp, n and the entries (listed, token, pos) that it keeps, in their order, of each set that may have a partner. Buckets have
+    few entries of a set each, so they are dealt as they are: lists of one or two take more room."""
+    sets = entries.repartition("fp").groupBy("fp", "n").agg(F.array_sort(F.collect_set(F.struct("listed", "token", "pos"))).alias("kept"))
     asked = shared_at_least(F.col("n")).cast("int")
     sets = sets.where(F.size("kept") >= asked)
     return sets.withColumn("kept", F.slice("kept", F.lit(1), F.size("kept") - asked + 1))

@@ -171,3 +171,11 @@ def test_links_through_rows_without_id(spark):
     want, links = plain(docs)
     assert links >= 2 and (3, 196, 1) in want
     assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)) == want
+
+
+def test_entries_are_dealt_as_rows(spark):
+    entries = spark.createDataFrame([(t, 7, 8, t, 2) for t in (1, 2, 2, 3)], ngram_join.ENTRY)
+    kept = ngram_join.kept_entries(entries)
+    assert [(r.fp, r.n, [tuple(e) for e in r.kept]) for r in kept.collect()] == [(7, 8, [(2, 1, 1), (2, 2, 2), (2, 3, 3)])]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan[plan.rindex("Exchange hashpartitioning") :]
