@@ -149,3 +149,11 @@ def test_all_learning_documents_train_in_every_round(spark):
         optimiser = lm.Adam(want, lm.RATE / (1 + k))
         lm.train(want, texts, words.end, lm.RATE, optimiser)
     assert np.allclose(got.flat(), want.flat(), atol=1e-4)
+
+
+def test_few_documents_make_enough_steps(monkeypatch):
+    updates = []
+    monkeypatch.setattr(lm.Adam, "update", lambda self, grads, tokens: updates.append(tokens))
+    docs = [np.arange(1 + k % 40) % 5 for k in range(512)]
+    lm.train(lm.Net(8, 2, 4), docs, 7, 0.01)
+    assert len(updates) >= 32 and sum(updates) == sum(map(len, docs))
