@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import new_folder
-from .common import PLAIN_WORDS, batch_of, keyed_texts, rows_of
+from .common import PLAIN_WORDS, batch_of, keyed_texts, releasing, rows_of
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -41,6 +41,13 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(PLAIN_WORDS).split() if text else []
 
 
+def numbers() -> defaultdict[bytes, int]:
+    """Numbers words in the order in which they are first asked for."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    return number
+
+
 # --- the index -----------------------------------------------------------------------------------------
 
 
@@ -55,11 +62,10 @@ class Shard:
         self.starts = np.cumsum(lengths + 1) - lengths - 1
 
     @classmethod
-    def of(cls, docs: list[tuple[int | None, list[bytes]]]) -> Shard:
-        number: defaultdict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
+    def of(cls, docs: list[tuple[int | None, np.ndarray]], number: dict[bytes, int]) -> Shard:
+        """``docs``: the words of each document, as numbers."""
         lengths = np.array([len(words) for _, words in docs], np.int64)
-        terms = np.fromiter((number[w] for _, words in docs for w in words), np.int32, int(lengths.sum()))
+        terms = np.concatenate([words for _, words in docs])
         counts = np.bincount(terms, minlength=len(number)).astype(np.int64)
         order = np.argsort(terms, kind="stable")
         positions = (order + np.repeat(np.arange(len(docs)), lengths)[order]).astype(np.uint32)
@@ -117,18 +123,19 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per shard; a document is never cut, so a shard is as large as its last document makes it."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, number, size = [], numbers(), 0
         schema = pa.schema([(n, pa.binary()) for n in ("doc_ids", "absent", "lengths", "terms", "counts", "steps")])
         for doc_id, text in rows_of(batches, "doc_id", "text"):
-            held.append((doc_id, words_of(text)))
+            words = words_of(text)
+            held.append((doc_id, np.fromiter(map(number.__getitem__, words), np.int32, len(words))))
             size += len(text or b"") + 64
             if size >= shard_bytes:
-                yield batch_of(schema, [[x] for x in Shard.of(held).packed()])
-                held, size = [], 0
+                yield batch_of(schema, [[x] for x in Shard.of(held, number).packed()])
+                held, number, size = [], numbers(), 0
         if held:
-            yield batch_of(schema, [[x] for x in Shard.of(held).packed()])
+            yield batch_of(schema, [[x] for x in Shard.of(held, number).packed()])
 
-    return keyed_texts(docs).mapInArrow(build, SHARD.removeprefix("shard long, "))
+    return keyed_texts(docs).mapInArrow(releasing(build), SHARD.removeprefix("shard long, "))
 
 
 def write_index(docs: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -224,7 +231,7 @@ def contamination(index: DataFrame, items: DataFrame, length: int = WINDOW, bloc
                 rows = [(number, *x) for x in covered(Shard.unpacked(*row), phrases)]
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
-        results.append(index.mapInArrow(search, MATCH))
+        results.append(index.mapInArrow(releasing(search), MATCH))
     return (results[0] if len(results) == 1 else _merged(results)).select(*columns)
 
 
@@ -275,6 +282,6 @@ def find(index: DataFrame, phrases: DataFrame, within: int | None = None, block_
                         ids = pa.array(shard.doc_ids[doc], mask=shard.absent[doc])
                         yield batch_of(schema, [np.full(len(doc), owner), ids, begin - shard.starts[doc], end - shard.starts[doc]])
 
-        part = index.mapInArrow(search, FOUND)
+        part = index.mapInArrow(releasing(search), FOUND)
         out = part if out is None else out.unionByName(part)
     return out

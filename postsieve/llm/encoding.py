@@ -16,6 +16,8 @@ from types import ModuleType
 
 import numpy as np
 
+from .common import ENCODERS
+
 END_ID = 2
 MEMO = 1_600_000  # some 200 MB
 PUNCTUATION = frozenset(".,;:!?")
@@ -125,8 +127,8 @@ class Encoder(dict):
 
 
 def encoder(rules: str) -> Encoder:
-    """The encoder of this Python worker: its memo outlives the task."""
-    kept = sys.modules.setdefault("_postsieve_encoders", ModuleType("_postsieve_encoders"))
+    """The encoder of this Python worker: its memo outlives the task, until one that does not encode."""
+    kept = sys.modules.setdefault(ENCODERS, ModuleType(ENCODERS))
     key = f"of_{hash(rules)}"
     if not hasattr(kept, key):
         setattr(kept, key, Encoder(rules))

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, count_rows, free_name, rows_of, short_batches, summed
+from .common import batch_of, count_rows, free_name, releasing, rows_of, short_batches, summed
 
 SLOTS = 1 << 15
 ORDERS = 3
@@ -170,7 +170,7 @@ def document_frequencies(texts: DataFrame, slots: int = SLOTS) -> tuple[int, np.
                 counts[slots] += 1
         yield batch_of(schema, list(count_rows(counts)))
 
-    found = summed(texts.select("text").mapInArrow(run, "part int, counts binary"), 2 * slots)
+    found = summed(texts.select("text").mapInArrow(releasing(run), "part int, counts binary"), 2 * slots)
     return int(found[slots]), found[:slots]
 
 
@@ -197,7 +197,7 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS)
             m = fit([(t, lang) for _, t, lang in held], sent.value)
             yield batch_of(schema, [[m.languages], [m.weights.tobytes()], [m.bias.tobytes()], [m.temperature]])
 
-    found = sample.select("place", "text", "lang").repartition(1).mapInArrow(train, "languages array<string>, weights binary, bias binary, temperature double")
+    found = sample.select("place", "text", "lang").repartition(1).mapInArrow(releasing(train), "languages array<string>, weights binary, bias binary, temperature double")
     row = found.first()
     if row is None:
         return Model([], idf, np.zeros((slots, 0)), np.zeros(0))

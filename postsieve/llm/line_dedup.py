@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import batch_of, free_name, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, rows_of
+from .common import batch_of, free_name, key_bitmap, keyed_texts, may_occur, mixed_all, partitions, releasing, rows_of
 
 RARE = 8
 MIN_WORDS = 10
@@ -78,7 +78,7 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
             yield batch_of(schema, list(zip(*held, strict=True)))
 
     rows = with_digest(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id", "digest"])
-    return rows.select("doc_id", "digest", "text").mapInArrow(run, LINES)
+    return rows.select("doc_id", "digest", "text").mapInArrow(releasing(run), LINES)
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def line_holders(lines: DataFrame, rare: int, keys: Keys, buckets: int) -> DataF
                 blobs = [x[which].tobytes() for x in (hashes, docs, digests, counts)]
                 yield batch_of(schema, [[x] for x in (int(bucket[which[0]]), *blobs)])
 
-    return lines.mapInArrow(hold, HOLDERS).repartition(buckets, "bucket")
+    return lines.mapInArrow(releasing(hold), HOLDERS).repartition(buckets, "bucket")
 
 
 def document_pairs(lines: DataFrame, rare: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +193,7 @@ def document_pairs(lines: DataFrame, rare: int, keys: Keys) -> tuple[DataFrame,
                 yield batch_of(schema, [[None] * found.shape[1], *found])
 
     buckets = partitions(lines.sparkSession)
-    made = stage(line_holders(lines, rare, keys, buckets).mapInArrow(meet, MET))
+    made = stage(line_holders(lines, rare, keys, buckets).mapInArrow(releasing(meet), MET))
     frequent = made.where("line IS NOT NULL").select("line", "a", "a_digest")
     held = stage(holders_of(lines, frequent, keys).join(frequent, "line").where("a < b"))
     return made.where("line IS NULL").drop("line").unionByName(held.drop("line")).distinct(), held
@@ -208,7 +208,7 @@ def holders_of(lines: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
             k = np.flatnonzero(may_occur(bitmap.value, hashes))
             yield pa.RecordBatch.from_pydict({"b": docs[k], "b_digest": digests[k], "line": hashes[k].view(np.int64)})
 
-    return lines.mapInArrow(others, HELD)
+    return lines.mapInArrow(releasing(others), HELD)
 
 
 def open_runs(later: DataFrame, deleted: DataFrame, held: DataFrame, bitmap: Broadcast, min_words: int) -> DataFrame:
@@ -230,7 +230,7 @@ def open_runs(later: DataFrame, deleted: DataFrame, held: DataFrame, bitmap: Bro
                 yield batch_of(schema, [np.full(len(keys), b), np.full(len(keys), digest), keys.view(np.int64)])
 
     docs = later.withColumnsRenamed({"doc_id": "b", "digest": "b_digest"})
-    found = docs.join(deleted, ["b", "b_digest"], "left").mapInArrow(left, HELD)
+    found = docs.join(deleted, ["b", "b_digest"], "left").mapInArrow(releasing(left), HELD)
     return found.join(held.select("line", "b", "b_digest"), ["line", "b", "b_digest"], "left_semi")
 
 
@@ -325,7 +325,7 @@ def aligned_blocks(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFr
             yield batch_of(schema, list(zip(*held, strict=True)))
 
     both = pairs.join(earlier, ["a", "a_digest"]).join(later, ["b", "b_digest"])
-    return both.select("b", "b_digest", "ours", "theirs", "words").mapInArrow(align, DELETED)
+    return both.select("b", "b_digest", "ours", "theirs", "words").mapInArrow(releasing(align), DELETED)
 
 
 def united(found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_of, keyed_texts, rows_of
+from .common import batch_of, keyed_texts, releasing, rows_of
 from .encoding import END_ID, encoder, vocabulary
 from .token_codes import in_groups
 
@@ -126,4 +126,4 @@ def pack(
         if held:
             yield flush()
 
-    return keyed_texts(docs).mapInArrow(run, PIECE)
+    return keyed_texts(docs).mapInArrow(releasing(run, encodes=True), PIECE)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder, stage
-from .common import batch_of, keyed_texts, partitions, rows_of
+from .common import batch_of, keyed_texts, partitions, releasing, rows_of
 from .encoding import END_ID, encoder, vocabulary
 from .store import make_folder, write_whole
 
@@ -175,7 +175,7 @@ def write_codes(
             yield close()
 
     dealt = keyed_texts(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return path, stage(dealt.mapInArrow(write, DONE))
+    return path, stage(dealt.mapInArrow(releasing(write, encodes=True), DONE))
 
 
 def in_groups(rows: Iterator[tuple[int | None, bytes | None]], size: int) -> Iterator[tuple[list, list[str]]]:

@@ -44,3 +44,11 @@ def test_sums_of_counts(spark):
 
     found = common.summed(spark.range(10).mapInArrow(run, "part int, counts binary"), 256)
     assert found.tolist() == (np.arange(256) * 45).tolist()
+
+
+def test_tasks_that_do_not_encode_drop_the_memos(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, common.ENCODERS, sys)
+    assert list(common.releasing(lambda batches: batches, encodes=True)(iter([1]))) == [1] and common.ENCODERS in sys.modules
+    assert list(common.releasing(lambda batches: batches)(iter([1]))) == [1] and common.ENCODERS not in sys.modules
