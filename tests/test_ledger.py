@@ -183,6 +183,21 @@ def test_stream_state_is_one_value_per_bucket(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS
 
 
+def test_stream_with_a_null_id_loses_no_other(spark, tmp_path):
+    rows = [(None if k % 7 == 3 else k % 40, 1 + k % 3, k) for k in range(600)]
+    source = spark.createDataFrame(rows, "id long, day int, pos long").selectExpr("id", "cast(make_date(2026, 1, day) AS timestamp) AS run", "pos")
+    source.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    with rocksdb_state(spark):
+        (
+            admitted_stream(stream, "id", "run", ["pos"])
+            .writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+            .format("parquet").start(str(tmp_path / "out")).awaitTermination()
+        )
+    got = sorted(((r.id is None, r.id or 0, r.run.day) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted({(k is None, k or 0, min(d for i, d, _ in rows if i == k)) for k, _, _ in rows})
+
+
 def test_state_of_an_id_goes_when_its_time_is_over():
     class State:
         value = None
