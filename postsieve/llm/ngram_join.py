@@ -10,8 +10,9 @@
    not meet in a bucket but stay rows. A set whose n-grams in lists are fewer than the r that any partner would share
    is dropped; the others keep all but the last r - 1 of them, those in the shortest lists first: the first that two
    sets share is among these.
-3. Each index list is first answered for its leader (the smallest set): leader and members that pass the
-   length and position bounds are verified. Links so far give components. A set that has a quarter of its n-grams in
+3. Each index list is first answered for its leaders, of each size (up to a factor of the threshold) the set with the longest
+   lists: leader and members that pass the length bound are verified. A large group of near copies has the same few leaders
+   in all of its lists. Links so far give components. A set that has a quarter of its n-grams in
    common with a leader belongs to its family, that of the leader with most such sets.
 4. Within a family a set's answers follow from those of the others by what they have in common: the n-grams that most
    members have are columns of a table of members, whose product gives all overlaps on these columns at once; what
@@ -231,9 +232,12 @@ def prefix_entries(texts: DataFrame, classes: np.ndarray, n: int, buckets: int,
 
 
 def kept_entries(entries: DataFrame) -> DataFrame:
-    """fp, n and the entries (listed, token, pos) that it keeps, in their order, of each set that may have a partner. Buckets have
-    few entries of a set each, so they are dealt as they are: lists of one or two take more room."""
-    sets = entries.repartition("fp").groupBy("fp", "n").agg(F.array_sort(F.collect_set(F.struct("listed", "token", "pos"))).alias("kept"))
+    """fp, n, weight (how many entries its lists have) and the entries (listed, token, pos) that it keeps, in their order, of each
+    set that may have a partner. Buckets have few entries of a set each, so they are dealt as they are: lists of one or two take
+    more room."""
+    kept = F.array_sort(F.collect_set(F.struct("listed", "token", "pos"))).alias("kept")
+    weight = F.sum(F.when(F.col("listed") < FREQUENT_LIST, F.col("listed")).otherwise(0)).alias("weight")
+    sets = entries.repartition("fp").groupBy("fp", "n").agg(weight, kept)
     asked = shared_at_least(F.col("n")).cast("int")
     sets = sets.where(F.size("kept") >= asked)
     return sets.withColumn("kept", F.slice("kept", F.lit(1), F.size("kept") - asked + 1))
@@ -242,21 +246,16 @@ def kept_entries(entries: DataFrame) -> DataFrame:
 # --- 3, 4: candidates and verification -------------------------------------------------------------------
 
 
-def within_bounds(n1, p1, n2, p2):
-    """Length and position bounds of a pair that shares an n-gram at these places."""
-    most = 1 + F.least(n1 - p1, n2 - p2) - 1
-    return (
-        (NUMERATOR * F.greatest(n1, n2) <= DENOMINATOR * F.least(n1, n2))
-        & ((NUMERATOR + DENOMINATOR) * (most + F.least(p1, p2)) >= NUMERATOR * (n1 + n2))
-    )
-
-
 def leader_pairs(holders: DataFrame) -> DataFrame:
-    entries = holders.select("fp", "n", F.inline("kept"))
-    lead = entries.groupBy("token").agg(F.min(F.struct("n", "fp", "pos")).alias("lead"))
-    rows = entries.join(lead, "token").where(F.col("fp") != F.col("lead.fp"))
-    rows = rows.where(within_bounds(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    return rows.select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    """Pairs (a, b) of a list's leader and a member, which sizes do not rule out. Leaders are looked for among sets of similar
+    size, so that a small set leaves no others without one. Of those the set in the longest lists leads, so that the lists of a
+    group of near copies have the same few leaders."""
+    band = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
+    entries = holders.select("fp", "n", "weight", band.alias("band"), F.explode("kept.token").alias("token"))
+    lead = entries.groupBy("token", "band").agg(F.max(F.struct("weight", "n", "fp")).alias("lead"))
+    rows = entries.join(lead, ["token", "band"]).where(F.col("fp") != F.col("lead.fp"))
+    similar = NUMERATOR * F.greatest("n", "lead.n") <= DENOMINATOR * F.least("n", "lead.n")
+    return rows.where(similar).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) -> DataFrame:
@@ -286,7 +285,9 @@ def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) ->
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both sizes, overlap."""
+    """a, b, both sizes, overlap. Sets without a pair are not shuffled where the pairs, a written table, are small."""
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = sets.join(ends, "fp", "left_semi")
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -450,7 +451,7 @@ def family_links(sets: DataFrame, family: DataFrame, cell: int) -> DataFrame:
 
 def open_pairs(holders: DataFrame, labels: DataFrame, family: DataFrame, cell: int) -> DataFrame:
     """Pairs (a, b) of sets in different components and families that the bounds leave open."""
-    sets = stage(with_component(holders, labels).join(family.select("fp", "family"), "fp", "left").na.fill(0, ["family"]))
+    sets = stage(with_component(holders.drop("weight"), labels).join(family.select("fp", "family"), "fp", "left").na.fill(0, ["family"]))
     rows = sets.select(*[c for c in sets.columns if c != "kept"], F.col("kept.token").alias("before"), F.posexplode("kept").alias("place", "entry"))
     first = F.greatest(F.col("place") - SEEN, F.lit(0))
     rows = rows.withColumn("seen", F.slice("before", first + 1, F.col("place") - first)).select("*", "entry.token", "entry.pos").drop("before", "entry", "place")
@@ -541,12 +542,12 @@ def links(docs: DataFrame, n: int = NGRAM, slots: int = SKETCH_SLOTS, chunk_byte
     entries = prefix_entries(texts, classes, n, partitions(docs.sparkSession), chunk_bytes)
     holders = stage(kept_entries(entries))
     sets = stage(candidate_sets(docs, slim, holders.select("fp"), n))
-    first = stage(overlaps(leader_pairs(holders), sets))
+    first = stage(overlaps(stage(leader_pairs(holders)), sets))
     found = first.where(linked()).select("a", "b")
     family = stage(families(first))
     found = stage(found.unionByName(family_links(sets, family, FAMILY_CELL)))
     second = stage(open_pairs(holders, components(found), family, cell))
-    unsettled = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    unsettled = stage(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     return slim, found.unionByName(overlaps(unsettled, sets).where(linked()).select("a", "b"))
 
 

@@ -179,3 +179,26 @@ def test_entries_are_dealt_as_rows(spark):
     assert [(r.fp, r.n, [tuple(e) for e in r.kept]) for r in kept.collect()] == [(7, 8, [(2, 1, 1), (2, 2, 2), (2, 3, 3)])]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "collect_set" not in plan[plan.rindex("Exchange hashpartitioning") :]
+
+
+def test_near_copies_below_the_threshold_are_one_family(spark, monkeypatch):
+    """Most of them do not link, and lists have small sets that no copy can link with."""
+    rng = random.Random(11)
+    text = passage(51, 150).split()
+    docs = [near_copies(rng, text, 0.04) for _ in range(300)] + [" ".join(text[a : a + 12]) for a in range(0, 138, 3)]
+    docs = list(enumerate(docs))
+    want, links = plain(docs)
+    pairs, search = [], ngram_join.open_pairs
+    monkeypatch.setattr(ngram_join, "open_pairs", lambda *a: pairs.append(search(*a)) or pairs[0])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert found(frame) == want
+    assert 100 < links < 10_000 and pairs[0].count() < 5 * len(docs)
+
+
+def test_sets_without_a_pair_are_not_shuffled(spark):
+    sets = ngram_join.stage(spark.range(2000).selectExpr("id AS fp", "sequence(id, id + 9) AS shingles"))
+    pairs = ngram_join.stage(spark.createDataFrame([(3, 5), (5, 1999)], ngram_join.PAIR))
+    got = ngram_join.overlaps(pairs, sets)
+    assert sorted(map(tuple, got.collect())) == [(3, 5, 10, 10, 8), (5, 1999, 10, 10, 0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
