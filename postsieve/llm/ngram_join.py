@@ -259,7 +259,7 @@ def leader_pairs(holders: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) -> DataFrame:
-    """fp and n-grams of the sets in ``fps``, made again from the text of one document each."""
+    """fp and n-grams of the sets in ``fps``, made again from the text of one document each, and of few others with an equal set."""
     chosen = stage(slim.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(fps, "fp", "left_semi"))
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(chosen, "doc_id"))
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -279,9 +279,7 @@ def candidate_sets(docs: DataFrame, slim: DataFrame, fps: DataFrame, n: int) ->
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
     made = keyed_texts(docs).mapInArrow(releasing(run), "doc_id long, fp long, shingles array<long>")
-    chosen = chosen.select(F.col("fp").alias("chosen"), F.col("doc_id").alias("of"))
-    same = (F.col("fp") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    return made.join(chosen, same, "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
+    return made.join(chosen, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")  # one shuffle: both by fp
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:

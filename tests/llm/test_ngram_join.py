@@ -202,3 +202,18 @@ def test_sets_without_a_pair_are_not_shuffled(spark):
     assert sorted(map(tuple, got.collect())) == [(3, 5, 10, 10, 8), (5, 1999, 10, 10, 0)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_candidate_sets_are_shuffled_once(spark):
+    text = passage(52, 40)
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (4, passage(53, 40)), (5, passage(54, 9))], "doc_id long, text string")
+    slim = ngram_join.stage(ngram_join.slim_sets(ngram_join.keyed_texts(docs), 5, 1 << 12).where("part IS NULL"))
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    try:
+        sets = ngram_join.candidate_sets(docs, slim, slim.where("doc_id <> 5").select("fp").distinct(), 5)
+        assert sets._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # of the sets and of their names
+        assert sorted(len(r.shingles) for r in sets.collect()) == [36, 36]
+    finally:
+        spark.conf.set(broadcast, before)
