@@ -157,3 +157,42 @@ def test_few_documents_make_enough_steps(monkeypatch):
     docs = [np.arange(1 + k % 40) % 5 for k in range(512)]
     lm.train(lm.Net(8, 2, 4), docs, 7, 0.01)
     assert len(updates) >= 32 and sum(updates) == sum(map(len, docs))
+
+
+def test_updates_work_on_the_words_met_and_end_like_those_of_all_words():
+    rng = np.random.default_rng(3)
+    net = lm.Net(200, lm.classes_of(200), 4)
+    optimiser, x = lm.Adam(net, 0.01), net.p["x"].astype(np.float64)
+    began, m, v = x.copy(), np.zeros_like(x), np.zeros_like(x)
+    for t in range(1, 401):
+        met = np.unique(rng.integers(0, 200, 8))
+        grads = {k: np.zeros_like(p) for k, p in net.p.items()}
+        grads["x"][met] = rng.normal(0.5, 1, (len(met), 12))
+        g = grads["x"] / 10.0
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        x -= 0.01 / (1 - 0.9**t) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        optimiser.meet(met)
+        others = np.delete(net.p["x"], met, axis=0)
+        optimiser.update(grads, 10)
+        assert (np.delete(net.p["x"], met, axis=0) == others).all()
+    optimiser.meet(np.arange(200))
+    optimiser.keep()
+    moved = np.abs(x - began).mean()
+    assert np.abs(net.p["x"] - x).mean() < 1e-3 * moved
+
+
+def test_frequent_words_and_marks_need_few_scores():
+    net = lm.Net(7682, lm.classes_of(7682), 4)
+    assert net.kind.tolist() == sorted(net.kind.tolist()) and (np.bincount(net.kind)[-2:] == 1).all()
+    counts = np.append(1 / np.arange(10, 7690), [4, 0.1])
+    scores = net.classes + np.where(net.kind < net.inner, np.bincount(net.kind)[net.kind], 0)
+    assert (scores * counts).sum() / counts.sum() < 110  # 176 with all classes of a size
+
+
+def test_lanes_follow_the_documents_of_a_task_not_of_a_shard():
+    words = lm.Words(np.sort(lm.WordHashes().of([b"a", b"b"])))
+    lengths, learns = np.array([2, 0, 1]), np.array([True, False, True])
+    shard = (learns.tobytes(), lengths.tobytes(), words.hashes.tobytes(), np.array([0, 1, 1], np.int32).tobytes())
+    got = [[d.tolist() for d in docs] for docs in lm.gathered(iter([shard] * 6), words)]
+    assert got == [[[0, 1, words.end], [1, words.end]] * 4, [[0, 1, words.end], [1, words.end]] * 2]
