@@ -144,29 +144,47 @@ def shared_windows(packed: DataFrame, length: int, buckets: int) -> DataFrame:
     doc_id in which that window starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, memo = pa.Codec("zstd"), WordHashes()
+        memo = WordHashes()
         by_bucket: dict[int, list[tuple]] = {}
         for bucket, *row in rows_of(batches, *fields(PACKED).names):
             by_bucket.setdefault(bucket, []).append(row)
         for rows in by_bucket.values():
-            seeds = [np.frombuffer(r[0], np.uint32) for r in rows]
-            known, times = np.unique(np.concatenate(seeds), return_counts=True)
-            repeated = known[times > 1]
+            mine = np.frombuffer(b"".join(r[0] for r in rows), np.uint32)
+            firsts = np.cumsum([0] + [len(r[0]) // 4 for r in rows])
+            low, high = (np.frombuffer(unpacked([r[k] for r in rows], 8 * len(mine)), np.int64) for k in (1, 2))
+            _, group, times = np.unique(mine, return_inverse=True, return_counts=True)
+            wanted = (times[group] > 1) | (low != high)
             rounds = 1 + sum(r[4] for r in rows) // ROUND_BYTES  # windows that are equal have one minimiser: one round
             for turn in range(rounds):
-                texts, lows, highs = [], [], []
-                for mine, (_, low, high, strings, size) in zip(seeds, rows, strict=True):
-                    low, high = (np.frombuffer(codec.decompress(x, 8 * len(mine), asbytes=True), np.int64) for x in (low, high))
-                    wanted = np.flatnonzero((np.isin(mine, repeated) | (low != high)) & (mine % np.uint32(rounds) == turn))
-                    if len(wanted):
-                        whole = codec.decompress(strings, size, asbytes=True).split(b"\n")
-                        texts += [whole[k] for k in wanted.tolist()]
-                        lows.append(low[wanted])
-                        highs.append(high[wanted])
-                if texts:
-                    yield answers(texts, np.concatenate(lows), np.concatenate(highs), memo, length)
-
-    return packed.repartition(buckets, "bucket").mapInArrow(run, SHARED)
+                which = np.flatnonzero(wanted & (mine % np.uint32(rounds) == turn))
+                if len(which):
+                    yield answers(picked(rows, firsts, which), low[which], high[which], memo, length)
+
+    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, SHARED)
+
+
+def unpacked(blobs: list[bytes], size: int) -> bytes:
+    """What the blobs hold, one after the other. A call costs more than a small blob, and zstd reads a row of them."""
+    return pa.Codec("zstd").decompress(b"".join(blobs), size, asbytes=True)
+
+
+def picked(rows: list[tuple], firsts: np.ndarray, which: np.ndarray) -> list[bytes]:
+    """The strings ``which`` of a bucket, numbered through its rows. A bucket has a row per chunk of the whole input, so
+    rows get smaller and more as the input grows: as many are unpacked at once as make up a chunk."""
+    texts, held, size = [], [], 0
+    ends = np.searchsorted(which, firsts[1:])
+    for k, (row, own) in enumerate(zip(rows, np.split(which, ends[:-1]), strict=True)):
+        if len(own):
+            held.append((row, (own - firsts[k]).tolist()))
+            size += row[4]
+        if held and (size >= CHUNK_BYTES or k == len(rows) - 1):
+            whole, at = unpacked([r[3] for r, _ in held], size), 0
+            for r, own in held:
+                strings = whole[at : at + r[4]].split(b"\n")
+                texts += [strings[i] for i in own]
+                at += r[4]
+            held, size = [], 0
+    return texts
 
 
 def answers(texts: list[bytes], lows: np.ndarray, highs: np.ndarray, memo: WordHashes, length: int) -> pa.RecordBatch:
