@@ -158,7 +158,7 @@ def shared_windows(packed: DataFrame, length: int, buckets: int) -> DataFrame:
             for turn in range(rounds):
                 which = np.flatnonzero(wanted & (mine % np.uint32(rounds) == turn))
                 if len(which):
-                    yield answers(picked(rows, firsts, which), low[which], high[which], memo, length)
+                    yield answers(*merged(picked(rows, firsts, which), low[which], high[which]), memo, length)
 
     return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, SHARED)
 
@@ -187,6 +187,15 @@ def picked(rows: list[tuple], firsts: np.ndarray, which: np.ndarray) -> list[byt
     return texts
 
 
+def merged(texts: list[bytes], lows: np.ndarray, highs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Each string once, with the smallest and largest doc_id that has it: chunks send what others have sent too."""
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+    order = np.argsort(which, kind="stable")
+    heads = np.flatnonzero(np.diff(which[order], prepend=-1))
+    return list(number), np.minimum.reduceat(lows[order], heads), np.maximum.reduceat(highs[order], heads)
+
+
 def answers(texts: list[bytes], lows: np.ndarray, highs: np.ndarray, memo: WordHashes, length: int) -> pa.RecordBatch:
     """Sorts the windows of the strings by 128 bits of hash, so that equal ones meet, and takes the smallest and the
     largest doc_id of each."""

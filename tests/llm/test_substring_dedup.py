@@ -123,3 +123,16 @@ def test_a_task_has_one_bucket(spark):
     keyed = substring_dedup.with_digest(spark.createDataFrame(texts, "doc_id long, text string"))
     shared = substring_dedup.shared_windows(substring_dedup.packed_stretches(keyed, 13, 4, 24, 1 << 20), 13, 24)
     assert shared.select(F.spark_partition_id().alias("task")).distinct().count() == 24
+
+
+def test_equal_strings_are_compared_once(spark, monkeypatch):
+    compared, met = [], Taken()
+    answers = substring_dedup.answers
+    monkeypatch.setattr(substring_dedup, "answers", lambda texts, *rest: compared.extend(texts) or answers(texts, *rest))
+    substring_dedup.shared_windows(met, 13, 1)
+    packing = substring_dedup.packed_stretches(Taken(), 13, 4, 1, 1)
+    ids = pa.array([7, 3, 9, 3], pa.int64())
+    texts = pa.array([b" ".join(b"%d" % k for k in range(40))] * 4)
+    rows = [r for b in met.run(packing.run(iter([pa.RecordBatch.from_arrays([ids, ids, texts], names=["doc_id", "digest", "text"])]))) for r in b.to_pylist()]
+    assert len(compared) == len(set(compared)) > 1
+    assert sum(len(r["firsts"]) for r in rows) == 28 and {k for r in rows for k in r["firsts"]} == {3}
